@@ -5,37 +5,54 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.fixed import PRICE_VS_SMA_WINDOWS, SMA_WINDOWS
-from tidemark.functions.numeric import change, full_window
+from tidemark.functions.numeric import change, full_window, ratio
 from tidemark.series import windowed
 
 
+# From this length on a mean is read off running totals of the block: two steps per row, whatever the
+# length of the window.  Shorter frames are summed directly.
+TOTALS_FROM = 30
+
+
 @windowed(back=lambda windows=SMA_WINDOWS, value="close": max(windows) - 1)
-def sma(rows, frames, windows=SMA_WINDOWS, value="close"):
+def sma(frames, windows=SMA_WINDOWS, value="close"):
     """Rolling mean; frames at the start of a series are shorter."""
-    return rows.withColumns({f"SMA_{n}": F.avg(value).over(frames.last(n)) for n in windows})
+    short = {f"SMA_{n}": F.avg(value).over(frames.last(n)) for n in windows if n < TOTALS_FROM}
+    total, count = f"_total_{value}", f"_count_{value}"
+
+    def inside(name, n):
+        return F.col(name) - F.lag(name, n, 0).over(frames.order)
+
+    long = {
+        f"SMA_{n}": ratio(inside(total, n), inside(count, n)) for n in windows if n >= TOTALS_FROM
+    }
+    if not long:
+        return [short]
+    totals = {
+        total: F.sum(value).over(frames.so_far()),
+        count: F.count(value).over(frames.so_far()),
+    }
+    return [{**short, **totals}, long]
 
 
 @windowed(back=max(PRICE_VS_SMA_WINDOWS) - 1)
-def price_vs_sma(rows, frames):
+def price_vs_sma(frames):
     """Close relative to its moving averages."""
-    missing = [n for n in PRICE_VS_SMA_WINDOWS if f"SMA_{n}" not in rows.columns]
-    rows = sma.layer(rows, frames, windows=missing) if missing else rows
-    return rows.withColumns(
-        {f"Price_vs_SMA{n}": change("close", f"SMA_{n}") for n in PRICE_VS_SMA_WINDOWS}
-    )
+    means = sma.stages(frames, windows=PRICE_VS_SMA_WINDOWS)
+    return [
+        *means,
+        {f"Price_vs_SMA{n}": change("close", f"SMA_{n}") for n in PRICE_VS_SMA_WINDOWS},
+    ]
 
 
 @windowed(back=199)
-def golden_cross(rows, frames):
+def golden_cross(frames):
     """1 where the 50-row average stands above the 200-row average, else 0."""
-    missing = [n for n in (50, 200) if f"SMA_{n}" not in rows.columns]
-    rows = sma.layer(rows, frames, windows=missing) if missing else rows
-    return rows.withColumn("GoldenCross", (F.col("SMA_50") > F.col("SMA_200")).cast("int"))
+    above = F.col("SMA_50") > F.col("SMA_200")
+    return [*sma.stages(frames, windows=(50, 200)), {"GoldenCross": above.cast("int")}]
 
 
 @windowed(back=lambda windows=(5, 20): max(windows) - 1)
-def full_window_averages(rows, frames, windows=(5, 20)):
+def full_window_averages(frames, windows=(5, 20)):
     """Rolling mean of the close that is NULL until the window is full."""
-    return rows.withColumns(
-        {f"MA{n}": full_window(F.avg("close"), "close", frames.last(n), n) for n in windows}
-    )
+    return [{f"MA{n}": full_window(F.avg("close"), "close", frames.last(n), n) for n in windows}]

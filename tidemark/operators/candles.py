@@ -25,17 +25,19 @@ def price_action(bars: DataFrame) -> DataFrame:
 
 
 @windowed(back=1)
-def daily_return(rows, frames):
+def daily_return(frames):
     """Change of the close against the row before, as a fraction."""
-    return rows.withColumn("Daily_Return", change("close", F.lag("close").over(frames.order)))
+    return [{"Daily_Return": change("close", F.lag("close").over(frames.order))}]
 
 
 @windowed(back=lambda window=20: window - 1)
-def volume_ratio(rows, frames, window=20):
+def volume_ratio(frames, window=20):
     """Volume against its rolling mean."""
     mean = f"Volume_SMA{window}"
-    rows = rows.withColumn(mean, F.avg("volume").over(frames.last(window)))
-    return rows.withColumn("Volume_Ratio", ratio("volume", F.col(mean) + RATIO_GUARD))
+    return [
+        {mean: F.avg("volume").over(frames.last(window))},
+        {"Volume_Ratio": ratio("volume", F.col(mean) + RATIO_GUARD)},
+    ]
 
 
 def lag_name(column: str, step: int) -> str:
@@ -43,28 +45,23 @@ def lag_name(column: str, step: int) -> str:
 
 
 @windowed(back=lambda column="close", steps=LAG_STEPS: max(steps))
-def lags(rows, frames, column="close", steps=LAG_STEPS):
+def lags(frames, column="close", steps=LAG_STEPS):
     """Earlier values of one column."""
-    return rows.withColumns(
-        {lag_name(column, n): F.lag(column, n).over(frames.order) for n in steps}
-    )
+    return [{lag_name(column, n): F.lag(column, n).over(frames.order) for n in steps}]
 
 
-@windowed(back=0, ahead=lambda horizon=1, column="close": horizon)
-def target(rows, frames, horizon=1, column="close"):
+@windowed(back=0, ahead=lambda horizon=1, column="close", name="Target": horizon)
+def target(frames, horizon=1, column="close", name="Target"):
     """The label: the value ``horizon`` rows later, NULL on the last rows."""
-    return rows.withColumn("Target", F.lead(column, horizon).over(frames.order))
+    return [{name: F.lead(column, horizon).over(frames.order)}]
 
 
 @windowed(back=1)
-def direction_flags(rows, frames):
+def direction_flags(frames):
     """Up or down by bar body and by change of the close (no change counts as up)."""
-    rows = daily_return.layer(rows, frames)
-    return rows.withColumns(
-        {
-            "Body_Direction": F.when(F.col("close") >= F.col("open"), "up").otherwise("down"),
-            "Change_Direction": sign_flag(
-                F.coalesce("Daily_Return", F.lit(0.0)), up="up", down="down"
-            ),
-        }
-    )
+    body = F.when(F.col("close") >= F.col("open"), "up").otherwise("down")
+    moved = F.coalesce("Daily_Return", F.lit(0.0))
+    return [
+        {**daily_return.stages(frames)[0], "Body_Direction": body},
+        {"Change_Direction": sign_flag(moved, up="up", down="down")},
+    ]

@@ -10,44 +10,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.fixed import EMA_SPANS, MACD_SPANS
-from tidemark.series import _YEAR, by_year, in_year, join_year_summary, sizes_before, so_far, years
+from tidemark.series import _YEAR, by_year, join_year_summary, so_far, years
 
 
 class _Decay:
-    """Weights of an exponential mean with the given span: gain ``a`` and decay ``r = 1 - a``."""
+    """Weights of an exponential mean with the given span: gain ``a`` and decay ``r = 1 - a``.
+
+    The methods return SQL text; ``steps`` and ``rows`` are SQL texts of whole numbers.
+    """
 
     def __init__(self, span: int):
         self.span = span
         self.gain = 2.0 / (span + 1.0)
         self.rate = 1.0 - self.gain
 
-    def power(self, steps: Column) -> Column:
-        if self.rate == 0.0:
-            return F.when(steps == 0, 1.0).otherwise(0.0)
-        return F.pow(F.lit(self.rate), steps.cast("double"))
+    def power(self, steps: str) -> str:
+        return f"pow({self.rate!r}D, {steps})"
 
-    def local(self, value: str) -> Column:
+    def local(self, value: str) -> str:
         """Mean since the start of the year with nothing carried in; ``_k`` counts from 1."""
         if self.rate == 0.0:
-            return F.col(value)
-        scaled = F.col(value) * F.pow(F.lit(self.rate), -F.col("_k").cast("double"))
-        return F.sum(scaled).over(so_far()) * self.power(F.col("_k")) * self.gain
+            return value
+        scaled = f"sum({value} * pow({self.rate!r}D, -_k)) OVER {_SO_FAR}"
+        return f"{self.gain!r}D * {self.power('_k')} * {scaled}"
+
+
+_IN_YEAR = "(PARTITION BY symbol, _year ORDER BY date)"
+_SO_FAR = "(PARTITION BY symbol, _year ORDER BY date ROWS UNBOUNDED PRECEDING)"
+_EARLIER = "(PARTITION BY symbol ORDER BY _year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_YEARS = "(PARTITION BY symbol ORDER BY _year)"
 
 
-def _chained(first: _Decay, second: _Decay, steps: Column) -> Column:
+def _chained(first: _Decay, second: _Decay, steps: str) -> str:
     """Weight that a value gets ``steps`` rows later after passing both means."""
     if first.rate == second.rate:
-        return first.power(steps) * (steps + 1) * (first.gain * second.gain)
+        return f"({first.power(steps)} * ({steps} + 1) * {first.gain * second.gain!r}D)"
     scale = first.gain * second.gain / (second.rate - first.rate)
-    return (second.power(steps + 1) - first.power(steps + 1)) * scale
+    later = f"{steps} + 1"
+    return f"({second.power(later)} - {first.power(later)}) * {scale!r}D"
 
 
-def _drift(first: _Decay, second: _Decay, rows: Column) -> Column:
+def _drift(first: _Decay, second: _Decay, rows: str) -> str:
     """What a carry-in of the first mean adds to the second mean after ``rows`` rows."""
     if first.rate == second.rate:
-        return first.power(rows) * rows * second.gain
+        return f"({first.power(rows)} * {rows} * {second.gain!r}D)"
     scale = second.gain * first.rate / (second.rate - first.rate)
-    return (second.power(rows) - first.power(rows)) * scale
+    return f"({second.power(rows)} - {first.power(rows)}) * {scale!r}D"
+
+
+def _texts(columns: dict[str, str]) -> dict[str, Column]:
+    return {name: F.expr(text) for name, text in columns.items()}
 
 
 def running_columns(
@@ -63,102 +75,85 @@ def running_columns(
         fast, slow, signal = (_Decay(span) for span in macd)
         for decay in (fast, slow):
             means.setdefault(decay.span, decay)
+    moved = (
+        f"coalesce(signum({value} - lag({value}) OVER {_IN_YEAR}) * volume, 0D)" if obv else "0D"
+    )
     rows = by_year(bars)
 
     # One row per (symbol, year): what this year adds to each running value.
     counted = rows.withColumns(
-        {
-            "_left": F.count(F.lit(1)).over(Window.partitionBy("symbol", _YEAR))
-            - F.row_number().over(in_year()),
-            "_step": F.col(value) - F.lag(value).over(in_year()),
-        }
+        _texts(
+            {
+                "_left": f"count(1) OVER (PARTITION BY symbol, _year) - row_number() OVER {_IN_YEAR}",
+                "_move": moved,
+            }
+        )
     )
-    added = {
-        f"_e{span}": F.sum(F.col(value) * decay.power(F.col("_left")) * decay.gain)
-        for span, decay in means.items()
-    }
+    added = {"_n": "count(1)", "_first": f"min_by({value}, date)"}
+    for span, decay in means.items():
+        added[f"_e{span}"] = f"sum({value} * {decay.power('_left')} * {decay.gain!r}D)"
     if macd:
-        lag_weight = _chained(fast, signal, F.col("_left")) - _chained(slow, signal, F.col("_left"))
-        added["_signal"] = F.sum(F.col(value) * lag_weight)
+        weight = f"{_chained(fast, signal, '_left')} - {_chained(slow, signal, '_left')}"
+        added["_signal"] = f"sum({value} * ({weight}))"
     if obv:
-        moved = F.coalesce(F.signum("_step") * F.col("volume"), F.lit(0.0))
         added |= {
-            "_moved": F.sum(moved),
-            "_last": F.max_by(value, "date"),
-            "_first_volume": F.min_by("volume", "date"),
+            "_moved": "sum(_move)",
+            "_last": f"max_by({value}, date)",
+            "_first_volume": "min_by(volume, date)",
         }
     summary = counted.groupBy("symbol", _YEAR).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min_by(value, "date").alias("_first"),
-        *[column.alias(name) for name, column in added.items()],
+        *[column.alias(name) for name, column in _texts(added).items()]
     )
 
     # Scan the years of each symbol in order; a symbol has one row per calendar year.
-    order = years("symbol")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    carried = sizes_before(summary)
+    scan = {
+        "_before": f"coalesce(sum(_n) OVER {_EARLIER}, 0)",
+        "n_rows": "sum(_n) OVER (PARTITION BY symbol)",
+    }
+    wanted = ["_before", "n_rows"]
     if means:
         state = [f"_e{span}" for span in means] + (["_signal"] if macd else [])
-        carried = carried.withColumns(
-            {
-                "_history": F.collect_list(F.struct("_n", *state)).over(earlier),
-                "_start": F.first("_first").over(order),
-            }
-        )
-        begin = F.struct(
-            *[F.col("_start").alias(f"_e{span}") for span in means],
-            *([F.lit(0.0).alias("_signal")] if macd else []),
-        )
-
-        def next_year(past: Column, year: Column) -> Column:
-            n = year["_n"]
-            fields = [
-                (past[f"_e{span}"] * decay.power(n) + year[f"_e{span}"]).alias(f"_e{span}")
-                for span, decay in means.items()
-            ]
-            if macd:
-                drift = past[f"_e{fast.span}"] * _drift(fast, signal, n) - past[
-                    f"_e{slow.span}"
-                ] * _drift(slow, signal, n)
-                kept = past["_signal"] * signal.power(n)
-                fields.append((kept + year["_signal"] + drift).alias("_signal"))
-            return F.struct(*fields)
-
-        carried = carried.withColumn("_carry", F.aggregate("_history", begin, next_year))
+        scan["_history"] = f"collect_list(struct(_n, {', '.join(state)})) OVER {_EARLIER}"
+        scan["_start"] = f"first(_first) OVER {_YEARS}"
     if obv:
-        carried = carried.withColumn("_last_before", F.lag("_last").over(order))
-        gap = F.coalesce(
-            F.signum(F.col("_first") - F.col("_last_before")) * F.col("_first_volume"), F.lit(0.0)
-        )
-        carried = carried.withColumn("_gap", gap)
-        carried = carried.withColumn(
-            "_obv_before",
-            F.coalesce(F.sum(F.col("_moved") + F.col("_gap")).over(earlier), F.lit(0.0))
-            + F.col("_gap"),
+        step = f"_first - lag(_last) OVER {_YEARS}"
+        scan["_gap"] = f"coalesce(signum({step}) * _first_volume, 0D)"
+    carried = summary.withColumns(_texts(scan))
+    carry = {}
+    if means:
+        begin = [f"_start AS _e{span}" for span in means] + (["0D AS _signal"] if macd else [])
+        grown = [
+            f"past._e{span} * {decay.power('year._n')} + year._e{span} AS _e{span}"
+            for span, decay in means.items()
+        ]
+        if macd:
+            grown.append(
+                f"past._signal * {signal.power('year._n')} + year._signal"
+                f" + past._e{fast.span} * {_drift(fast, signal, 'year._n')}"
+                f" - past._e{slow.span} * {_drift(slow, signal, 'year._n')} AS _signal"
+            )
+        carry["_carry"] = (
+            f"aggregate(_history, struct({', '.join(begin)}),"
+            f" (past, year) -> struct({', '.join(grown)}))"
         )
-    wanted = ["_before", "n_rows"]
-    wanted += ["_carry"] if means else []
-    wanted += ["_obv_before"] if obv else []
-    out = join_year_summary(rows, carried.select("symbol", _YEAR, *wanted))
+    if obv:
+        carry["_obv_before"] = f"coalesce(sum(_moved + _gap) OVER {_EARLIER}, 0D) + _gap"
+    carried = carried.withColumns(_texts(carry)).select("symbol", _YEAR, *wanted, *carry)
+    out = join_year_summary(rows, carried)
 
     # Complete every row with the carry-in of its year.
-    helpers = ["_k", "_before", _YEAR, "_carry", "_obv_before", "_move"]
-    first_layer = {"_k": F.row_number().over(in_year())}
-    if obv:
-        step = F.col(value) - F.lag(value).over(in_year())
-        first_layer["_move"] = F.coalesce(F.signum(step) * F.col("volume"), F.lit(0.0))
-    out = out.withColumns(first_layer)
-    columns = {"pos": F.col("_before") + F.col("_k")}
+    out = out.withColumns(_texts({"_k": f"row_number() OVER {_IN_YEAR}", "_move": moved}))
+    columns = {"pos": "_before + _k"}
     for span, decay in means.items():
-        kept = decay.power(F.col("_k")) * F.col("_carry")[f"_e{span}"]
-        columns[f"EMA_{span}"] = decay.local(value) + kept
+        columns[f"EMA_{span}"] = f"{decay.local(value)} + {decay.power('_k')} * _carry._e{span}"
     if obv:
-        columns["OBV"] = F.col("_obv_before") + F.sum("_move").over(so_far())
-    out = out.withColumns(columns)
+        columns["OBV"] = f"_obv_before + sum(_move) OVER {_SO_FAR}"
+    out = out.withColumns(_texts(columns))
+    helpers = ["_k", "_move", "_before", _YEAR, *carry]
     if macd:
         out = out.withColumn("MACD", F.col(f"EMA_{fast.span}") - F.col(f"EMA_{slow.span}"))
-        kept = signal.power(F.col("_k")) * F.col("_carry")["_signal"]
-        out = out.withColumn("MACD_Signal", signal.local("MACD") + kept)
+        line = f"{signal.local('MACD')} + {signal.power('_k')} * _carry._signal"
+        out = out.withColumn("MACD_Signal", F.expr(line))
         out = out.withColumn("MACD_Hist", F.col("MACD") - F.col("MACD_Signal"))
         helpers += [f"EMA_{d.span}" for d in (fast, slow) if d.span not in spans]
     return out.drop(*helpers)

@@ -9,7 +9,7 @@ from tidemark.fixed import EMA_SPANS, LAG_STEPS, MACD_SPANS
 from tidemark.functions.calendar import calendar
 from tidemark.operators import averages, candles, momentum, volatility
 from tidemark.operators.running import running_columns
-from tidemark.series import over_blocks, without_positions
+from tidemark.series import in_one_pass, without_positions
 
 # Indicators whose frames are bounded; one pass over the blocks computes all of them.
 _BOUNDED = [
@@ -52,24 +52,17 @@ def feature_names(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.lower() not in NOT_FEATURES and not c.startswith("_")]
 
 
-def _build(bars, layers, macd_extra, block_rows, ahead=0):
-    """Running columns by year, then every bounded layer in one pass over the blocks."""
-    spans = [*EMA_SPANS, *(s for s in macd_extra if s not in EMA_SPANS)]
+def _build(bars, operators, extra_spans, block_rows):
+    """Running columns by year, then all bounded columns in one pass over the blocks."""
+    spans = [*EMA_SPANS, *(s for s in extra_spans if s not in EMA_SPANS)]
     rows = running_columns(bars, spans=spans, macd=MACD_SPANS, obv=True)
-    back = max(op.back() for op in layers)
-
-    def build(block, frames):
-        for op in layers:
-            block = op.layer(block, frames)
-        return block
-
-    return over_blocks(rows, build, back, ahead, block_rows)
+    return without_positions(candles.price_action(in_one_pass(rows, operators, block_rows)))
 
 
 def indicators(bars: DataFrame, macd_means: bool = False, block_rows: int | None = None):
     """All 46 indicator columns; ``macd_means`` also keeps EMA_12 and EMA_26."""
-    rows = _build(bars, _BOUNDED, MACD_SPANS[:2] if macd_means else (), block_rows)
-    return without_positions(candles.price_action(rows))
+    operators = [(op, {}) for op in _BOUNDED]
+    return _build(bars, operators, MACD_SPANS[:2] if macd_means else (), block_rows)
 
 
 def feature_table(
@@ -84,17 +77,10 @@ def feature_table(
 
     Extra columns of ``bars`` (context series) stay and become features.
     """
-
-    class _Lags:
-        back = staticmethod(lambda: max(lag_steps))
-
-        @staticmethod
-        def layer(block, frames):
-            block = candles.lags.layer(block, frames, column=column, steps=lag_steps)
-            return candles.target.layer(block, frames, horizon=horizon, column=column)
-
-    rows = _build(bars, [*_BOUNDED, _Lags], (), block_rows, ahead=horizon)
-    rows = without_positions(calendar(candles.price_action(rows)))
+    operators = [(op, {}) for op in _BOUNDED]
+    operators.append((candles.lags, {"column": column, "steps": lag_steps}))
+    operators.append((candles.target, {"column": column, "horizon": horizon}))
+    rows = calendar(_build(bars, operators, (), block_rows))
     if not drop_incomplete:
         return rows
     complete = [c for c in rows.columns if c not in ("symbol", "date")]

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,10 @@ class Frames:
         """The current row and the ``rows - 1`` rows before it."""
         return self.order.rowsBetween(1 - rows, 0)
 
+    def so_far(self):
+        """All rows of the block up to the current one."""
+        return self.order.rowsBetween(Window.unboundedPreceding, 0)
+
 
 def years(*keys: str):
     """Window over the yearly summary rows of one symbol."""
@@ -86,12 +91,16 @@ def without_positions(df: DataFrame) -> DataFrame:
 
 def over_blocks(
     df: DataFrame,
-    build: Callable[[DataFrame, Frames], DataFrame],
+    stages: Callable[[Frames], list[dict[str, Column]]],
     back: int,
     ahead: int = 0,
     block_rows: int | None = None,
 ) -> DataFrame:
-    """Run ``build(rows, frames)`` in blocks that also hold ``back`` rows before and ``ahead`` after."""
+    """Add window columns in blocks that also hold ``back`` rows before and ``ahead`` rows after.
+
+    ``stages(frames)`` lists the columns to add; each stage may read the columns of earlier ones.
+    Columns whose name starts with an underscore are dropped at the end.
+    """
     keep = "pos" in df.columns
     rows = df if keep else with_positions(df)
     size = F.lit(block_rows or BLOCK_ROWS)
@@ -102,36 +111,56 @@ def over_blocks(
     index = F.col("pos") - 1
     first = block_of(F.greatest(index - ahead, F.lit(0)))
     last = block_of(F.least(index + back, F.col("n_rows") - 1))
-    copies = rows.withColumn(_BLOCK, F.explode(F.sequence(first, last)))
-    done = build(copies, Frames("symbol", _BLOCK)).filter(block_of(index) == F.col(_BLOCK))
-    done = done.drop(_BLOCK)
+    done = rows.withColumn(_BLOCK, F.explode(F.sequence(first, last)))
+    # The shuffle that the windows need anyway; naming it keeps blocks of one symbol apart even where
+    # an earlier join has already brought each symbol into one task.
+    done = done.repartition("symbol", _BLOCK)
+    for columns in stages(Frames("symbol", _BLOCK)):
+        done = done.withColumns(columns)
+    done = done.filter(block_of(index) == F.col(_BLOCK))
+    helpers = [c for c in done.columns if c.startswith("_")]
+    done = done.drop(*helpers)
     return done if keep else without_positions(done)
 
 
+def merged(lists: list[list[dict[str, Column]]]) -> list[dict[str, Column]]:
+    """Stages of several operators as one list; a column that two of them need is computed once."""
+    out, known = [], set()
+    for stage in zip_longest(*lists, fillvalue={}):
+        columns = {n: c for part in stage for n, c in part.items() if n not in known}
+        known |= columns.keys()
+        out.append(columns)
+    return out
+
+
 def windowed(back, ahead=0):
-    """Turn ``layer(rows, frames, ...)`` into ``operator(bars, ...)`` that runs it over blocks.
+    """Turn ``stages(frames, ...)`` into ``operator(bars, ...)`` that runs them over blocks.
 
     ``back`` and ``ahead`` are row counts, or functions of the operator's keyword arguments.
-    The layer stays reachable as ``operator.layer`` so that several can share one pass.
     """
 
-    def wrap(layer):
+    def wrap(stages):
         def reach(rule, kwargs):
             return rule(**kwargs) if callable(rule) else rule
 
-        @wraps(layer)
+        @wraps(stages)
         def operator(bars: DataFrame, *, block_rows: int | None = None, **kwargs) -> DataFrame:
-            return over_blocks(
-                bars,
-                lambda rows, frames: layer(rows, frames, **kwargs),
-                reach(back, kwargs),
-                reach(ahead, kwargs),
-                block_rows,
-            )
-
-        operator.layer = layer
+            return in_one_pass(bars, [(operator, kwargs)], block_rows)
+
+        operator.stages = stages
         operator.back = lambda **kwargs: reach(back, kwargs)
         operator.ahead = lambda **kwargs: reach(ahead, kwargs)
         return operator
 
     return wrap
+
+
+def in_one_pass(bars: DataFrame, operators, block_rows: int | None = None) -> DataFrame:
+    """Run several windowed operators, each with its keyword arguments, in one pass over the blocks."""
+    return over_blocks(
+        bars,
+        lambda frames: merged([op.stages(frames, **kwargs) for op, kwargs in operators]),
+        max(op.back(**kwargs) for op, kwargs in operators),
+        max(op.ahead(**kwargs) for op, kwargs in operators),
+        block_rows,
+    )

@@ -17,6 +17,10 @@ def session(name: str = "tidemark", cores: int | None = None) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Window work is heavy per byte, so small shuffles keep more than one task.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        # Recording the Python call site of every column expression costs more than planning it.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")

@@ -9,7 +9,7 @@ from tidemark.functions.calendar import CALENDAR_COLUMNS, calendar
 from tidemark.functions.numeric import sign_flag
 from tidemark.operators import averages, candles, momentum, running, volatility
 from tidemark.plans.features import feature_names, feature_table, indicators
-from tidemark.series import over_blocks
+from tidemark.series import in_one_pass
 from tidemark.sources.bars import in_range, lineitem_bars, recent
 from tidemark.sources.context import join_context, orders_context, read_series, series_returns
 from verification.sql_bars import DIGITS, FEATURES, INDICATORS
@@ -54,23 +54,15 @@ def hist_vol_full(spark, sf_dir):
 
 
 def target(spark, sf_dir):
-    def layer(rows, frames):
-        for h in (1, 5, 21):
-            rows = candles.target.layer(rows, frames, horizon=h)
-            rows = rows.withColumnRenamed("Target", f"Target_{h}")
-        return rows
-
-    out = over_blocks(lineitem_bars(spark, sf_dir), layer, back=0, ahead=21)
+    labels = [(candles.target, {"horizon": h, "name": f"Target_{h}"}) for h in (1, 5, 21)]
+    out = in_one_pass(lineitem_bars(spark, sf_dir), labels)
     return out.select("symbol", "date", "Target_1", "Target_5", "Target_21")
 
 
 def signals(spark, sf_dir):
-    def layer(rows, frames):
-        for op in (momentum.rsi, momentum.stochastic, momentum.williams_r, momentum.cci):
-            rows = op.layer(rows, frames)
-        return rows
-
-    out = momentum.momentum_signals(over_blocks(lineitem_bars(spark, sf_dir), layer, back=38))
+    oscillators = (momentum.rsi, momentum.stochastic, momentum.williams_r, momentum.cci)
+    out = in_one_pass(lineitem_bars(spark, sf_dir), [(op, {}) for op in oscillators])
+    out = momentum.momentum_signals(out)
     return rounded(out, "RSI_Signal", "Stoch_Signal", "Williams_Signal", "CCI_Signal")
 
 
