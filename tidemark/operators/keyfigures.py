@@ -13,8 +13,10 @@ from tidemark.functions.text import (
     money,
     number_or_missing,
     percentage,
+    plain_or_missing,
     rating,
     signed_percent,
+    two_digits,
     whole,
 )
 from tidemark.series import with_positions
@@ -56,7 +58,6 @@ def key_figure_texts(figures: DataFrame, facts: DataFrame, best: DataFrame | Non
     """Key figures as display texts; ``best`` adds (symbol, model, RMSE) of the best model."""
     facts = facts.select("symbol", "marketCap", "trailingPE")
     rows = figures.join(facts, "symbol", "left")
-    ratio = F.col("trailingPE")
     texts = {
         "current_price": money("close"),
         "price_note": arrow("change_pct"),
@@ -66,14 +67,12 @@ def key_figure_texts(figures: DataFrame, facts: DataFrame, best: DataFrame | Non
         "low_52w_text": money("low_52w"),
         "volume_text": whole("volume"),
         "market_cap": market_cap("marketCap"),
-        "pe_ratio": F.when(ratio.isNull() | (ratio == 0), "N/A").otherwise(
-            F.format_string("%.2f", ratio)
-        ),
+        "pe_ratio": plain_or_missing("trailingPE"),
     }
     if best is not None:
         rows = rows.join(best.select("symbol", "model", "RMSE"), "symbol", "left")
         texts["best_model"] = F.split("model", " ")[0]
-        texts["best_note"] = F.format_string("RMSE $%.2f", "RMSE")
+        texts["best_note"] = F.concat(F.lit("RMSE $"), two_digits("RMSE"))
     return rows.select("symbol", "direction", *[c.alias(n) for n, c in texts.items()])
 
 
@@ -89,12 +88,8 @@ def fact_sheet(facts: DataFrame) -> DataFrame:
         "dividend_yield": percentage("dividendYield"),
         "beta_text": number_or_missing("beta"),
         "beta_flag": F.coalesce(beta > 1.5, F.lit(False)),
-        "high_52w": F.when(F.col("fiftyTwoWeekHigh").isNull(), "$N/A").otherwise(
-            F.format_string("$%.2f", "fiftyTwoWeekHigh")
-        ),
-        "low_52w": F.when(F.col("fiftyTwoWeekLow").isNull(), "$N/A").otherwise(
-            F.format_string("$%.2f", "fiftyTwoWeekLow")
-        ),
+        "high_52w": plain_or_missing("fiftyTwoWeekHigh", "$"),
+        "low_52w": plain_or_missing("fiftyTwoWeekLow", "$"),
         "target_price": number_or_missing("targetMeanPrice", "$"),
         "analyst_rating": rating("recommendationKey"),
     }

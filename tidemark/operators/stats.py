@@ -7,6 +7,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidemark.fixed import VALUE_COLUMNS
 from tidemark.functions.numeric import sample_kurtosis, sample_skewness
@@ -187,7 +188,7 @@ def with_rank(df: DataFrame, value: str, key: str = "symbol") -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     """Quantile of the standard normal distribution."""
     inverse = NormalDist().inv_cdf

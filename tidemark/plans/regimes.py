@@ -86,7 +86,7 @@ def regime_columns(features: DataFrame) -> list[str]:
     return [c for c in features.columns if c not in ("symbol", "date", "close")]
 
 
-def scaled_points(features: DataFrame, names: list[str]) -> DataFrame:
+def scaled_points(features: DataFrame, names: list[str], keep=()) -> DataFrame:
     """Features of each symbol scaled to mean 0 and population deviation 1, as one array ``x``."""
     moments = features.groupBy("symbol").agg(
         *[F.avg(c).alias(f"_mean_{c}") for c in names],
@@ -97,7 +97,7 @@ def scaled_points(features: DataFrame, names: list[str]) -> DataFrame:
         for c in names
     ]
     return features.join(moments, "symbol").select(
-        "symbol", "date", "close", *names, F.array(*scaled).alias("x")
+        "symbol", "date", "close", *names, *keep, F.array(*scaled).alias("x")
     )
 
 

@@ -1,6 +1,6 @@
 """All registered queries and their SQL."""
 
-from verification import queries_bars, sql_bars
+from verification import queries_bars, queries_reports, sql_bars, sql_reports
 
-QUERIES = {**queries_bars.QUERIES}
-SQL = {**sql_bars.SQL}
+QUERIES = {**queries_bars.QUERIES, **queries_reports.QUERIES}
+SQL = {**sql_bars.SQL, **sql_reports.SQL}
