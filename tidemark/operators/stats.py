@@ -238,6 +238,8 @@ def target_correlations(features: DataFrame, names: list[str], target: str = "Ta
 
 def top_correlations(features: DataFrame, names: list[str], top: int = 30) -> DataFrame:
     """The features with the highest absolute correlation with the label."""
-    order = Window.partitionBy("symbol").orderBy(F.col("abs_corr").desc_nulls_last(), "feature")
+    # Features that are multiples of each other tie up to rounding noise; the name decides then.
+    strength = F.round("abs_corr", 9).desc_nulls_last()
+    order = Window.partitionBy("symbol").orderBy(strength, "feature")
     ranked = target_correlations(features, names).withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= top)

@@ -146,8 +146,10 @@ def train_all(
     if symbols is not None:
         features = features.filter(F.col("symbol").isin(list(symbols)))
     names = feature_names(features)
-    # Read by every fit below, so the windows are computed once.
-    rows = staged(evaluation.with_segments(features, test_size, folds), "features")
+    # Stored before and after the split: numbering the rows reads the table twice, and every fit below
+    # reads it again, so the windows are computed once.
+    features = staged(features, "features")
+    rows = staged(evaluation.with_segments(features, test_size, folds), "segments")
 
     parts, fold_parts, importances, fitted = [], [], [], {}
     linear = None

@@ -249,7 +249,7 @@ SQL = {
         (PARTITION BY symbol ORDER BY ret_pct, date) AS rank, count(*) OVER (PARTITION BY symbol)
         AS n_ranked FROM ret""",
     "corr_topk": f"""{CORR}, r AS (SELECT symbol, feature, v, row_number() OVER
-          (PARTITION BY symbol ORDER BY v DESC NULLS LAST, feature) AS place FROM corr_long)
+          (PARTITION BY symbol ORDER BY round(v, 9) DESC NULLS LAST, feature) AS place FROM corr_long)
         SELECT symbol, sum(place) AS places, count(*) AS n, round(sum(v), 6) AS total,
           round(min(v), 6) AS lowest FROM r WHERE place <= 30 GROUP BY symbol""",
     "correlations": f"""{CORR} SELECT symbol, feature, round(v, 6) AS abs_corr FROM corr_long""",
