@@ -1,8 +1,9 @@
 """Least squares and ridge regression of many groups at once.
 
-Both need only the cross products of the columns.  Tasks add them up per (group, segment), Spark sums
-the partial results, and a group's models - one per validation fold and the final one - are solved from
-the same seven small matrices.  No task sees all rows of a group.
+Each task reduces its rows of a (group, segment) to the triangular factor of a QR decomposition, which
+has as many rows as columns.  Factors are merged by stacking and reducing again, and a group's models -
+one per validation fold and the final one - are solved from its seven small factors.  No task sees all
+rows of a group, and unlike with cross products the condition of the features is not squared.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from tidemark.plans.evaluation import FOLDS
 
 RIDGE_ALPHA = 1.0
 FINAL = -1
-# Directions whose share of the largest variance is below this are linear dependencies.
-DEPENDENT = 1e-11
-# Partial matrices that a task holds before it passes them on.
-HELD_MATRICES = 64
+# Directions whose singular value is below this share of the largest are linear dependencies.
+DEPENDENT = 1e-13
+# Factors that a task holds before it passes them on, and merge tasks of one (group, segment).
+HELD_FACTORS = 64
+MERGE_TASKS = 32
 
 MODEL_SCHEMA = (
     "grp string, model string, fold int, n_train long, intercept double, beta array<double>, "
@@ -28,84 +30,88 @@ MODEL_SCHEMA = (
 )
 
 
-def _partial_products(names: list[str], target: str):
-    """Per task: the upper triangle of Z'Z with Z = (1, features, label) of each (group, segment)."""
+def _reduced(rows: np.ndarray) -> np.ndarray:
+    """Triangular factor of the rows, filled up with zero rows to a square."""
+    factor = np.linalg.qr(rows, mode="r")
+    missing = rows.shape[1] - len(factor)
+    return np.vstack([factor, np.zeros((missing, rows.shape[1]))]) if missing > 0 else factor
+
+
+def _stacked(factors, size: int) -> np.ndarray:
+    return np.vstack([np.asarray(f, dtype=float).reshape(size, size) for f in factors])
+
+
+def _task_factors(names: list[str], target: str):
+    """Per task: the factor of (1, features, label) of each (group, segment)."""
     columns = [*names, target]
-    upper = np.triu_indices(len(columns) + 1)
+
+    def frame(held):
+        return pd.DataFrame(
+            {
+                "grp": [k[0] for k in held],
+                "segment": [k[1] for k in held],
+                "factor": [f.ravel() for f in held.values()],
+            }
+        )
 
     def run(batches):
         held: dict = {}
-
-        def passed_on():
-            for (group, segment), total in held.items():
-                yield group, segment, total[upper]
-            held.clear()
-
-        def frame(rows):
-            rows = list(rows)
-            return pd.DataFrame(
-                {
-                    "grp": [r[0] for r in rows],
-                    "segment": [r[1] for r in rows],
-                    "products": [r[2] for r in rows],
-                }
-            )
-
         for batch in batches:
             values = batch[columns].to_numpy(dtype=float)
             values = np.column_stack([np.ones(len(values)), values])
             for key, places in batch.groupby(["grp", "segment"]).indices.items():
                 part = values[places]
-                held[key] = held.get(key, 0.0) + part.T @ part
-            if len(held) > HELD_MATRICES:
-                yield frame(passed_on())
+                held[key] = _reduced(np.vstack([held[key], part]) if key in held else part)
+            if len(held) > HELD_FACTORS:
+                yield frame(held)
+                held = {}
         if held:
-            yield frame(passed_on())
+            yield frame(held)
+
+    return run
+
+
+def _merged(size: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        factor = _reduced(_stacked(rows["factor"], size))
+        out = rows[["grp", "segment"]].head(1).reset_index(drop=True)
+        return out.assign(factor=[factor.ravel()])
 
     return run
 
 
 def _solved(width: int, folds: int, alphas: dict[str, float]):
-    """All models of one group from its summed cross products."""
+    """All models of one group from its factors.
+
+    With a first column of ones the factor below its first row is that of the centred data.
+    """
     size = width + 2
-    upper = np.triu_indices(size)
 
-    def fit(total, alpha):
-        n = total[0, 0]
-        mean = total[0, 1:] / n
-        spread = total[1:, 1:] / n - np.outer(mean, mean)
-        scale = np.sqrt(np.maximum(np.diag(spread)[:-1], 0.0))
+    def fit(factor, alpha):
+        n = factor[0, 0] ** 2
+        mean = factor[0, 1:] / factor[0, 0]
+        centred = factor[1:, 1:-1]
+        toward = factor[1:, -1]
+        scale = np.sqrt((centred**2).sum(0) / n)
         flat = scale <= 1e-12 * np.maximum(1.0, np.abs(mean[:-1]))
         scale = np.where(flat, 1.0, scale)
-        related = spread[:-1, :-1] / np.outer(scale, scale)
-        related[flat, :] = 0.0
-        related[:, flat] = 0.0
-        toward = np.where(flat, 0.0, spread[:-1, -1] / scale)
-        strength, directions = np.linalg.eigh((related + related.T) / 2)
+        scaled = np.where(flat, 0.0, centred / scale)
+        left, strength, right = np.linalg.svd(scaled, full_matrices=False)
         kept = strength > DEPENDENT * max(strength.max(), 1e-300)
-        shrink = strength[kept] + alpha / n
-        along = directions[:, kept]
-        weights = along @ ((along.T @ toward) / shrink)
+        shrink = strength[kept] / (strength[kept] ** 2 + alpha)
+        weights = right[kept].T @ (shrink * (left.T @ toward)[kept])
         beta = weights / scale
-        return n, mean[-1] - beta @ mean[:-1], beta, mean[:-1], scale, weights
+        return round(n), mean[-1] - beta @ mean[:-1], beta, mean[:-1], scale, weights
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        totals = {}
-        for segment, part in rows.groupby("segment"):
-            matrix = np.zeros((size, size))
-            triangle = np.zeros(len(upper[0]))
-            triangle[part["place"].to_numpy()] = part["total"].to_numpy()
-            matrix[upper] = triangle
-            totals[segment] = matrix + np.triu(matrix, 1).T
         out = []
         for fold in [FINAL, *range(folds)]:
-            last = folds if fold == FINAL else fold
-            parts = [m for s, m in totals.items() if s <= last]
-            if not parts:
+            used = rows[rows["segment"] <= (folds if fold == FINAL else fold)]
+            if used.empty:
                 continue
-            total = np.sum(parts, axis=0)
+            factor = _reduced(_stacked(used["factor"], size))
             for model, alpha in alphas.items():
-                n, intercept, *vectors = fit(total.copy(), alpha)
+                n, intercept, *vectors = fit(factor, alpha)
                 row = [rows["grp"].iloc[0], model, fold, int(n), intercept]
                 out.append(row + [v.tolist() for v in vectors])
         names = ["grp", "model", "fold", "n_train", "intercept", "beta", "center", "scale", "weights"]
@@ -128,16 +134,17 @@ def fit_linear(
     """
     rows = segmented.filter(F.col("segment") <= folds)
     rows = rows.select(F.col(group).alias("grp"), "segment", *names, target)
-    partial = rows.mapInPandas(
-        _partial_products(names, target), "grp string, segment int, products array<double>"
-    )
-    totals = (
-        partial.select("grp", "segment", F.posexplode("products").alias("place", "value"))
-        .groupBy("grp", "segment", "place")
-        .agg(F.sum("value").alias("total"))
+    schema = "grp string, segment int, factor array<double>"
+    partial = rows.mapInPandas(_task_factors(names, target), schema)
+    # A group spread over very many tasks is merged by several tasks first.
+    share = F.spark_partition_id() % MERGE_TASKS
+    merged = (
+        partial.withColumn("share", share)
+        .groupBy("grp", "segment", "share")
+        .applyInPandas(_merged(len(names) + 2), schema)
     )
     solve = _solved(len(names), folds, {LINEAR: 0.0, RIDGE: alpha})
-    return totals.groupBy("grp").applyInPandas(solve, MODEL_SCHEMA)
+    return merged.groupBy("grp").applyInPandas(solve, MODEL_SCHEMA)
 
 
 def linear_value(names: list[str], model: str = "m"):
