@@ -76,35 +76,34 @@ def head(bars: DataFrame, rows: int = 5) -> DataFrame:
 
 
 def describe(df: DataFrame, columns=None) -> DataFrame:
-    """Count, mean, deviation, minimum, quartiles (interpolated) and maximum of each column."""
+    """Count, mean, deviation, minimum, quartiles (interpolated) and maximum of each column.
+
+    Quartiles come from exact ranks, so no task holds the values of a whole column of a symbol.
+    """
     columns = columns or VALUE_COLUMNS
-    aggregates = []
-    for c in columns:
-        quartiles = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        aggregates.append(
-            F.struct(
-                F.count(c).alias("count"),
-                F.avg(c).alias("mean"),
-                F.stddev_samp(c).alias("std"),
-                F.min(c).alias("min"),
-                quartiles.alias("q"),
-                F.max(c).alias("max"),
-            ).alias(c)
+    long = unpivot(df.select("symbol", "date", *columns), ["symbol", "date"], columns, "column", "v")
+    keyed = long.dropna(subset=["v"]).withColumn("key", F.struct("symbol", "column"))
+    ranked = with_rank(keyed.select("key", "date", "v"), "v", "key")
+
+    def quantile(share):
+        place = (F.col("n_ranked") - 1) * share
+        below = F.floor(place)
+        weight = F.when(F.col("rank") - 1 == below, 1 - (place - below)).when(
+            F.col("rank") - 1 == below + 1, place - below
         )
-    wide = df.groupBy("symbol").agg(*aggregates)
-    rows = unpivot(wide, ["symbol"], columns, "column", "s")
-    return rows.select(
-        "symbol",
-        "column",
-        "s.count",
-        "s.mean",
-        "s.std",
-        "s.min",
-        F.col("s.q")[0].alias("q25"),
-        F.col("s.q")[1].alias("q50"),
-        F.col("s.q")[2].alias("q75"),
-        "s.max",
+        return F.sum(F.col("v") * F.coalesce(weight, F.lit(0.0)))
+
+    rows = ranked.groupBy("key").agg(
+        F.count("v").alias("count"),
+        F.avg("v").alias("mean"),
+        F.stddev_samp("v").alias("std"),
+        F.min("v").alias("min"),
+        quantile(0.25).alias("q25"),
+        quantile(0.5).alias("q50"),
+        quantile(0.75).alias("q75"),
+        F.max("v").alias("max"),
     )
+    return rows.select("key.symbol", "key.column", *[c for c in rows.columns if c != "key"])
 
 
 # ---- returns -----------------------------------------------------------------------------------

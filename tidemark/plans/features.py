@@ -89,6 +89,5 @@ def feature_table(
 
 def latest_rows(features: DataFrame) -> DataFrame:
     """The last row of each symbol in a feature table."""
-    names = [c for c in features.columns if c != "symbol"]
-    last = F.max_by(F.struct(*names), "date").alias("_row")
-    return features.groupBy("symbol").agg(last).select("symbol", "_row.*")
+    last = features.groupBy("symbol").agg(F.max("date").alias("date"))
+    return features.join(last, ["symbol", "date"], "left_semi")

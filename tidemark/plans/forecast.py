@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import business_days
+from tidemark.plans.features import latest_rows
 from tidemark.plans.linear import FINAL
 from tidemark.session import shared_folder
 
@@ -46,9 +47,7 @@ def _lag_value(mode: str, lags: dict[str, int], past, name: str) -> Column:
 def starting_rows(features: DataFrame, bars: DataFrame, names: list[str], mode: str) -> DataFrame:
     """The last row of each symbol with its lag state; ``bars`` supplies the recent closes."""
     lags = lag_columns(names)
-    columns = ["date", *names]
-    last = F.max_by(F.struct(*columns), "date").alias("_row")
-    start = features.groupBy("symbol").agg(last).select("symbol", "_row.*")
+    start = latest_rows(features).select("symbol", "date", *names)
     if mode == SLOT_SHIFT:
         return start.withColumn("_past", F.array(*[F.col(c).cast("double") for c in lags]))
     depth = max(lags.values())

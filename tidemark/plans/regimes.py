@@ -101,16 +101,42 @@ def scaled_points(features: DataFrame, names: list[str], keep=()) -> DataFrame:
     )
 
 
-def point_tiles(points: DataFrame, columns=("x",)) -> DataFrame:
-    """Days of each symbol packed into tiles of at most ``TILE_ROWS`` rows."""
+def point_tiles(points: DataFrame, labels=()) -> DataFrame:
+    """Days of each symbol packed into tiles of at most ``TILE_ROWS`` rows.
+
+    A tile has its dates, the coordinates of all its days in one flat array, and its labels.
+    """
     placed = with_positions(points)
-    tile = F.floor((F.col("pos") - 1) / TILE_ROWS).alias("tile")
-    packed = F.collect_list(F.struct("date", *columns)).alias("rows")
-    return placed.groupBy("symbol", tile).agg(packed)
+    tile = F.floor((F.col("pos") - 1) / TILE_ROWS).cast("int").alias("tile")
+    tiles = placed.groupBy("symbol", tile).agg(
+        F.collect_list(F.struct("date", "x", *labels)).alias("rows"),
+        F.ceil(F.max("n_rows") / TILE_ROWS).cast("int").alias("n_tiles"),
+    )
+
+    def part(name):
+        return F.transform("rows", lambda r: r[name])
+
+    return tiles.select(
+        "symbol",
+        "tile",
+        "n_tiles",
+        part("date").alias("dates"),
+        F.flatten(part("x")).alias("x"),
+        *[part(c).alias(c) for c in labels],
+    )
+
+
+def _matrix(flat, count: int) -> np.ndarray:
+    return np.asarray(flat, dtype=float).reshape(count, -1)
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a[:, None, :] - b[None, :, :]) ** 2).sum(2)
+    """Squared distances of all rows of ``a`` and ``b``, one coordinate at a time."""
+    total = np.zeros((len(a), len(b)))
+    for p, q in zip(a.T, b.T):
+        gap = p[:, None] - q[None, :]
+        total += gap * gap
+    return total
 
 
 def _starts(ks, restarts: int, seed: int):
@@ -173,8 +199,8 @@ def _moves(dimensions: int):
     def run(batches):
         for batch in batches:
             keys, values = [], []
-            for symbol, rows, candidates in zip(batch["symbol"], batch["rows"], batch["candidates"]):
-                days = np.array([r["x"] for r in rows], dtype=float)
+            for symbol, flat, candidates in zip(batch["symbol"], batch["x"], batch["candidates"]):
+                days = np.asarray(flat, dtype=float).reshape(-1, dimensions)
                 for candidate in candidates:
                     centres = np.array([list(c) for c in candidate["centres"]], dtype=float)
                     distance = _squares(days, centres)
@@ -198,7 +224,7 @@ def _nearest_days(tiles: DataFrame, candidates: DataFrame, dimensions: int) -> D
     )
     columns = [f"x{i}" for i in range(dimensions)]
     schema = "symbol string, k int, run int, cluster int, n long, cost double, "
-    partial = tiles.join(packed, "symbol").select("symbol", "rows", "candidates")
+    partial = tiles.join(packed, "symbol").select("symbol", "x", "candidates")
     partial = partial.mapInPandas(
         _moves(dimensions), schema + ", ".join(f"{c} double" for c in columns)
     )
@@ -318,39 +344,32 @@ def regime_centres(labelled: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _distance_sums(labels: list[str]):
-    """For each row of the first tile: sums of distances to the second tile's rows by their label."""
+    """For each day of the first tile: sums of distances to the second tile's days by their label."""
 
     def run(batches):
         for batch in batches:
             parts = []
-            for symbol, left, right in zip(batch["symbol"], batch["left_rows"], batch["right_rows"]):
-                a = np.array([r["x"] for r in left])
-                b = np.array([r["x"] for r in right])
-                squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
-                distances = np.sqrt(np.maximum(squares, 0.0))
-                # Equal days are at distance zero exactly; the expansion above only nearly says so.
-                near_a, near_b = np.nonzero(distances < 1e-5)
-                exact = a[near_a] - b[near_b]
-                distances[near_a, near_b] = np.sqrt((exact * exact).sum(1))
-                dates = [r["date"] for r in left]
+            for row in batch.itertuples(index=False):
+                count = len(row.dates)
+                a, b = _matrix(row.x, count), _matrix(row.other_x, row.other_count)
+                distances = np.sqrt(_squares(a, b))
                 for name in labels:
-                    own = np.array([r[name] for r in left])
-                    other = np.array([r[name] for r in right])
-                    for cluster in np.unique(other):
-                        members = other == cluster
-                        parts.append(
-                            pd.DataFrame(
-                                {
-                                    "symbol": symbol,
-                                    "date": dates,
-                                    "labelling": name,
-                                    "own": own,
-                                    "cluster": int(cluster),
-                                    "total": distances[:, members].sum(1),
-                                    "members": int(members.sum()),
-                                }
-                            )
+                    other = np.asarray(getattr(row, f"other_{name}"))
+                    clusters = np.unique(other)
+                    member = (other[:, None] == clusters[None, :]).astype(float)
+                    parts.append(
+                        pd.DataFrame(
+                            {
+                                "symbol": row.symbol,
+                                "date": np.repeat(np.asarray(row.dates), len(clusters)),
+                                "labelling": name,
+                                "own": np.repeat(np.asarray(getattr(row, name)), len(clusters)),
+                                "cluster": np.tile(clusters, count),
+                                "total": (distances @ member).ravel(),
+                                "members": np.tile(member.sum(0).astype(int), count),
+                            }
                         )
+                    )
             if parts:
                 yield pd.concat(parts, ignore_index=True)
 
@@ -362,12 +381,20 @@ def silhouette_values(points: DataFrame, labels: list[str]) -> DataFrame:
 
     The measure needs each day's mean distance to every cluster of its symbol.  Days are packed into
     tiles; a task takes two tiles of one symbol and returns one sum per day and cluster, so pairs of
-    days are never rows.  A symbol has at most one day per date, which bounds its tiles.
+    days are never rows.  Tiles meet by (symbol, tile number), which spreads a long symbol over many
+    tasks; a symbol has at most one day per date, which bounds the number of its tiles.
     """
-    tiles = point_tiles(points.select("symbol", "date", "x", *labels), ["x", *labels])
-    left = tiles.select("symbol", F.col("tile").alias("left_tile"), F.col("rows").alias("left_rows"))
-    right = tiles.select("symbol", F.col("rows").alias("right_rows"))
-    paired = left.join(right, "symbol").select("symbol", "left_rows", "right_rows")
+    # Read from both sides of the join below.
+    tiles = staged(point_tiles(points.select("symbol", "date", "x", *labels), labels), "label-tiles")
+    other = tiles.select(
+        "symbol",
+        F.col("tile").alias("other_tile"),
+        F.col("x").alias("other_x"),
+        F.size("dates").alias("other_count"),
+        *[F.col(c).alias(f"other_{c}") for c in labels],
+    )
+    meets = F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)).alias("other_tile")
+    paired = tiles.select("symbol", "dates", "x", *labels, meets).join(other, ["symbol", "other_tile"])
     sums = paired.mapInPandas(
         _distance_sums(labels),
         "symbol string, date date, labelling string, own int, cluster int, total double, members long",
@@ -416,7 +443,9 @@ def elbow(points: DataFrame, models: DataFrame, ks=ELBOW_RANGE) -> DataFrame:
 
 def run_regimes(rows: DataFrame, with_elbow: bool = True, **options) -> dict[str, DataFrame]:
     """Features, labelled days, statistics, centres, silhouette and elbow as named tables."""
-    features = enough_rows(regime_features(rows, **options), REGIME_MIN_ROWS)
+    # Each later step reads its input more than once, so the steps are stored.
+    features = staged(regime_features(rows, **options), "regime-features")
+    features = enough_rows(features, REGIME_MIN_ROWS)
     names = regime_columns(features)
     points = staged(scaled_points(features, names), "regime-points")
     ks = sorted({REGIME_COUNT, *(ELBOW_RANGE if with_elbow else ())})

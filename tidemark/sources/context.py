@@ -34,17 +34,19 @@ def series_returns(series: DataFrame, column: str, name: str) -> DataFrame:
 def join_context(bars: DataFrame, vix: DataFrame, sp500: DataFrame) -> DataFrame:
     """Add VIX (exact date, then filled forward per symbol) and SP500_Return (missing is 0).
 
-    A wholly empty VIX source gives a constant; otherwise leading gaps stay NULL.  Both series have
-    one row per date; whether they are broadcast is decided by their measured size.
+    A wholly empty VIX source gives a constant; otherwise leading gaps stay NULL.  Both series are
+    reduced to one row per date, so their size is bounded by the calendar (a century of dates is less
+    than a megabyte) and they are broadcast instead of shuffling the bars by date.
     """
-    joined = bars.join(vix.select("date", "VIX"), "date", "left")
-    joined = forward_fill(joined, ["VIX"])
+    vix = vix.groupBy("date").agg(F.max("VIX").alias("VIX"))
+    joined = forward_fill(bars.join(F.broadcast(vix), "date", "left"), ["VIX"])
     known = vix.agg(F.count(F.lit(1)).alias("n")).scalar()
     joined = joined.withColumn(
         "VIX", F.when(known == 0, F.lit(VIX_WHEN_EMPTY)).otherwise(F.col("VIX"))
     )
+    sp500 = sp500.groupBy("date").agg(F.max("SP500").alias("SP500"))
     returns = series_returns(sp500, "SP500", "SP500_Return")
-    joined = joined.join(returns, "date", "left")
+    joined = joined.join(F.broadcast(returns), "date", "left")
     return joined.withColumn(
         "SP500_Return", F.coalesce("SP500_Return", F.lit(RETURN_WHEN_EMPTY))
     ).dropna(how="all", subset=[c for c in joined.columns if c not in ("symbol", "date")])

@@ -16,6 +16,7 @@ from tidemark.operators import candles
 from tidemark.sources.bars import from_wide, in_universe, lineitem_bars
 from tidemark.sources.context import company_facts, join_context, lineitem_facts, orders_context
 from tidemark.sources.context import read_series
+from tidemark.sources.sinks import staged
 
 SCALED = ["Daily_Return", "HV_5", "HV_21", "Volume_Ratio", "RSI_14", "BB_Pct"]
 
@@ -387,7 +388,7 @@ def regime_features_dashboard(spark, sf_dir):
 
 
 def _ruled(spark, sf_dir):
-    days = regimes.regime_features(_bars(spark, sf_dir))
+    days = staged(regimes.regime_features(_bars(spark, sf_dir)), "regime-features")
     rule = F.when(F.col("RSI_14") >= 60, 10).when(F.col("BB_Pct") < 0.3, 20).otherwise(30)
     return regimes.by_mean_return(days.withColumn("cluster", rule))
 
@@ -409,7 +410,8 @@ def regime_centres(spark, sf_dir):
 
 
 def silhouette(spark, sf_dir):
-    points = regimes.scaled_points(_ruled(spark, sf_dir), SCALED, keep=["regime"])
+    ruled = staged(_ruled(spark, sf_dir), "ruled")
+    points = staged(regimes.scaled_points(ruled, SCALED, keep=["regime"]), "points")
     out = regimes.silhouette(points, ["regime"]).select("symbol", "silhouette")
     return digits(out, silhouette=6)
 
