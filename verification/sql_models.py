@@ -20,7 +20,7 @@ SQL = {
         feature_value FROM shap""",
     "shap_global": f"""WITH {SHAP}, g AS (SELECT symbol, feature, avg(abs(shap)) AS m FROM shap GROUP BY ALL)
         SELECT symbol, 'given' AS model, feature, round(m, 3) AS mean_abs_shap,
-          row_number() OVER (PARTITION BY symbol ORDER BY m DESC, feature) AS rank FROM g""",
+          CAST(row_number() OVER (PARTITION BY symbol ORDER BY m DESC, feature) AS INTEGER) AS rank FROM g""",
     "shap_local": f"""WITH {SHAP} SELECT symbol, date, 'given' AS model, feature, round(shap, 3) AS shap,
         feature_value, CASE WHEN shap >= 0 THEN 'positive' ELSE 'negative' END AS direction FROM shap
         QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY abs(shap) DESC, feature) = 1""",

@@ -250,16 +250,16 @@ SQL = {
         AS n_ranked FROM ret""",
     "corr_topk": f"""{CORR}, r AS (SELECT symbol, feature, v, row_number() OVER
           (PARTITION BY symbol ORDER BY round(v, 9) DESC NULLS LAST, feature) AS place FROM corr_long)
-        SELECT symbol, sum(place) AS places, count(*) AS n, round(sum(v), 6) AS total,
+        SELECT symbol, CAST(sum(place) AS BIGINT) AS places, count(*) AS n, round(sum(v), 6) AS total,
           round(min(v), 6) AS lowest FROM r WHERE place <= 30 GROUP BY symbol""",
     "correlations": f"""{CORR} SELECT symbol, feature, round(v, 6) AS abs_corr FROM corr_long""",
     "monthly_seasonality": f"""WITH {RETURNS}, m AS (SELECT symbol, year(date) AS year,
           month(date) AS month, avg(ret_pct) AS r FROM ret GROUP BY ALL)
-        SELECT symbol, year, {", ".join(
+        SELECT symbol, CAST(year AS INTEGER) AS year, {", ".join(
             f"round(max(r) FILTER (month = {i}), 6) AS {n}" for i, n in enumerate(
                 "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split(), 1))}
         FROM m GROUP BY symbol, year""",
-    "dow_seasonality": f"""WITH {RETURNS} SELECT symbol, isodow(date) - 1 AS weekday,
+    "dow_seasonality": f"""WITH {RETURNS} SELECT symbol, CAST(isodow(date) - 1 AS INTEGER) AS weekday,
         round(avg(ret_pct), 6) AS mean_return, strftime(min(date), '%a') AS weekday_name
         FROM ret GROUP BY symbol, isodow(date)""",
     "dow_effect": f"""WITH {RETURNS}, d AS (SELECT symbol, strftime(min(date), '%a') AS day,
@@ -270,7 +270,7 @@ SQL = {
         FROM d GROUP BY symbol""",
     "annual_return": f"""WITH {BARS}, y AS (SELECT symbol, year(date) AS year,
           arg_min("close", date) AS a, arg_max("close", date) AS b FROM bars GROUP BY ALL)
-        SELECT symbol, year, round((b - a) / a * 100, 6) AS annual_return,
+        SELECT symbol, CAST(year AS INTEGER) AS year, round((b - a) / a * 100, 6) AS annual_return,
           CASE WHEN (b - a) / a >= 0 THEN 'positive' ELSE 'negative' END AS sign FROM y""",
     "year_range": f"""WITH {LAST} SELECT symbol, max(high) AS high_52w, min(low) AS low_52w FROM ranked
         WHERE back <= 252 GROUP BY symbol""",
@@ -293,11 +293,11 @@ SQL = {
     "business_days": f"""WITH {BARS}, s AS (SELECT symbol, max(date) AS last_date FROM bars GROUP BY symbol),
         d AS (SELECT symbol, CAST(unnest(generate_series(last_date + 1, last_date + 67, INTERVAL 1 DAY))
           AS DATE) AS date FROM s)
-        SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY date) AS step, date FROM d
+        SELECT symbol, CAST(row_number() OVER (PARTITION BY symbol ORDER BY date) AS INTEGER) AS step, date FROM d
         WHERE isodow(date) <= 5 QUALIFY step <= 30""",
     "time_split": f"""WITH {SPLIT} SELECT symbol, split, count(*) AS n, min(date) AS first, max(date) AS last
         FROM seg GROUP BY ALL""",
-    "cv_folds": f"""WITH {SPLIT}, f AS (SELECT symbol, unnest(range(5)) AS fold, segment, date FROM seg)
+    "cv_folds": f"""WITH {SPLIT}, f AS (SELECT symbol, CAST(unnest(range(5)) AS INTEGER) AS fold, segment, date FROM seg)
         SELECT symbol, fold, CASE WHEN segment <= fold THEN 'train' ELSE 'valid' END AS role,
           count(*) AS n, min(date) AS first, max(date) AS last FROM f WHERE segment <= fold + 1
         GROUP BY ALL""",
@@ -346,7 +346,7 @@ SQL = {
           round(yhat + sigma, 2) FROM tested JOIN sigmas USING (symbol, model)
         UNION ALL SELECT symbol, date, model, 'forecast', CAST(NULL AS DOUBLE), round(yhat, 2),
           round(lower, 2), round(upper, 2) FROM fc""",
-    "importance_top": f"""{CORR}, {IMPORTANT} SELECT symbol, model, feature, importance, place AS rank
+    "importance_top": f"""{CORR}, {IMPORTANT} SELECT symbol, model, feature, importance, CAST(place AS INTEGER) AS rank
         FROM placed WHERE place <= 20""",
     "importance_relative": f"""{CORR} SELECT symbol, model, feature, round(importance /
         max(importance) OVER (PARTITION BY symbol, model) * 100, 4) AS relative FROM imp""",
@@ -357,7 +357,7 @@ SQL = {
         SELECT symbol, model, feature_group, round(coalesce(total, 0.0), 6) AS total
         FROM (SELECT DISTINCT symbol, model, feature_group FROM imp, patterns)
         LEFT JOIN g USING (symbol, model, feature_group)""",
-    "importance_cumulative": f"""{CORR}, {IMPORTANT} SELECT symbol, model, feature, place AS rank,
+    "importance_cumulative": f"""{CORR}, {IMPORTANT} SELECT symbol, model, feature, CAST(place AS INTEGER) AS rank,
         round(sum(importance) OVER (PARTITION BY symbol, model ORDER BY place ROWS UNBOUNDED PRECEDING)
           / sum(importance) OVER (PARTITION BY symbol, model) * 100, 4) AS cumulative FROM placed""",
     "importance_to_80": f"""{CORR}, {IMPORTANT}, c AS (SELECT symbol, model, sum(importance) OVER
