@@ -123,6 +123,13 @@ def test_train_all_models(features, small_trees):
         result.predictions.filter(F.col("model") == BOOSTING), ["symbol", "date"]
     ).select((F.col("yhat") - F.col("s")).alias("base")).toPandas()["base"]
     assert len(checked) == 56 + 48 and checked.max() - checked.min() < 1e-6
+    plain = explain.run_explanation(result, RIDGE)["shap"]
+    sums = plain.groupBy("symbol", "date", "model").agg(F.sum("shap").alias("s"))
+    base = explain.linear_base(result.linear)
+    gap = sums.join(base, ["symbol", "model"]).join(
+        result.predictions, ["symbol", "date", "model"]
+    ).select(F.max(F.abs(F.col("yhat") - F.col("s") - F.col("expected")))).first()[0]
+    assert gap < 1e-6
 
 
 def reference_forecast(beta, intercept, names, row, closes, n, mode):

@@ -163,3 +163,15 @@ def test_stream_equals_batch(spark, tmp_path):
     last = max(ticks["ts"]) - pd.Timedelta("10min")
     closed = {r for r in want if r[1] + pd.Timedelta("1h") <= last}
     assert got == closed and len(got) > 20
+
+
+def test_universe_and_default_range(spark):
+    df = spark.createDataFrame(pd.concat([level("AAPL", [1, 2]), level("XXXX", [1, 2])]), SCHEMA)
+    symbols = source.universe(spark)
+    assert symbols.count() == 11
+    kept = source.in_universe(df, symbols).select("symbol").distinct().collect()
+    assert [r["symbol"] for r in kept] == ["AAPL"]
+    start, end = source.default_range(F.lit("2026-04-20").cast("date"))
+    row = symbols.select((F.datediff(end, start)).alias("days")).first()
+    assert row["days"] == 1825
+    assert source.recent(df, days=0).count() == 2

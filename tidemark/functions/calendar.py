@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from math import pi
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.fixed import MONTH_NAMES, WEEKDAY_NAMES
+from tidemark.fixed import WEEKDAY_NAMES
 
 CALENDAR_COLUMNS = [
     "DayOfWeek",
@@ -44,10 +44,6 @@ def calendar(rows: DataFrame) -> DataFrame:
     )
 
 
-def month_name(month: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(n) for n in MONTH_NAMES]), month)
-
-
 def weekday_name(day: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in WEEKDAY_NAMES]), day + 1)
 
@@ -66,8 +62,3 @@ def business_days(starts: DataFrame, count: int, start: str = "last_date") -> Da
 
 def last_dates(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol").agg(F.max("date").alias("last_date"))
-
-
-def with_row_index(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Number the rows of small groups (feature lists, model lists) from 1."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

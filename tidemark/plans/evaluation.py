@@ -5,7 +5,7 @@ Prediction tables are long: (symbol, date, model, split, y, yhat).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.fixed import MAPE_GUARD, METRIC_NAMES, MODEL_NAMES
@@ -39,12 +39,6 @@ def with_segments(rows: DataFrame, test_size: float = TEST_SIZE, folds: int = FO
     return out.drop("_train", "_size", "_start", "pos", "n_rows")
 
 
-def fold_rows(segmented: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
-    """Training and validation rows of one fold."""
-    train = F.col("segment") <= fold
-    return segmented.filter(train), segmented.filter(F.col("segment") == fold + 1)
-
-
 def fold_sizes(segmented: DataFrame, folds: int = FOLDS) -> DataFrame:
     """Rows and date limits of the training and validation part of every fold."""
     sizes = segmented.groupBy("symbol", "segment").agg(
@@ -213,14 +207,7 @@ def timeline(predictions: DataFrame, forecast: DataFrame) -> DataFrame:
     )
 
 
-def first_rows(rows: DataFrame, count: int, keys=("symbol",)) -> DataFrame:
+def first_rows(rows: DataFrame, count: int) -> DataFrame:
     """The first ``count`` rows of each series by date."""
     placed = with_positions(rows)
     return placed.filter(F.col("pos") <= count).drop("pos", "n_rows")
-
-
-
-
-def ranked_models(wide: DataFrame) -> DataFrame:
-    order = Window.partitionBy("symbol").orderBy("RMSE", registry_rank(), "model")
-    return wide.withColumn("rank", F.row_number().over(order))

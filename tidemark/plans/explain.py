@@ -221,14 +221,17 @@ def sampled_shap(
         )
     )
     walks = walks.withColumn("turn", F.transform(turn, lambda e: e["i"]))
+    places = F.transform(
+        F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.array_position(F.col("turn"), i) - 1
+    )
+    walks = walks.withColumn("place", places)
     base = background.select("symbol", F.col("i").alias("_i"), "n_base", "base")
     sizes = background.select("symbol", "n_base").distinct()
     walks = walks.join(sizes, "symbol").withColumn("_i", F.col("order") % F.col("n_base"))
     walks = walks.join(base.drop("n_base"), ["symbol", "_i"])
     steps = walks.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(d))))
-    done = F.slice("turn", 1, F.col("step"))
     mixed = F.transform(
-        "x", lambda v, i: F.when(F.array_contains(done, i), v).otherwise(F.get("base", i))
+        "x", lambda v, i: F.when(F.get("place", i) < F.col("step"), v).otherwise(F.get("base", i))
     )
     scored = score(steps.withColumn("features", array_to_vector(mixed)))
     walk = Window.partitionBy("symbol", "date", "order").orderBy("step")

@@ -404,6 +404,10 @@ def regime_stats(spark, sf_dir):
     return regimes.regime_statistics(_ruled(spark, sf_dir))
 
 
+def regime_means(spark, sf_dir):
+    return digits(regimes.regime_means(_ruled(spark, sf_dir)), mean_return=5)
+
+
 def regime_centres(spark, sf_dir):
     out = regimes.regime_centres(_ruled(spark, sf_dir), SCALED)
     return digits(out, **{c: 5 for c in SCALED})
@@ -472,6 +476,7 @@ QUERIES = {
     "regime_features_dashboard": regime_features_dashboard,
     "regime_ruled": regime_ruled,
     "regime_stats": regime_stats,
+    "regime_means": regime_means,
     "regime_centres": regime_centres,
     "silhouette": silhouette,
 }

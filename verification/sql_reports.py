@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verification.sql_bars import ALL_ROWS, BARS, CONTEXT, FEATURES, LAYERS, W, pick
+from verification.sql_bars import ALL_ROWS, BARS, CONTEXT, FEATURES, LAYERS, W
 
 COLUMNS = ["open", "high", "low", "close", "volume"]
 RETURNS = f"""{BARS},
@@ -391,6 +391,8 @@ SQL = {
         round(avg(Daily_Return), 4) AS mean_return, round(avg(HV_21), 4) AS mean_hv21,
         round(avg(RSI_14), 2) AS mean_rsi, round(max(Daily_Return), 2) AS max_return,
         round(min(Daily_Return), 2) AS min_return FROM labelled GROUP BY symbol, regime""",
+    "regime_means": f"""WITH {RULED} SELECT symbol, regime, round(avg(Daily_Return), 5) AS mean_return
+        FROM labelled GROUP BY symbol, regime""",
     "regime_centres": f"""WITH {RULED} SELECT symbol, regime, {", ".join(
         f"round(avg({c}), 5) AS {c}" for c in _SCALE)} FROM labelled GROUP BY symbol, regime""",
     "silhouette": f"""WITH {SILHOUETTE} SELECT symbol, round(avg((b - a) / greatest(a, b)), 6) AS silhouette
