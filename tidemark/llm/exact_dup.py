@@ -93,12 +93,13 @@ def _classed(docs: DataFrame, columns: list[str], normal) -> tuple[DataFrame, Da
     single = marked.where("_many is null").drop("_text", "_fp", "_many")
     rows = marked.where("_many is not null")
     # One text of each fingerprint; the partial maximum leaves one per task before the shuffle.
-    sample = rows.groupBy("_fp").agg(F.max("_text").alias("_sample"))
+    # Written tables on both sides of the joins let Spark split a very large group.
+    sample = staged(rows.groupBy("_fp").agg(F.max("_text").alias("_sample")), "samples")
     rows = rows.join(sample, "_fp").withColumn("_odd", F.when(F.col("_text") != F.col("_sample"), F.col("_text")))
     rows = staged(rows.drop("_text", "_sample", "_many"), "verified")
     rows = rows.withColumns({"_other": F.col("_odd").isNotNull(), "_odd": F.coalesce("_odd", F.lit(""))})
     stats = rows.groupBy("_fp", "_odd", "_other").agg(F.max("_id").alias("_keep"), F.count("*").alias("_size"))
-    return single, rows.join(stats, ["_fp", "_odd", "_other"])
+    return single, rows.join(staged(stats, "classes"), ["_fp", "_odd", "_other"])
 
 
 def exact_groups(docs: DataFrame, normal=None) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dup, mixing, near_dup, quality, toxicity
+from tidemark.llm import bpe, exact_dup, fingerprints, mixing, near_dup, quality, substrings, toxicity
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -20,6 +21,11 @@ def op2_quality(spark: SparkSession, directory: str) -> DataFrame:
     return quality.quality(_table(spark, directory, "documents"), _table(spark, directory, "labels"))
 
 
+def op4_substrings(spark: SparkSession, directory: str) -> DataFrame:
+    left = substrings.without_repeats(_table(spark, directory, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_mixing(spark: SparkSession, directory: str) -> DataFrame:
     mix = mixing.mix_sizes(_table(spark, directory, "documents"))
     return mix.select("doc_id", "source", "size", "source_size", "target", "taken")
@@ -37,6 +43,19 @@ def op9_exact_dup(spark: SparkSession, directory: str) -> DataFrame:
     return exact_dup.exact_groups(_table(spark, directory, "documents"))
 
 
+def op10_fingerprints(spark: SparkSession, directory: str) -> DataFrame:
+    made = fingerprints.edited_fingerprints(_table(spark, directory, "documents"))
+    return made.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
 def pipeline(spark: SparkSession, directory: str) -> DataFrame:
     import corpus_pipeline
 
@@ -45,10 +64,35 @@ def pipeline(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe, op2_quality, op5_mixing, op6_toxicity, op7_near_dup, op9_exact_dup, pipeline)
+    for f in (
+        op1_bpe,
+        op2_quality,
+        op4_substrings,
+        op5_mixing,
+        op6_toxicity,
+        op7_near_dup,
+        op9_exact_dup,
+        op10_fingerprints,
+        pipeline,
+    )
 }
 
 SQL = {
+    "op4_substrings": r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, k, array_to_string(w[k : k + 12], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM words)),
+repeats AS (
+  SELECT doc_id, k FROM (SELECT *, min(doc_id) OVER (PARTITION BY g) AS least FROM windows) WHERE least < doc_id),
+gone AS (
+  SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(k, k + 13)) AS p FROM repeats) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN ps IS NULL THEN array_to_string(w, ' ')
+              ELSE coalesce(array_to_string([w[i] FOR i IN range(1, len(w) + 1) IF NOT list_contains(ps, i)], ' '), '') END) AS kept_sha256
+FROM words LEFT JOIN gone USING (doc_id)
+""",
     "op5_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
