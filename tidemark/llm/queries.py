@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dup, fingerprints, mixing, near_dup, quality, substrings, toxicity
+from tidemark.llm import (
+    bpe,
+    exact_dup,
+    fingerprints,
+    html_text,
+    mixing,
+    near_dup,
+    pii,
+    quality,
+    substrings,
+    toxicity,
+)
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -21,6 +32,10 @@ def op2_quality(spark: SparkSession, directory: str) -> DataFrame:
     return quality.quality(_table(spark, directory, "documents"), _table(spark, directory, "labels"))
 
 
+def op3_html(spark: SparkSession, directory: str) -> DataFrame:
+    return html_text.main_text(_table(spark, directory, "pages"))
+
+
 def op4_substrings(spark: SparkSession, directory: str) -> DataFrame:
     left = substrings.without_repeats(_table(spark, directory, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -39,6 +54,13 @@ def op7_near_dup(spark: SparkSession, directory: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, directory, "documents"))
 
 
+def op8_pii(spark: SparkSession, directory: str) -> DataFrame:
+    found = pii.personal_data(_table(spark, directory, "documents"))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans"
+    )
+
+
 def op9_exact_dup(spark: SparkSession, directory: str) -> DataFrame:
     return exact_dup.exact_groups(_table(spark, directory, "documents"))
 
@@ -67,10 +89,12 @@ QUERIES = {
     for f in (
         op1_bpe,
         op2_quality,
+        op3_html,
         op4_substrings,
         op5_mixing,
         op6_toxicity,
         op7_near_dup,
+        op8_pii,
         op9_exact_dup,
         op10_fingerprints,
         pipeline,
