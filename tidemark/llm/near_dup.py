@@ -7,9 +7,12 @@ rounds that aim at one bin each, so every bin of a non-empty set is filled.  Doc
 BANDS bands of ROWS bins are candidates: at similarity 0.75 a pair is missed with probability
 (1 - 0.75^4)^32 = 5e-6.
 
-Equal sets are one node.  Nodes of one band value are first linked to its smallest node; what these links do
-not connect is then compared block against block inside tasks, and only pairs whose sketches may reach the
-threshold leave a task.  Every pair is confirmed on full sets.  No bucket is cut.
+Equal sets are one node.  Pairs are confirmed on full sets, after a look at sizes and whole sketches, in three
+rounds: nodes of one band value with its smallest node; then nodes outside the value's largest component with
+their likest partners of other components; then these nodes with all partners of other components.  Nodes that
+are connected already are not compared, so a large group of copies costs about one pair per copy.  The last two
+rounds compare blocks of sketches inside tasks.  The full round sends the sets of blocks, not pairs, looks at a pair
+in the first band that both share only, and returns links alone.  No bucket is cut.
 
 Nulls and empty texts have an empty set and are linked with nothing.  Rows that repeat a doc_id count as one
 document for links.  A null doc_id gets the smallest id of its component, or null.  Extra columns are ignored.
@@ -27,10 +30,12 @@ from tidemark.llm.words import Words, buffers, grams, mix, slices
 from tidemark.sources.sinks import staged
 
 SHINGLE = 5
-SLOTS, BANDS, ROWS = 128, 32, 4
-#: A pair at the threshold agrees on 96 of 128 bins on average (deviation 4.9).
-AGREE = 60
+SLOTS, BANDS, ROWS = 256, 32, 4
+#: A pair at the threshold agrees on 192 of 256 bins on average (deviation 6.9); fewer than AGREE have odds of 2e-6.
+AGREE = 160
 BLOCK = 256
+#: Likest partners that a node tries in the round before the full one.
+FIRST_TRIES = 3
 _END = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -95,14 +100,15 @@ def _sketched(batches):
                     pa.array(low.view(np.int64)),
                     pa.array(high.view(np.int64)),
                     pa.array([x.tobytes() for x in (mix(slots) & np.uint64(255)).astype(np.uint8)], pa.binary()),
+                    pa.array([x.tobytes() for x in bands], pa.binary()),
                     pa.array(bands.view(np.int64).tolist(), pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "low", "high", "slots", "bands"],
+                ["doc_id", "n_shingles", "low", "high", "slots", "marks", "bands"],
             )
 
 
 def grams_of_rows(slots: np.ndarray) -> np.ndarray:
-    parts = slots.reshape(len(slots), BANDS, ROWS)
+    parts = slots[:, : BANDS * ROWS].reshape(len(slots), BANDS, ROWS)
     out = np.zeros(parts.shape[:2], np.uint64)
     for r in range(ROWS):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, r], 31 + r)
@@ -126,107 +132,183 @@ def _sets(batches):
             )
 
 
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets, given as distinct hashes, reach the threshold."""
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared > 0 and 100 * shared >= 75 * (len(x) + len(y) - shared)
+
+
 def _confirmed(batches):
     for batch in batches:
-        keep = []
-        for left, right in zip(batch.column("left"), batch.column("right")):
-            x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
-            if 100 * min(len(x), len(y)) < 75 * max(len(x), len(y)):
-                keep.append(False)
-                continue
-            both = np.concatenate([x, y])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            keep.append(shared > 0 and 100 * shared >= 75 * (len(x) + len(y) - shared))
+        sides = zip(batch.column("left"), batch.column("right"))
+        keep = [similar(*(np.frombuffer(x.as_buffer(), np.uint64) for x in pair)) for pair in sides]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _full_sets(ends: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, hashes (the set) of the nodes in `ends`."""
+    ends = staged(ends, "ends")
+    texts = docs.join(ends, docs["doc_id"] == ends["node"]).select("node", "text")
+    return staged(texts.mapInArrow(_sets, "node long, hashes binary"), "sets")
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of pairs(a, b) whose full sets reach the threshold."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.join(ends, docs["doc_id"] == ends["node"]).select("node", "text")
-    sets = staged(texts.mapInArrow(_sets, "node long, hashes binary"), "sets")
+    sets = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs)
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("right"))
     whole = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
     return whole.mapInArrow(_confirmed, "a long, b long").distinct()
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """Pairs of one band value and two blocks that are not connected yet and may reach the threshold."""
-    node, part = (table.column(c).to_numpy() for c in ("node", "component"))
-    n, minor = table.column("n_shingles").to_numpy(), table.column("minor").to_numpy()
-    block = table.column("own").to_numpy()
-    first, second = table.column("first")[0].as_py(), table.column("second")[0].as_py()
-    slots = np.frombuffer(b"".join(table.column("slots").to_pylist()), np.uint8).reshape(-1, SLOTS)
-    a, b = [], []
-    right = np.flatnonzero(block == second)
-    for i in np.flatnonzero((block == first) & minor):
-        fit = right[(part[right] != part[i]) & (node[right] != node[i])]
-        fit = fit[100 * np.minimum(n[fit], n[i]) >= 75 * np.maximum(n[fit], n[i])]
-        fit = fit[(slots[fit] == slots[i]).sum(axis=1) >= AGREE]
-        a.append(np.full(len(fit), node[i]))
-        b.append(node[fit])
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+def _alike(batches):
+    """Pairs whose sizes and sketches may reach the threshold."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SLOTS) for c in ("x", "y"))
+        n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+        fit = ((x == y).sum(axis=1) >= AGREE) & (100 * np.minimum(n, m) >= 75 * np.maximum(n, m))
+        yield batch.select(["a", "b"]).filter(pa.array(fit))
+
+
+class _Meeting:
+    """Nodes of one band value and two blocks; partners of each node of the first block that is not connected."""
+
+    def __init__(self, table: pa.Table):
+        self.node, self.part, self.n = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
+        self.minor = table.column("minor").to_numpy(zero_copy_only=False)
+        self.block = table.column("own").to_numpy()
+        self.band, self.first, self.second = (table.column(c)[0].as_py() for c in ("band", "first", "second"))
+        self.slots = np.frombuffer(b"".join(table.column("slots").to_pylist()), np.uint8).reshape(-1, SLOTS)
+        self.bands = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.int64).reshape(-1, BANDS)
+
+    def partners(self, once: bool):
+        """(row, rows that may reach the threshold with it, the likest first); once: only in the first shared band."""
+        right = np.flatnonzero(self.block == self.second)
+        for i in np.flatnonzero((self.block == self.first) & self.minor):
+            fit = right[(self.part[right] != self.part[i]) & (self.node[right] != self.node[i])]
+            fit = fit[100 * np.minimum(self.n[fit], self.n[i]) >= 75 * np.maximum(self.n[fit], self.n[i])]
+            agree = (self.slots[fit] == self.slots[i]).sum(axis=1)
+            fit, agree = fit[agree >= AGREE], agree[agree >= AGREE]
+            if once and len(fit):
+                here = self.bands[i][(self.bands[fit] == self.bands[i]).argmax(axis=1)] == self.band
+                fit, agree = fit[here], agree[here]
+            if len(fit):
+                yield i, fit[np.argsort(-agree, kind="stable")]
+
+
+def _pairs(a: list, b: list) -> pa.Table:
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
     return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
 
+def _likest(table: pa.Table) -> pa.Table:
+    met, a, b = _Meeting(table), [], []
+    for i, fit in met.partners(once=False):
+        b += met.node[fit[:FIRST_TRIES]].tolist()
+        a += [met.node[i]] * len(fit[:FIRST_TRIES])
+    return _pairs(a, b)
+
+
+def _involved(table: pa.Table) -> pa.Table:
+    """Rows of nodes that have a partner to be confirmed here."""
+    needed = np.zeros(table.num_rows, bool)
+    for i, fit in _Meeting(table).partners(once=True):
+        needed[i] = True
+        needed[fit] = True
+    return table.filter(pa.array(needed))
+
+
+def _linked(table: pa.Table) -> pa.Table:
+    """Links that connect components, confirmed on full sets; what a link has connected is not looked at again."""
+    met, a, b = _Meeting(table), [], []
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            x = up
+        return x
+
+    for i, fit in met.partners(once=True):
+        for j in fit:
+            left, right = root(int(met.part[i])), root(int(met.part[j]))
+            if left != right and similar(sets[i], sets[j]):
+                parent[left] = right
+                a.append(met.node[i])
+                b.append(met.node[j])
+    return _pairs(a, b)
+
+
+_MET = (
+    "band long, first long, second long, own long, node long, component long, minor boolean, n_shingles long, "
+    "slots binary, marks binary"
+)
+
+
+def _unconnected(shared: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes of band values with several components, dealt to pairs of blocks (columns of _MET)."""
+    rest = shared.where("members > 2 and node != leader").join(parts, "node", "left")
+    rest = rest.select("band", "node", F.coalesce("component", "node").alias("component"))
+    counts = rest.groupBy("band", "component").agg(F.count("*").alias("n"))
+    apart = counts.groupBy("band").agg(
+        F.max_by("component", F.struct("n", "component")).alias("most"), F.sum("n").alias("all"), F.count("*").alias("kinds")
+    )
+    apart = staged(apart.where("kinds > 1").select("band", "most", F.ceil(F.col("all") / BLOCK).alias("blocks")), "apart")
+    rest = (
+        rest.join(apart, "band")
+        .withColumn("minor", F.col("component") != F.col("most"))
+        .withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+        .join(nodes.select("node", "n_shingles", "slots", "marks"), "node")
+    )
+    numbers = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    as_first = F.transform(numbers, lambda i: F.struct(F.col("own").alias("first"), i.alias("second")))
+    as_second = F.transform(numbers, lambda i: F.struct(i.alias("first"), F.col("own").alias("second")))
+    at = F.when(F.col("minor"), F.array_distinct(F.concat(as_first, as_second))).otherwise(as_second)
+    return rest.withColumn("at", F.explode(at)).select(
+        "band", "at.first", "at.second", "own", "node", "component", "minor", "n_shingles", "slots", "marks"
+    )
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of `docs(doc_id, text)`."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n_shingles long, low long, high long, slots binary, bands array<long>"
+    schema = "doc_id long, n_shingles long, low long, high long, slots binary, marks binary, bands array<long>"
     made = staged(docs.mapInArrow(_sketched, schema), "sketches")
 
     sets = ["low", "high", "n_shingles"]
-    nodes = (
-        made.where("n_shingles > 0 and doc_id is not null")
-        .groupBy(*sets)
-        .agg(F.min("doc_id").alias("node"), F.min_by(F.struct("slots", "bands"), "doc_id").alias("x"))
-        .select("node", "n_shingles", "x.slots", "x.bands", *sets[:2])
+    known = made.where("n_shingles > 0 and doc_id is not null")
+    nodes = known.groupBy(*sets).agg(
+        F.min("doc_id").alias("node"), F.min_by(F.struct("slots", "marks", "bands"), "doc_id").alias("x")
     )
-    nodes = staged(nodes, "nodes")
+    nodes = staged(nodes.select("node", "n_shingles", "x.*", *sets[:2]), "nodes")
     # A doc_id that repeats with another text belongs to two sets, and so links them.
-    repeated = (
-        made.where("n_shingles > 0 and doc_id is not null")
-        .join(nodes.select(*sets, "node"), sets)
-        .where("doc_id != node")
-        .select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    )
+    repeated = known.select("doc_id", *sets).join(nodes.select(*sets, "node"), sets).where("doc_id != node")
+    repeated = repeated.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
-    placed = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
+    placed = nodes.select("node", F.explode("bands").alias("band"))
     buckets = placed.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("members"))
     buckets = staged(buckets.where("members > 1"), "buckets")
     shared = staged(placed.join(buckets, "band").select("band", "node", "leader", "members"), "shared")
     stars = shared.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    ties = staged(_confirm(stars, docs).unionByName(repeated), "ties")
+    looks = nodes.select("node", "n_shingles", "slots")
+    stars = stars.join(looks.toDF("a", "n", "x"), "a").join(looks.toDF("b", "m", "y"), "b")
+    stars = staged(stars.select("a", "b", "n", "m", "x", "y").mapInArrow(_alike, "a long, b long"), "stars")
+    ties = _confirm(stars, docs).unionByName(repeated)
     parts = staged(components(ties), "parts")
 
-    rest = (
-        shared.where("members > 2 and node != leader")
-        .join(parts, "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-    )
-    apart = rest.groupBy("band").agg(
-        F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")
-    )
-    apart = apart.where("least != most").select("band", "least", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    rest = (
-        rest.join(apart, "band")
-        .withColumn("minor", F.col("component") != F.col("least"))
-        .withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
-        .join(nodes.select("node", "n_shingles", "slots"), "node")
-        .select("band", "node", "component", "minor", "own", "blocks", "n_shingles", "slots")
-    )
-    numbers = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    as_first = F.when(F.col("minor"), F.transform(numbers, lambda i: F.struct(F.col("own").alias("first"), i.alias("second"))))
-    as_second = F.transform(numbers, lambda i: F.struct(i.alias("first"), F.col("own").alias("second")))
-    met = rest.withColumn("at", F.explode(F.array_distinct(F.concat(F.coalesce(as_first, F.array()), as_second))))
-    met = met.select("band", "at.first", "at.second", "own", "node", "component", "minor", "n_shingles", "slots")
-    more = met.groupBy("band", "first", "second").applyInArrow(_across, "a long, b long").distinct()
-    known = ties.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = staged(more.join(known, ["a", "b"], "left_anti"), "more")
-    found = _confirm(more, docs)
-    parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
+    def joined(found: DataFrame) -> DataFrame:
+        links = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
+        return staged(components(links), "parts")
+
+    meeting = ["band", "first", "second"]
+    likest = _unconnected(shared, parts, nodes).groupBy(*meeting).applyInArrow(_likest, "a long, b long").distinct()
+    parts = joined(_confirm(staged(likest.join(stars, ["a", "b"], "left_anti"), "likest"), docs))
+    involved = staged(_unconnected(shared, parts, nodes).groupBy(*meeting).applyInArrow(_involved, _MET), "involved")
+    whole = involved.join(_full_sets(involved.select("node").distinct(), docs), "node")
+    found = whole.select(*involved.columns, "hashes").groupBy(*meeting).applyInArrow(_linked, "a long, b long")
+    parts = joined(found)
 
     classes = nodes.join(parts, "node", "left").select(*sets, F.coalesce("component", "node").alias("component"))
     out = made.select("doc_id", *sets).join(classes, sets, "left")
