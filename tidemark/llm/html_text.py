@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_PAGES, BUILT_PAGES = 200, 400
-EPOCHS, RATE, DECAY = 6, 0.3, 1e-4
+SAMPLE_PAGES, BUILT_PAGES = 200, 800
+EPOCHS, RATE, DECAY = 8, 0.3, 1e-4
 
 #: Elements that begin and end blocks, elements without content, and elements whose content is never text.
 BLOCKS = frozenset(
@@ -364,7 +364,7 @@ class Builder:
         sign = ""
         inner = [re.sub(r"(<(?:p|h1|h2|li|blockquote|div)>)", rf"\1{sign}", p) for p in self.main()]
         for kind in ("advert", "share", "comments", "form", "sidebar"):
-            if r.random() < 0.2:
+            if r.random() < 0.4:
                 inner.insert(r.randint(0, len(inner)) if kind != "comments" else len(inner), self.other(kind))
         article = "".join(inner)
         tag = self.one("article", "article", "main", "div", "div", "section", "td")
