@@ -140,3 +140,12 @@ def test_signals_and_flags(spark):
     assert rows["RSI_Signal"].iloc[-1] == "overbought" and rows["RSI_Signal"].iloc[0] is None
     flags = candles.direction_flags(df).toPandas()
     assert set(flags["Body_Direction"]) == {"up"} and set(flags["Change_Direction"]) == {"up"}
+
+
+@pytest.mark.parametrize("price", [0.1, 123.37])
+def test_no_golden_cross_on_flat_prices(spark, price):
+    days = pd.bdate_range("2020-01-01", periods=400)
+    flat = pd.DataFrame({"symbol": "F", "date": days.date, "open": price, "high": price, "low": price,
+                         "close": price, "volume": 1.0})
+    crossed = averages.golden_cross(spark.createDataFrame(flat[[f.split(" ")[0] for f in SCHEMA.split(", ")]], SCHEMA))
+    assert crossed.filter("GoldenCross = 1").count() == 0

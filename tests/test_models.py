@@ -133,10 +133,10 @@ def test_train_all_models(features, small_trees):
 
 
 def reference_forecast(beta, intercept, names, row, closes, n, mode):
-    """The recursion spelled out; ``closes`` is newest first and excludes the starting row."""
+    """The recursion spelled out; ``closes`` is the series up to the starting row, oldest first."""
     current = {c: float(row[c]) for c in names}
     lags = [c for c in names if "_Lag" in c]
-    past, out = list(closes), []
+    series, at, out = list(closes), len(closes) - 1, []
     for _ in range(n):
         value = intercept + sum(b * current[c] for b, c in zip(beta, names))
         out.append(value)
@@ -145,9 +145,10 @@ def reference_forecast(beta, intercept, names, row, closes, n, mode):
                 current[lags[i]] = current[lags[i - 1]]
             current[lags[0]] = value
         else:
-            past.insert(0, value)
+            series.append(value)
+            at += 1
             for c in lags:
-                current[c] = past[int(c.split("_Lag")[1]) - 1]
+                current[c] = series[at - int(c.split("_Lag")[1])]
     return out
 
 
@@ -160,8 +161,8 @@ def test_forecast(bars, features, mode, small_trees):
     table = bars.toPandas().sort_values("date")
     for model in result.linear.filter("fold = -1").collect():
         row = result.features.filter(F.col("symbol") == model["grp"]).orderBy(F.desc("date")).first()
-        own = table[(table["symbol"] == model["grp"]) & (table["date"] < row["date"])]
-        closes = own["close"].tolist()[::-1]
+        own = table[(table["symbol"] == model["grp"]) & (table["date"] <= row["date"])]
+        closes = own["close"].tolist()
         want = reference_forecast(model["beta"], model["intercept"], names, row, closes, 12, mode)
         mine = got[(got["symbol"] == model["grp"]) & (got["model"] == model["model"])].sort_values("step")
         assert np.allclose(mine["yhat"], want, rtol=1e-8)
@@ -172,6 +173,20 @@ def test_forecast(bars, features, mode, small_trees):
     assert pd.to_datetime(days["date"]).dt.weekday.max() < 5 and len(days) == 24
 
 
+def test_forecast_sees_the_last_close(spark):
+    days = pd.bdate_range("2024-01-01", periods=31)
+    closes = [float(i) for i in range(1, 31)] + [1000.0]
+    rows = [("A", d.date(), c) for d, c in zip(days, closes)]
+    table = spark.createDataFrame(rows, "symbol string, date date, close double")
+    features = table.filter(F.col("date") == F.lit(days[-1].date())).withColumn("Close_Lag1", F.lit(30.0))
+    start = forecast.starting_rows(features, table, ["Close_Lag1"], forecast.HISTORY)
+    model = spark.createDataFrame(
+        [("A", "m", -1, 0.0, [1.0])], "grp string, model string, fold int, intercept double, beta array<double>"
+    )
+    got = forecast.forecast_linear(start, model, ["Close_Lag1"], 4, forecast.HISTORY).orderBy("step")
+    assert [r["yhat"] for r in got.collect()] == [30.0, 1000.0, 30.0, 1000.0]
+
+
 def test_analysis_tables(bars):
     tables = run_analysis(bars, models=[LINEAR, RIDGE], future_days=7)
     assert tables["forecast"].count() == 14

@@ -5,34 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.fixed import PRICE_VS_SMA_WINDOWS, SMA_WINDOWS
-from tidemark.functions.numeric import change, full_window, ratio
+from tidemark.functions.numeric import change, full_window
 from tidemark.series import windowed
 
-
-# From this length on a mean is read off running totals of the block: two steps per row, whatever the
-# length of the window.  Shorter frames are summed directly.
-TOTALS_FROM = 30
+# Two means of equal prices differ by rounding only; a smaller relative gap than this is a tie.
+TIE = 1e-12
 
 
 @windowed(back=lambda windows=SMA_WINDOWS, value="close": max(windows) - 1)
 def sma(frames, windows=SMA_WINDOWS, value="close"):
     """Rolling mean; frames at the start of a series are shorter."""
-    short = {f"SMA_{n}": F.avg(value).over(frames.last(n)) for n in windows if n < TOTALS_FROM}
-    total, count = f"_total_{value}", f"_count_{value}"
-
-    def inside(name, n):
-        return F.col(name) - F.lag(name, n, 0).over(frames.order)
-
-    long = {
-        f"SMA_{n}": ratio(inside(total, n), inside(count, n)) for n in windows if n >= TOTALS_FROM
-    }
-    if not long:
-        return [short]
-    totals = {
-        total: F.sum(value).over(frames.so_far()),
-        count: F.count(value).over(frames.so_far()),
-    }
-    return [{**short, **totals}, long]
+    return [{f"SMA_{n}": F.avg(value).over(frames.last(n)) for n in windows}]
 
 
 @windowed(back=max(PRICE_VS_SMA_WINDOWS) - 1)
@@ -47,8 +30,8 @@ def price_vs_sma(frames):
 
 @windowed(back=199)
 def golden_cross(frames):
-    """1 where the 50-row average stands above the 200-row average, else 0."""
-    above = F.col("SMA_50") > F.col("SMA_200")
+    """1 where the 50-row average stands above the 200-row average by more than rounding, else 0."""
+    above = F.col("SMA_50") - F.col("SMA_200") > F.abs("SMA_200") * TIE
     return [*sma.stages(frames, windows=(50, 200)), {"GoldenCross": above.cast("int")}]
 
 

@@ -20,9 +20,7 @@ from tidemark.plans.linear import FINAL
 from tidemark.plans.training import LINEAR_MODELS, Training
 from tidemark.session import shared_folder
 
-EXPLAINED_ROWS = 100
 BACKGROUND_ROWS = 100
-SAMPLED_ROWS = 200
 ROWS_AT_ONCE = 64
 
 
@@ -227,7 +225,9 @@ def sampled_shap(
     walks = walks.withColumn("place", places)
     base = background.select("symbol", F.col("i").alias("_i"), "n_base", "base")
     sizes = background.select("symbol", "n_base").distinct()
-    walks = walks.join(sizes, "symbol").withColumn("_i", F.col("order") % F.col("n_base"))
+    # Rows and orders draw among all background rows.
+    drawn = F.pmod(F.xxhash64(F.lit(seed), F.lit("base"), "symbol", "date", "order"), F.col("n_base"))
+    walks = walks.join(sizes, "symbol").withColumn("_i", drawn.cast("int"))
     walks = walks.join(base.drop("n_base"), ["symbol", "_i"])
     steps = walks.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(d))))
     mixed = F.transform(
@@ -266,8 +266,7 @@ def explain_rows(training: Training, model: str, rows: DataFrame) -> DataFrame:
         else:
             train = training.features.filter(F.col("split") == "train")
             base = background_rows(train, training.names)
-            few = first_rows(served, SAMPLED_ROWS)
-            parts.append(sampled_shap(few, base, fitted.transform, name, training.names))
+            parts.append(sampled_shap(served, base, fitted.transform, name, training.names))
     if not parts:
         raise ValueError(f"not trained: {model}")
     out = parts[0]
@@ -303,17 +302,20 @@ def regime_summary(shap: DataFrame, regimes: DataFrame) -> DataFrame:
     )
 
 
-def explained_rows(training: Training, count: int = EXPLAINED_ROWS) -> DataFrame:
-    """The first test rows of every symbol."""
-    return first_rows(training.features.filter(F.col("split") == "test"), count)
+def explained_rows(training: Training, count: int | None = None) -> DataFrame:
+    """All test rows, or the first ``count`` of every symbol."""
+    rows = training.features.filter(F.col("split") == "test")
+    return rows if count is None else first_rows(rows, count)
 
 
-def run_explanation(training: Training, model: str | None = None) -> dict[str, DataFrame]:
-    """Shapley values of the first test rows and their global ranking.
+def run_explanation(
+    training: Training, model: str | None = None, count: int | None = None
+) -> dict[str, DataFrame]:
+    """Shapley values of the test rows (all, or the first ``count`` per symbol) and their ranking.
 
     Without a model name each symbol is explained with its own best model.
     """
-    rows = explained_rows(training)
+    rows = explained_rows(training, count)
     if model is not None:
         shap = explain_rows(training, model, rows)
     else:

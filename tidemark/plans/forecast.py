@@ -1,8 +1,10 @@
 """Recursive forecasts: each predicted value becomes the latest lag of the next step.
 
 ``slot_shift`` moves the lag columns along by one place per step, whatever distance they stand for.
-``history`` keeps the recent closes and refreshes every lag from them.  All other features keep the
-values of the starting row in both modes.
+``history`` keeps the recent closes, that of the starting row first, and reads every lag at its
+distance: the first step has the lags of the starting row, the second has its close as the first lag,
+and predictions follow from the third on.  All other features keep the values of the starting row in
+both modes.
 """
 
 from __future__ import annotations
@@ -33,15 +35,16 @@ def lag_columns(names: list[str]) -> dict[str, int]:
 
 
 def _next_lags(mode: str, lags: dict[str, int], past, value: Column) -> Column:
-    """Lag values after ``value`` was appended; ``past`` holds lags (slots) or closes, newest first."""
-    if mode == SLOT_SHIFT:
-        return F.slice(F.concat(F.array(value), past), 1, len(lags))
-    return F.slice(F.concat(F.array(value), past), 1, max(lags.values()))
+    """State after ``value`` was appended.
+
+    It holds the lags (slots), or the closes from that of the current row backward (history).
+    """
+    size = len(lags) if mode == SLOT_SHIFT else max(lags.values()) + 1
+    return F.slice(F.concat(F.array(value), past), 1, size)
 
 
 def _lag_value(mode: str, lags: dict[str, int], past, name: str) -> Column:
-    place = list(lags).index(name) + 1 if mode == SLOT_SHIFT else lags[name]
-    return F.element_at(past, place)
+    return F.get(past, list(lags).index(name) if mode == SLOT_SHIFT else lags[name])
 
 
 def starting_rows(features: DataFrame, bars: DataFrame, names: list[str], mode: str) -> DataFrame:
@@ -50,10 +53,10 @@ def starting_rows(features: DataFrame, bars: DataFrame, names: list[str], mode:
     start = latest_rows(features).select("symbol", "date", *names)
     if mode == SLOT_SHIFT:
         return start.withColumn("_past", F.array(*[F.col(c).cast("double") for c in lags]))
-    depth = max(lags.values())
-    # Closes before the starting row, newest first; per year only the last ``depth`` go on.
+    depth = max(lags.values()) + 1
+    # Closes up to the starting row, newest first; per year only the last ``depth`` go on.
     dated = bars.join(start.select("symbol", F.col("date").alias("_start")), "symbol")
-    dated = dated.filter(F.col("date") < F.col("_start"))
+    dated = dated.filter(F.col("date") <= F.col("_start"))
     entries = F.sort_array(F.collect_list(F.struct("date", "close")), asc=False)
     yearly = dated.groupBy("symbol", F.year("date").alias("_year")).agg(
         F.slice(entries, 1, depth).alias("_entries")

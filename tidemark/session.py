@@ -35,13 +35,15 @@ def session(name: str = "tidemark", cores: int | None = None) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 
-    A cluster names one that all executors reach in spark.checkpoint.dir; only where that is unset
-    (tests, a laptop) a fresh local folder is made and set.
+    A cluster names one that all executors reach in spark.checkpoint.dir; a local session without one
+    (tests, a laptop) gets a fresh local folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         folder = spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(folder)
     elif spark.sparkContext.getCheckpointDir() is None:

@@ -24,43 +24,52 @@ def read_series(context: DataFrame, series: str, name: str | None = None) -> Dat
 def series_returns(series: DataFrame, column: str, name: str) -> DataFrame:
     """Change of a context series on its own calendar.
 
-    A series has one row per date, so the single window group is bounded by the calendar.
+    The value before a row comes from its year, or for the first value of a year from a table with one
+    row per year.
     """
-    by_date = Window.partitionBy(F.lit(0)).orderBy("date")
-    before = F.last(column, ignorenulls=True).over(by_date.rowsBetween(Window.unboundedPreceding, -1))
-    return series.select("date", change(column, before).alias(name))
+    rows = series.withColumn("_year", F.year("date"))
+    known = rows.filter(F.col(column).isNotNull())
+    ends = known.groupBy("_year").agg(F.max_by(column, "date").alias("_end"))
+    # Each year with the last value of the latest earlier year that has one.
+    earlier = ends.select(F.col("_year").alias("_from"), "_end")
+    carried = (
+        rows.select("_year").distinct().join(earlier, F.col("_from") < F.col("_year"))
+        .groupBy("_year").agg(F.max_by("_end", "_from").alias("_carry"))
+    )
+    in_year = Window.partitionBy("_year").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.last(column, ignorenulls=True).over(in_year), F.col("_carry"))
+    joined = rows.join(carried, "_year", "left")
+    return joined.select("date", change(column, before).alias(name))
 
 
 def join_context(bars: DataFrame, vix: DataFrame, sp500: DataFrame) -> DataFrame:
     """Add VIX (exact date, then filled forward per symbol) and SP500_Return (missing is 0).
 
     A wholly empty VIX source gives a constant; otherwise leading gaps stay NULL.  Both series are
-    reduced to one row per date, so their size is bounded by the calendar (a century of dates is less
-    than a megabyte) and they are broadcast instead of shuffling the bars by date.
+    reduced to one row per date; Spark chooses the join by their measured size.
     """
     vix = vix.groupBy("date").agg(F.max("VIX").alias("VIX"))
-    joined = forward_fill(bars.join(F.broadcast(vix), "date", "left"), ["VIX"])
+    joined = forward_fill(bars.join(vix, "date", "left"), ["VIX"])
     known = vix.agg(F.count(F.lit(1)).alias("n")).scalar()
     joined = joined.withColumn(
         "VIX", F.when(known == 0, F.lit(VIX_WHEN_EMPTY)).otherwise(F.col("VIX"))
     )
     sp500 = sp500.groupBy("date").agg(F.max("SP500").alias("SP500"))
     returns = series_returns(sp500, "SP500", "SP500_Return")
-    joined = joined.join(F.broadcast(returns), "date", "left")
+    joined = joined.join(returns, "date", "left")
     return joined.withColumn(
         "SP500_Return", F.coalesce("SP500_Return", F.lit(RETURN_WHEN_EMPTY))
     ).dropna(how="all", subset=[c for c in joined.columns if c not in ("symbol", "date")])
 
 
 def orders_context(spark: SparkSession, directory: str) -> DataFrame:
-    """Context table from orders: mean order value in cents by day for two priorities."""
+    """Context table from orders: mean order value in cents by day, one series per priority."""
     orders = spark.read.parquet(f"{directory}/orders.parquet")
     named = F.when(F.col("o_orderpriority") == "1-URGENT", "VIX").when(
         F.col("o_orderpriority") == "2-HIGH", "SP500"
-    )
+    ).otherwise(F.col("o_orderpriority"))
     return (
-        orders.filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
-        .groupBy(F.col("o_orderdate").cast("date").alias("date"), named.alias("series"))
+        orders.groupBy(F.col("o_orderdate").cast("date").alias("date"), named.alias("series"))
         .agg(F.avg(F.floor(F.col("o_totalprice") * 100).cast("double")).alias("close"))
     )
 
@@ -80,14 +89,13 @@ def company_facts(symbols: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def lineitem_facts(spark: SparkSession, directory: str) -> DataFrame:
-    """Company facts computed from order lines; some symbols and some numbers stay without facts."""
+    """Company facts computed from order lines; returned lines (R) give symbols without facts."""
     lines = spark.read.parquet(f"{directory}/lineitem.parquet")
-    cents = F.floor(F.col("l_extendedprice") * 100).cast("double")
-    units = F.floor("l_quantity").cast("double")
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+    cents = F.when(flag != "R", F.floor(F.col("l_extendedprice") * 100).cast("double"))
+    units = F.when(flag != "R", F.floor("l_quantity").cast("double"))
     totals = (
-        lines.filter(flag != "R")
-        .groupBy(flag.alias("flag"), status.alias("status"))
+        lines.groupBy(flag.alias("flag"), status.alias("status"))
         .agg(
             F.sum(cents).alias("cents"),
             F.sum(units).alias("units"),
@@ -96,7 +104,7 @@ def lineitem_facts(spark: SparkSession, directory: str) -> DataFrame:
         )
     )
     mean = F.try_divide("cents", F.col("units") * 100)
-    is_open = F.col("status") == "O"
+    is_open = (F.col("status") == "O") & (F.col("flag") != "R")
     return totals.select(
         F.concat("flag", "status").alias("symbol"),
         F.when(F.col("flag") == "A", F.concat(F.lit("Company "), "flag", "status")).alias("longName"),
@@ -108,7 +116,7 @@ def lineitem_facts(spark: SparkSession, directory: str) -> DataFrame:
         F.try_divide("top", F.col("bottom")).alias("forwardPE"),
         F.when(F.col("flag") == "N", F.lit(0.0)).otherwise(mean / 1000).alias("priceToBook"),
         F.when(is_open, F.try_divide("bottom", "top")).alias("dividendYield"),
-        F.when(is_open, mean / 500).otherwise(F.lit(1.0)).alias("beta"),
+        F.when(is_open, mean / 500).otherwise(F.when(F.col("flag") != "R", 1.0)).alias("beta"),
         (F.col("top") / 100).alias("fiftyTwoWeekHigh"),
         (F.col("bottom") / 100).alias("fiftyTwoWeekLow"),
         F.when(is_open, F.col("units")).alias("averageVolume"),
