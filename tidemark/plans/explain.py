@@ -225,8 +225,9 @@ def sampled_shap(
     walks = walks.withColumn("place", places)
     base = background.select("symbol", F.col("i").alias("_i"), "n_base", "base")
     sizes = background.select("symbol", "n_base").distinct()
-    # Rows and orders draw among all background rows.
-    drawn = F.pmod(F.xxhash64(F.lit(seed), F.lit("base"), "symbol", "date", "order"), F.col("n_base"))
+    # The orders of a row take different background rows, beginning at a place of the row's own.
+    begin = F.pmod(F.xxhash64(F.lit(seed), F.lit("base"), "symbol", "date"), F.col("n_base"))
+    drawn = (begin + F.col("order")) % F.col("n_base")
     walks = walks.join(sizes, "symbol").withColumn("_i", drawn.cast("int"))
     walks = walks.join(base.drop("n_base"), ["symbol", "_i"])
     steps = walks.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(d))))
