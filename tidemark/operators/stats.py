@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from tidemark.fixed import VALUE_COLUMNS
+from tidemark.fixed import NORMAL_CENTRE, NORMAL_FAR, NORMAL_TAIL, VALUE_COLUMNS
 from tidemark.functions.numeric import sample_kurtosis, sample_skewness
 from tidemark.operators.candles import daily_return
 
@@ -163,13 +159,16 @@ def with_rank(df: DataFrame, value: str, key: str = "symbol") -> DataFrame:
     """Position of every row in the ascending order of ``value`` inside its key, and the row count.
 
     The key is cut at approximate quantiles (a mergeable sketch of fixed size), rows are numbered
-    inside each cut, and the sizes of the lower cuts are added, so no task sorts a whole key.
+    inside each cut, and the sizes of the lower cuts are added, so no task sorts a whole key.  A value
+    that many rows share is a cut point itself; its rows are numbered year by year.  The calendar
+    bounds the days of a key, and so the rows between two cuts.
     """
     points = [F.lit((i + 1) / (RANK_CUTS + 1)) for i in range(RANK_CUTS)]
     cuts = df.groupBy(key).agg(F.percentile_approx(value, F.array(*points), 5000).alias("_cuts"))
-    placed = df.join(cuts, key).withColumn(
-        "_cut", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    )
+    below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    on_cut = F.array_contains("_cuts", F.col(value))
+    place = F.struct(below.alias("below"), on_cut.alias("on"), F.when(on_cut, F.year("date")).otherwise(0).alias("year"))
+    placed = df.join(cuts, key).withColumn("_cut", place)
     placed = placed.drop("_cuts")
     sizes = placed.groupBy(key, "_cut").agg(F.count(F.lit(1)).alias("_n"))
     order = Window.partitionBy(key).orderBy("_cut")
@@ -187,11 +186,25 @@ def with_rank(df: DataFrame, value: str, key: str = "symbol") -> DataFrame:
     )
 
 
-@F.pandas_udf(DoubleType())
-def normal_quantile(p: pd.Series) -> pd.Series:
-    """Quantile of the standard normal distribution."""
-    inverse = NormalDist().inv_cdf
-    return p.map(lambda x: None if x is None or x != x else inverse(x))
+def _fraction(coefficients, x: Column) -> Column:
+    """Quotient of two polynomials, given by their coefficients, lowest power first."""
+
+    def polynomial(values):
+        out = F.lit(values[-1])
+        for v in values[-2::-1]:
+            out = out * x + v
+        return out
+
+    return polynomial(coefficients[0]) / polynomial(coefficients[1])
+
+
+def normal_quantile(p: Column) -> Column:
+    """Quantile of the standard normal distribution; NULL outside (0, 1)."""
+    q = p - 0.5
+    r = F.sqrt(-F.log(F.least(p, 1 - p)))
+    outer = F.when(r <= 5, _fraction(NORMAL_TAIL, r - 1.6)).otherwise(_fraction(NORMAL_FAR, r - 5))
+    out = F.when(F.abs(q) <= 0.425, q * _fraction(NORMAL_CENTRE, 0.180625 - q * q)).otherwise(F.signum(q) * outer)
+    return F.when((p > 0) & (p < 1), out)
 
 
 def plotting_position(rank: Column, n: Column) -> Column:

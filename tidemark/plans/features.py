@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.fixed import EMA_SPANS, LAG_STEPS, MACD_SPANS
+from tidemark.fixed import EMA_SPANS, LAG_STEPS, MACD_SPANS, NOT_FEATURES
 from tidemark.functions.calendar import calendar
 from tidemark.operators import averages, candles, momentum, volatility
 from tidemark.operators.running import running_columns
@@ -28,25 +28,6 @@ _BOUNDED = [
     candles.daily_return,
 ]
 
-NOT_FEATURES = {
-    "symbol",
-    "date",
-    "open",
-    "high",
-    "low",
-    "close",
-    "volume",
-    "adj close",
-    "dividends",
-    "stock splits",
-    "target",
-    "ma5",
-    "ma20",
-    "pos",
-    "n_rows",
-}
-
-
 def feature_names(df: DataFrame) -> list[str]:
     """All columns that are not keys, raw prices, label or helpers."""
     return [c for c in df.columns if c.lower() not in NOT_FEATURES and not c.startswith("_")]

@@ -7,6 +7,8 @@ symbols move in the same pass; only the centres are kept between passes.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -28,9 +30,7 @@ from tidemark.series import in_one_pass, windowed, with_positions
 from tidemark.sources.sinks import staged
 
 BASE_FEATURES = ["Daily_Return", "HV_5", "HV_21", "Volume_Ratio", "RSI_14", "BB_Pct"]
-MAX_PASSES = 300
 TOLERANCE = 1e-4
-SAMPLE_DAYS = 512
 # Rows of one symbol whose distances to another such tile are computed together.
 TILE_ROWS = 1024
 
@@ -139,57 +139,60 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _starts(ks, restarts: int, seed: int):
-    """First centres from a sample of one symbol's days: spread-out picks, then moved on the sample."""
+def _draws(dimensions: int, seed: int):
+    """Per tile and candidate: the day that wins the tile's race to be the next centre.
 
-    def spread(days, k, random):
-        centres = [days[random.integers(len(days))]]
-        while len(centres) < k:
-            near = _squares(days, np.array(centres)).min(1)
-            if near.sum() == 0:
-                centres.append(days[random.integers(len(days))])
-            else:
-                centres.append(days[random.choice(len(days), p=near / near.sum())])
-        return np.array(centres)
+    Every day draws an exponential time, divided by its squared distance from the centres there are.
+    The first arrival of all tiles is then a day picked with odds proportional to that distance.
+    """
 
     def run(batches):
         for batch in batches:
             out = []
-            for symbol, picks in zip(batch["symbol"], batch["picks"]):
-                days = np.array([p["x"] for p in picks], dtype=float)
-                for k in ks:
-                    for restart in range(restarts):
-                        centres = spread(days, k, np.random.default_rng([seed, k, restart]))
-                        for _ in range(20):
-                            near = _squares(days, centres).argmin(1)
-                            for c in np.unique(near):
-                                centres[c] = days[near == c].mean(0)
-                        out.append((symbol, k, restart, [c.tolist() for c in centres]))
-            yield pd.DataFrame(out, columns=["symbol", "k", "run", "centres"])
+            columns = (batch[c] for c in ("symbol", "tile", "x", "candidates"))
+            for symbol, tile, flat, candidates in zip(*columns):
+                days = np.asarray(flat, dtype=float).reshape(-1, dimensions)
+                name = zlib.crc32(symbol.encode())
+                for candidate in candidates:
+                    k, restart = candidate["k"], candidate["run"]
+                    centres = np.array([list(c) for c in candidate["centres"]], dtype=float)
+                    if len(centres) == k:
+                        continue
+                    random = np.random.default_rng([seed, k, restart, len(centres), int(tile), name])
+                    time = random.exponential(size=len(days))
+                    weight = _squares(days, centres).min(1) if len(centres) else np.ones(len(days))
+                    arrival = np.divide(time, weight, out=np.full(len(days), np.inf), where=weight > 0)
+                    first = np.lexsort((time, arrival))[0]
+                    out.append((symbol, k, restart, arrival[first], time[first], days[first].tolist()))
+            yield pd.DataFrame(out, columns=["symbol", "k", "run", "arrival", "time", "day"])
 
     return run
 
 
-def first_centres(points: DataFrame, ks, restarts: int, seed: int) -> DataFrame:
-    """First centres of every candidate (symbol, k, restart).
+def first_centres(tiles: DataFrame, dimensions: int, ks, restarts: int, seed: int) -> DataFrame:
+    """First centres of every candidate (symbol, k, restart): spread-out picks among all days.
 
-    Only the start comes from a sample: the ``SAMPLE_DAYS`` days of a symbol with the smallest hashes,
-    found by a bounded top-k per (symbol, year) and then per symbol.  The centres then move over all days.
+    Each pass gives all candidates their next centre; tiles send one day per candidate.  With fewer
+    different days than centres, days repeat.
     """
-    draw = F.xxhash64(F.lit(seed), "symbol", "date").alias("draw")
-    smallest = F.array_sort(F.collect_list(F.struct(draw, F.col("x"))))
-    yearly = points.groupBy("symbol", F.year("date").alias("_year")).agg(
-        F.slice(smallest, 1, SAMPLE_DAYS).alias("picks")
-    )
-    picks = F.slice(F.array_sort(F.flatten(F.collect_list("picks"))), 1, SAMPLE_DAYS)
-    return (
-        yearly.groupBy("symbol")
-        .agg(picks.alias("picks"))
-        .mapInPandas(
-            _starts(tuple(ks), restarts, seed),
-            "symbol string, k int, run int, centres array<array<double>>",
+    none = F.array().cast("array<array<double>>")
+    made = tiles.select("symbol").distinct()
+    made = made.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
+    made = made.withColumn("run", F.explode(F.array(*[F.lit(r) for r in range(restarts)])))
+    made = made.withColumn("centres", none)
+    schema = "symbol string, k int, run int, arrival double, time double, day array<double>"
+    for _ in range(max(ks)):
+        packed = made.groupBy("symbol").agg(F.collect_list(F.struct("k", "run", "centres")).alias("candidates"))
+        asked = tiles.join(packed, "symbol").select("symbol", "tile", "x", "candidates")
+        drawn = asked.mapInPandas(_draws(dimensions, seed), schema).groupBy("symbol", "k", "run").agg(
+            F.min_by("day", F.struct("arrival", "time")).alias("day")
         )
-    )
+        more = F.when(F.col("day").isNotNull(), F.concat("centres", F.array("day"))).otherwise(F.col("centres"))
+        made = staged(
+            made.join(drawn, ["symbol", "k", "run"], "left").select("symbol", "k", "run", more.alias("centres")),
+            "first-centres",
+        )
+    return made
 
 
 def _moves(dimensions: int):
@@ -240,18 +243,23 @@ def fit_kmeans(
     ks=(REGIME_COUNT,),
     restarts: int = KMEANS_RESTARTS,
     seed: int = SEED,
-    max_passes: int = MAX_PASSES,
+    max_passes: int | None = None,
     tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """Best of ``restarts`` runs per symbol and k: (symbol, k, inertia, centres).
 
-    Candidates whose centres have stopped moving leave the passes.
+    Candidates whose centres have stopped moving leave the passes; passes go on until all have.  A
+    number of passes is an argument; candidates that still move after it are an error.
     """
     tiles = staged(point_tiles(points), "regime-tiles")
-    start = first_centres(points, ks, restarts, seed)
+    start = first_centres(tiles, dimensions, ks, restarts, seed)
     moving = staged(start.withColumn("shift", F.lit(float("inf"))), "centres")
     settled = []
-    for _ in range(max_passes):
+    passes = 0
+    while not moving.isEmpty():
+        if passes == max_passes:
+            raise RuntimeError(f"centres still move after {passes} passes")
+        passes += 1
         near = _nearest_days(tiles, moving, dimensions)
         new = near.groupBy("symbol", "k", "run").agg(
             F.map_from_entries(F.collect_list(F.struct("cluster", "centre"))).alias("_new")
@@ -273,8 +281,6 @@ def fit_kmeans(
         stored = staged(moved.withColumn("shift", shift).drop("_old"), "centres")
         settled.append(stored.filter(F.col("shift") <= tolerance))
         moving = stored.filter(F.col("shift") > tolerance)
-        if moving.isEmpty():
-            break
     final = moving
     for part in settled:
         final = final.unionByName(part)

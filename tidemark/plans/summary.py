@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, StructType
 
-from tidemark.functions.text import two_digits
 from tidemark.operators import seasonality, stats
 from tidemark.plans.features import feature_names
 
@@ -40,57 +40,26 @@ def summary_table(
     return out
 
 
-def report_text(table: DataFrame) -> DataFrame:
-    """The summary as a text with numbered sections."""
+def _shown(value: Column, kind: DataType) -> Column:
+    """A value as text: doubles with four digits, structs field by field, lists as one line an entry."""
+    if isinstance(kind, DoubleType):
+        return F.when(value.isNotNull(), F.format_string("%.4f", value))
+    if isinstance(kind, StructType):
+        return F.concat_ws(" ", *[_shown(value[f.name], f.dataType) for f in kind.fields])
+    return value.cast("string")
 
-    def number(c: str, form: str) -> Column:
-        return F.format_string(form, c)
 
-    def line(label: str, *values) -> Column:
-        parts = [F.lit(v) if isinstance(v, str) else v for v in values]
-        return F.concat(F.lit(f"   - {label}: "), *[p.cast("string") for p in parts])
+def report_text(table: DataFrame) -> DataFrame:
+    """The summary as a text: a line ``column = value`` for every column that has a value, in table order.
 
-    name = F.col("longName") if "longName" in table.columns else F.col("symbol")
-    whole = F.when(F.col("completeness") >= 100, "None detected").otherwise("Present")
-    lines: list[Column] = [
-        F.concat(F.lit("EXPLORATORY DATA ANALYSIS SUMMARY: "), F.col("symbol")),
-        F.lit("1. DATASET OVERVIEW"),
-        line("Ticker", F.col("symbol"), ", ", name),
-        line("Date range", F.col("first_date"), " to ", F.col("last_date")),
-        line("Trading days", number("n_bars", "%,d")),
-        line("Original columns", F.col("n_columns")),
-        line("Engineered features", F.col("n_features")),
-        F.lit("2. DATA QUALITY"),
-        line("Missing values", whole),
-        line("Data completeness", two_digits("completeness"), "%"),
-        F.lit("3. RETURN DISTRIBUTION"),
-        line("Mean daily return", number("mean", "%.4f"), "%"),
-        line("Volatility (std dev)", number("std", "%.4f"), "%"),
-        line("Skewness", number("skewness", "%.4f"), " (", F.col("skew_label"), ")"),
-        line("Kurtosis", number("kurtosis", "%.4f"), " (", F.col("tail_label"), ")"),
-        line("Distribution", F.col("shape_label")),
-        F.lit("4. TOP PREDICTIVE FEATURES (by correlation with target)"),
-        F.array_join(
-            F.transform(
-                "top_features",
-                lambda t: F.format_string("   %d. %-30s %.4f", t["rank"], t["feature"], t["abs_corr"]),
-            ),
-            "\n",
-        ),
-    ]
-    if "RMSE" in table.columns:
-        lines += [
-            F.lit("5. MODEL PERFORMANCE"),
-            line("Best model", F.col("model")),
-            line("Test RMSE", "$", number("RMSE", "%.4f")),
-            line("Test R2", number("R2", "%.4f")),
-            line("MAPE", two_digits("MAPE"), "%"),
-            line("Direction accuracy", two_digits("Direction_Acc"), "%"),
-        ]
-    lines += [
-        F.lit("6. SEASONALITY PATTERNS"),
-        line("Day-of-week effect", F.col("effect")),
-        line("Best day", F.col("best_day"), " (", number("best_return", "%.3f"), "%)"),
-        line("Worst day", F.col("worst_day"), " (", number("worst_return", "%.3f"), "%)"),
-    ]
+    A list gives one line for each of its entries.
+    """
+    lines = []
+    for field in table.schema.fields:
+        label, kind = F.lit(f"{field.name} = "), field.dataType
+        if isinstance(kind, ArrayType):
+            entries = F.transform(field.name, lambda e: F.concat(label, _shown(e, kind.elementType)))
+            lines.append(F.when(F.size(field.name) > 0, F.array_join(entries, "\n")))
+        else:
+            lines.append(F.concat(label, _shown(F.col(field.name), kind)))
     return table.select("symbol", F.concat_ws("\n", *lines).alias("report"))

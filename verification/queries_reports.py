@@ -50,7 +50,7 @@ def _facts(spark, sf_dir):
 
 
 def universe_filter(spark, sf_dir):
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter(F.col("l_quantity") >= 50)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter(F.col("l_linestatus") == "O")
     symbols = lines.select(F.concat("l_returnflag", "l_linestatus").alias("symbol")).distinct()
     chosen = in_universe(_bars(spark, sf_dir), symbols)
     return chosen.groupBy("symbol").agg(F.count("*").alias("n"))
@@ -151,11 +151,13 @@ def return_ranks(spark, sf_dir):
 
 
 def quantile_plot(spark, sf_dir):
-    return stats.quantile_plot(_returns(spark, sf_dir))
+    points = stats.quantile_plot(_returns(spark, sf_dir))
+    return digits(points, ordered=6, position=9, theoretical=6)
 
 
 def quantile_line(spark, sf_dir):
-    return stats.quantile_line(quantile_plot(spark, sf_dir))
+    line = stats.quantile_line(stats.quantile_plot(_returns(spark, sf_dir)))
+    return digits(line, slope=6, intercept=6, r=6)
 
 
 def _features(spark, sf_dir):
@@ -165,13 +167,7 @@ def _features(spark, sf_dir):
 def corr_topk(spark, sf_dir):
     features = _features(spark, sf_dir)
     top = stats.top_correlations(features, feature_names(features))
-    out = top.groupBy("symbol").agg(
-        F.sum("rank").alias("places"),
-        F.count("*").alias("n"),
-        F.sum("abs_corr").alias("total"),
-        F.min("abs_corr").alias("lowest"),
-    )
-    return digits(out, total=6, lowest=6)
+    return digits(top.select("symbol", "rank", "feature", "abs_corr"), abs_corr=6)
 
 
 def correlations(spark, sf_dir):

@@ -54,6 +54,31 @@ SQL = {
           best_day, worst_day, effect, top_feature, fifth_corr
         FROM counts JOIN moments USING (symbol) JOIN effects USING (symbol) JOIN tops USING (symbol)
         JOIN facts USING (symbol)""",
+    "summary_text": f"""{CORR}, {FACTS},
+        rets AS (SELECT symbol, date, ("close" / nullif(lag("close") OVER ({W}), 0) - 1) * 100 AS r FROM bars),
+        moments AS (SELECT symbol, avg(r) AS mean, stddev_samp(r) AS std, skewness(r) AS skew,
+          kurtosis(r) AS kurt FROM rets GROUP BY symbol),
+        days AS (SELECT symbol, strftime(min(date), '%a') AS d, avg(r) AS r FROM rets WHERE r IS NOT NULL
+          GROUP BY symbol, isodow(date)),
+        effects AS (SELECT symbol, arg_max(d, r) AS best, max(r) AS high, arg_min(d, r) AS worst, min(r) AS low
+          FROM days GROUP BY symbol),
+        spans AS (SELECT symbol, min(date) AS a, max(date) AS z, count(*) AS n FROM bars GROUP BY symbol),
+        strong AS (SELECT symbol, feature, v, row_number() OVER (PARTITION BY symbol
+          ORDER BY round(v, 9) DESC NULLS LAST, feature) AS place FROM corr_long)
+        SELECT symbol, unnest(['symbol = ' || symbol, 'first_date = ' || strftime(a, '%Y-%m-%d'),
+          'last_date = ' || strftime(z, '%Y-%m-%d'), 'n_bars = ' || n, 'n_columns = 5', 'completeness = 100.0000',
+          printf('mean = %.4f', mean), printf('std = %.4f', std), printf('skewness = %.4f', skew),
+          printf('kurtosis = %.4f', kurt),
+          'skew_label = ' || CASE WHEN skew > 0 THEN 'Right-skewed' ELSE 'Left-skewed' END,
+          'tail_label = ' || CASE WHEN kurt > 3 THEN 'Fat tails' ELSE 'Normal tails' END,
+          'shape_label = ' || CASE WHEN abs(skew) < 0.5 THEN 'Approximately normal' ELSE 'Deviates from normal' END,
+          'best_day = ' || best, printf('best_return = %.4f', high), 'worst_day = ' || worst,
+          printf('worst_return = %.4f', low),
+          'effect = ' || CASE WHEN high - low > 0.1 THEN 'Detected' ELSE 'Minimal' END, 'n_features = 61',
+          'longName = ' || longName]) AS value
+        FROM spans JOIN moments USING (symbol) JOIN effects USING (symbol) JOIN facts USING (symbol)
+        UNION ALL
+        SELECT symbol, printf('top_features = %d %s %.4f', place, feature, v) FROM strong WHERE place <= 5""",
     "tick_bars": """SELECT event_type AS symbol, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour,
         arg_min("value", ts) AS open, max("value") AS high, min("value") AS low,
         arg_max("value", ts) AS "close", count(*) AS ticks FROM events GROUP BY ALL""",

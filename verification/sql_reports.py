@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.fixed import NORMAL_CENTRE, NORMAL_FAR, NORMAL_TAIL
 from verification.sql_bars import ALL_ROWS, BARS, CONTEXT, FEATURES, LAYERS, W
 
 COLUMNS = ["open", "high", "low", "close", "volume"]
@@ -120,6 +121,28 @@ imp AS (
   SELECT symbol, 'level' AS model, feature, round(v, 6) AS importance FROM corr_long
   UNION ALL SELECT symbol, 'change', feature, round(v, 6) FROM change_long)"""
 
+
+
+def _quotient(parts, x):
+    """SQL of a quotient of polynomials, coefficients lowest power first."""
+    top, bottom = ("+".join(f"{c!r}::DOUBLE*pow({x},{i})" for i, c in enumerate(part)) for part in parts)
+    return f"(({top})/({bottom}))"
+
+
+QQ = f"""{RETURNS},
+placed AS (
+  SELECT symbol, ret_pct AS x, row_number() OVER (PARTITION BY symbol ORDER BY ret_pct, date) AS rank,
+    count(*) OVER (PARTITION BY symbol) AS n FROM ret),
+shares AS (
+  SELECT *, CASE WHEN rank = n THEN pow(0.5::DOUBLE, 1 / n::DOUBLE) WHEN rank = 1 THEN 1 - pow(0.5::DOUBLE, 1 / n::DOUBLE)
+    ELSE (rank - 0.3175::DOUBLE) / (n + 0.365::DOUBLE) END AS p FROM placed),
+tails AS (SELECT *, sqrt(-ln(least(p, 1 - p))) AS t FROM shares),
+qq AS (
+  SELECT symbol, rank, x, p, CASE
+    WHEN abs(p - 0.5) <= 0.425 THEN (p - 0.5) * {_quotient(NORMAL_CENTRE, "(0.180625 - (p - 0.5) * (p - 0.5))")}
+    WHEN t <= 5 THEN sign(p - 0.5) * {_quotient(NORMAL_TAIL, "(t - 1.6)")}
+    ELSE sign(p - 0.5) * {_quotient(NORMAL_FAR, "(t - 5)")} END AS z FROM tails)"""
+
 PATTERNS = """
 patterns(feature_group, part) AS (VALUES
   ('Moving Averages', 'SMA_'), ('Moving Averages', 'EMA_'), ('Moving Averages', 'Price_vs'),
@@ -173,7 +196,7 @@ ab AS (
 
 SQL = {
     "universe_filter": f"""WITH {BARS} SELECT symbol, count(*) AS n FROM bars
-        WHERE symbol IN (SELECT l_returnflag || l_linestatus FROM lineitem WHERE l_quantity >= 50)
+        WHERE symbol IN (SELECT l_returnflag || l_linestatus FROM lineitem WHERE l_linestatus = 'O')
         GROUP BY symbol""",
     "wide_to_long": f'WITH {BARS} SELECT symbol, date, open, high, low, "close", volume FROM bars',
     "snapshot": f"""WITH {LAYERS}, s AS (SELECT symbol, date, open, high, low, "close", volume,
@@ -250,8 +273,11 @@ SQL = {
         AS n_ranked FROM ret""",
     "corr_topk": f"""{CORR}, r AS (SELECT symbol, feature, v, row_number() OVER
           (PARTITION BY symbol ORDER BY round(v, 9) DESC NULLS LAST, feature) AS place FROM corr_long)
-        SELECT symbol, CAST(sum(place) AS BIGINT) AS places, count(*) AS n, round(sum(v), 6) AS total,
-          round(min(v), 6) AS lowest FROM r WHERE place <= 30 GROUP BY symbol""",
+        SELECT symbol, CAST(place AS INTEGER) AS rank, feature, round(v, 6) AS abs_corr FROM r WHERE place <= 30""",
+    "qq": f"""WITH {QQ} SELECT symbol, rank, round(x, 6) AS ordered, round(p, 9) AS position,
+        round(z, 6) AS theoretical FROM qq""",
+    "qq_line": f"""WITH {QQ} SELECT symbol, round(regr_slope(x, z), 6) AS slope,
+        round(regr_intercept(x, z), 6) AS intercept, round(corr(x, z), 6) AS r FROM qq GROUP BY symbol""",
     "correlations": f"""{CORR} SELECT symbol, feature, round(v, 6) AS abs_corr FROM corr_long""",
     "monthly_seasonality": f"""WITH {RETURNS}, m AS (SELECT symbol, year(date) AS year,
           month(date) AS month, avg(ret_pct) AS r FROM ret GROUP BY ALL)
