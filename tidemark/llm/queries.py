@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, and SQL for those that SQL can express."""
+"""Registered queries of the operators for text corpora and the pipeline, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -13,8 +13,10 @@ from tidemark.llm import (
     html_text,
     mixing,
     near_dup,
+    negatives,
     pii,
     quality,
+    spelling,
     substrings,
     toxicity,
 )
@@ -78,6 +80,14 @@ def op10_fingerprints(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, directory: str) -> DataFrame:
+    return negatives.hard_negatives(_table(spark, directory, "embeddings"))
+
+
+def op13_spelling(spark: SparkSession, directory: str) -> DataFrame:
+    return spelling.variants(_table(spark, directory, "documents"))
+
+
 def pipeline(spark: SparkSession, directory: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,6 +107,8 @@ QUERIES = {
         op8_pii,
         op9_exact_dup,
         op10_fingerprints,
+        op11_hard_negatives,
+        op13_spelling,
         pipeline,
     )
 }
@@ -167,5 +179,27 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 WINDOW g AS (PARTITION BY coalesce(text, ''))
+""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * x::DOUBLE) FOR x IN embedding] AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS place
+  FROM scores WHERE same),
+negatives AS (
+  SELECT p.anchor_id, positive_id, positive_score, s.other AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other) AS rank
+  FROM positives p JOIN scores s USING (anchor_id)
+  WHERE place <= 5 AND NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM negatives WHERE rank <= 10
 """,
 }

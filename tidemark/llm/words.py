@@ -21,7 +21,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _WORD_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_POWERS = np.cumprod(np.full(4096, _WORD_BASE), dtype=np.uint64)
+#: Bytes of a word that one polynomial covers; longer words mix the sums of their blocks with the block's place.
+HASHED = 512
+_POWERS = np.cumprod(np.full(HASHED, _WORD_BASE), dtype=np.uint64)
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -83,10 +85,12 @@ class Words:
             ends = np.cumsum(lengths)
             place = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
             terms = self.data[np.repeat(first, lengths) + place].astype(np.uint64) + np.uint64(1)
-            terms *= _POWERS[place % len(_POWERS)]
-            sums = np.cumsum(terms, dtype=np.uint64)
-            total = sums[ends - 1]
-            total[1:] -= sums[ends[:-1] - 1]
+            terms *= _POWERS[place % HASHED]
+            edges = np.flatnonzero(place % HASHED == 0)
+            blocks = np.add.reduceat(terms, edges)
+            later = place[edges] // HASHED
+            blocks = np.where(later > 0, mix(blocks ^ mix(later.astype(np.uint64), 400), 401), blocks)
+            total = np.add.reduceat(blocks, np.flatnonzero(later == 0))
             out[a:b] = mix(total + lengths.astype(np.uint64))
             a = b
         return out
