@@ -11,6 +11,7 @@ from tidemark.llm import (
     exact_dup,
     fingerprints,
     html_text,
+    lm,
     mixing,
     near_dup,
     negatives,
@@ -84,6 +85,10 @@ def op11_hard_negatives(spark: SparkSession, directory: str) -> DataFrame:
     return negatives.hard_negatives(_table(spark, directory, "embeddings"))
 
 
+def op12_lm(spark: SparkSession, directory: str) -> DataFrame:
+    return lm.scores(_table(spark, directory, "documents"))
+
+
 def op13_spelling(spark: SparkSession, directory: str) -> DataFrame:
     return spelling.variants(_table(spark, directory, "documents"))
 
@@ -108,6 +113,7 @@ QUERIES = {
         op9_exact_dup,
         op10_fingerprints,
         op11_hard_negatives,
+        op12_lm,
         op13_spelling,
         pipeline,
     )
