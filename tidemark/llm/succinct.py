@@ -11,6 +11,23 @@ def _bits(x: int) -> int:
     return int(x).bit_length()
 
 
+#: Place of the k-th set bit of a byte.
+_PLACE = np.zeros((256, 8), np.int64)
+for _byte in range(256):
+    _set = [i for i in range(8) if _byte >> i & 1]
+    _PLACE[_byte, : len(_set)] = _set
+
+
+def _kth(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th set bit (from 0) of each 64-bit word."""
+    parts = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)
+    counts = np.bitwise_count(parts).cumsum(1, dtype=np.uint8)
+    which = (counts <= k[:, None]).sum(1)
+    at = np.arange(len(k))
+    before = np.where(which > 0, counts[at, np.maximum(which - 1, 0)], 0)
+    return 8 * which + _PLACE[parts[at, which], k - before]
+
+
 class Packed:
     """Unsigned integers of `width` bits each in 64-bit words, one word to spare behind them."""
 
@@ -35,8 +52,8 @@ class Packed:
         at = at.astype(np.uint64) * np.uint64(self.width)
         place, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
         out = self.words[place] >> shift
-        # The part in the next word; a shift by 64 would be undefined, so it goes in two steps.
-        out |= (self.words[place + 1] << _ONE) << (np.uint64(63) - shift)
+        over = np.flatnonzero(shift > np.uint64(64 - self.width))
+        out[over] |= self.words[place[over] + 1] << (np.uint64(64) - shift[over])
         return (out & np.uint64((1 << self.width) - 1)).astype(np.int64)
 
 
@@ -45,6 +62,7 @@ class EliasFano:
 
     def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
         self.n, self.width, self.low, self.high, self.zeros = n, width, Packed(low, width), high, zeros
+        self._listed = None
 
     @classmethod
     def of(cls, values: np.ndarray, top: int) -> EliasFano:
@@ -69,52 +87,46 @@ class EliasFano:
         return cls(int(head[0]), int(head[1]), low, high, zeros)
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
-        """Place of the k-th zero (from 0) of the high bits."""
+        """Place of the k-th zero (from 0) of the high bits; for many questions all places are listed once."""
+        if self._listed is None and 4 * len(k) > self.n:
+            bits = np.unpackbits(self.high.view(np.uint8), bitorder="little")
+            self._listed = np.flatnonzero(bits == 0).astype(np.int32 if len(bits) < 1 << 31 else np.int64)
+        if self._listed is not None:
+            return self._listed[k].astype(np.int64)
         block = np.searchsorted(self.zeros, k.astype(np.uint64), "right") - 1
-        rest = (k - self.zeros[block].astype(np.int64)).astype(np.int64)
-        word, place = ~self.high[block], np.zeros(len(k), np.int64)
-        # Halve the word: skip its lower half whenever that has too few zeros.
-        for half in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count(word & np.uint64((1 << half) - 1)).astype(np.int64)
-            skip = rest >= count
-            rest -= np.where(skip, count, 0)
-            place += np.where(skip, half, 0)
-            word = np.where(skip, word >> np.uint64(half), word)
-        return 64 * block + place
+        return 64 * block + _kth(~self.high[block], k - self.zeros[block].astype(np.int64))
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """Place of each value in the sequence, -1 where it is missing: the successor in its high part, by halving."""
         values = values.astype(np.int64)
-        if not self.n or not len(values):
-            return np.full(len(values), -1, np.int64)
-        part, rest = values >> self.width, values & ((1 << self.width) - 1)
-        inside = (values >= 0) & (part < int(self.zeros[-1]))
-        part = np.where(inside, part, 0)
-        left = np.where(part > 0, self._zero(np.maximum(part - 1, 0)) - (part - 1), 0)
-        left = np.where(part > 0, left, 0)
+        out = np.full(len(values), -1, np.int64)
+        if not self.n:
+            return out
+        part = values >> self.width
+        open_ = np.flatnonzero((values >= 0) & (part < int(self.zeros[-1])))
+        part = part[open_]
+        # Entries of one high part lie between two zeros.
         end = self._zero(part) - part
-        right = end.copy()
+        left = np.where(part > 0, self._zero(np.maximum(part - 1, 0)) + 1 - part, 0)
+        some = np.flatnonzero(left < end)
+        open_, left, end = open_[some], left[some], end[some]
+        want = values[open_] & ((1 << self.width) - 1)
+        right = end - 1
         while True:
-            open_ = left < right
-            if not open_.any():
+            wide = np.flatnonzero(left < right)
+            if not len(wide):
                 break
-            middle = (left + right) >> 1
-            less = open_ & (self.low[np.minimum(middle, self.n - 1)] < rest)
-            left = np.where(less, middle + 1, left)
-            right = np.where(open_ & ~less, middle, right)
-        hit = inside & (left < end)
-        hit &= self.low[np.minimum(left, self.n - 1)] == rest
-        return np.where(hit, left, -1)
+            middle = (left[wide] + right[wide]) >> 1
+            less = self.low[middle] < want[wide]
+            left[wide[less]] = middle[less] + 1
+            right[wide[~less]] = middle[~less]
+        hit = self.low[left] == want
+        out[open_[hit]] = left[hit]
+        return out
 
     def values(self, at: np.ndarray) -> np.ndarray:
         """The values at some places."""
         ones = np.r_[0, np.cumsum(np.bitwise_count(self.high).astype(np.int64))]
         block = np.searchsorted(ones, at, "right") - 1
-        rest, word, place = at - ones[block], self.high[block], np.zeros(len(at), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count(word & np.uint64((1 << half) - 1)).astype(np.int64)
-            skip = rest >= count
-            rest = rest - np.where(skip, count, 0)
-            place += np.where(skip, half, 0)
-            word = np.where(skip, word >> np.uint64(half), word)
+        place = _kth(self.high[block], at - ones[block])
         return ((64 * block + place - at) << self.width) | self.low[at]
