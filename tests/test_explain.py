@@ -6,6 +6,7 @@ from math import factorial
 import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
@@ -90,3 +91,31 @@ def test_sampled_values_of_a_linear_model(spark, data):
         for i, c in enumerate(NAMES):
             # Every background row is used once, so the linear case is exact.
             assert np.isclose(own[c], model.coefficients[i] * (row[c] - mean[i]), atol=1e-9)
+
+
+def test_sampled_values_report_their_error(spark, data):
+    """Pairs of opposite orders are exact for pairs of features; products of three need rounds."""
+    rows = data.limit(3)
+    base = background_rows(data, NAMES, count=1)
+    b = base.first()["base"]
+
+    def score(table):
+        x = vector_to_array("features")
+        return table.withColumn("prediction", x[0] * x[1] + x[1] * x[2] * x[3])
+
+    keys = {r["date"]: r for r in rows.collect()}
+    one = sampled_shap(rows.filter("a > -99"), base, score, "m", NAMES, permutations=6).toPandas()
+    assert (one["error"] >= 0).all() and one["error"].max() > 0
+    assert np.allclose(one[one["feature"] == "a"]["error"], 0, atol=1e-6)
+    wide = one["error"].max() / 3
+    more = sampled_shap(rows, base, score, "m", NAMES, permutations=6, tolerance=wide, rounds=40).toPandas()
+    assert more["error"].max() <= wide
+    for _, got in more.iterrows():
+        x = [keys[got["date"]][c] for c in NAMES]
+        f = lambda known: (lambda v: v[0] * v[1] + v[1] * v[2] * v[3])([x[i] if i in known else b[i] for i in range(4)])
+        i = NAMES.index(got["feature"])
+        others = [j for j in range(4) if j != i]
+        exact = sum(
+            factorial(k) * factorial(3 - k) / factorial(4) * (f({*s, i}) - f(set(s))) for k in range(4) for s in combinations(others, k)
+        )
+        assert abs(got["shap"] - exact) <= 6 * got["error"] + 1e-9

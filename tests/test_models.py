@@ -7,11 +7,12 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from tests.util import SCHEMA, level, walk
-from tidemark.fixed import BOOSTING, FOREST, LINEAR, MODEL_NAMES, RIDGE
+from tidemark.fixed import BOOSTING, FOREST, LINEAR, MODEL_NAMES, RIDGE, XGBOOST
 from tidemark.plans import evaluation, explain, forecast, regimes, training
 from tidemark.plans.analysis import run_analysis
 from tidemark.plans.features import feature_names, feature_table
 from tidemark.plans.linear import fit_linear, predict_linear
+from tidemark.plans.trees import Ensemble, smaller
 from tidemark.sources.sinks import staged
 
 
@@ -109,68 +110,95 @@ def test_best_model_ties_go_to_the_registry(spark):
     assert evaluation.best_models(df).first()["model"] == LINEAR
 
 
-def test_train_all_models(features, small_trees):
-    result = training.train_all(features)
+def test_train_all_models(features):
+    result = training.train_all(features, settings=smaller(5))
     summary = result.summary().toPandas()
     assert len(summary) == 2 * 5 and summary["CV_R2_Mean"].notna().all()
     assert result.importances.groupBy("symbol", "model").count().filter("count = 61").count() == 10
     assert result.predictions.count() == (279 + 239) * 5
-    single = training.train_all(features, [FOREST], scope="symbol", symbols=["A", "B"], validate=False)
-    assert set(single.fitted) == {("A", FOREST), ("B", FOREST)}
-    shap = explain.run_explanation(result, BOOSTING)["shap"]
+    for model in (FOREST, XGBOOST, BOOSTING, RIDGE):
+        shap = explain.run_explanation(result, model)
+        total = shap["shap"].groupBy("symbol", "date").agg(F.sum("shap").alias("s"))
+        gap = total.join(result.predictions.filter(F.col("model") == model), ["symbol", "date"])
+        gap = gap.join(shap["expected"], ["symbol", "model"]).select(F.abs(F.col("yhat") - F.col("s") - F.col("expected")).alias("gap"))
+        gap = gap.toPandas()["gap"]
+        assert len(gap) == 56 + 48 and gap.max() < 1e-6
+
+
+def test_pooled_trees(features, small_trees):
+    pooled = training.train_all(features, [FOREST, BOOSTING], scope=training.POOLED)
+    assert set(pooled.fitted) == {("*", FOREST), ("*", BOOSTING)} and pooled.trees is None
+    assert pooled.summary().count() == 4
+    shap = explain.run_explanation(pooled, BOOSTING)["shap"]
     total = shap.groupBy("symbol", "date").agg(F.sum("shap").alias("s"))
     checked = total.join(
-        result.predictions.filter(F.col("model") == BOOSTING), ["symbol", "date"]
+        pooled.predictions.filter(F.col("model") == BOOSTING), ["symbol", "date"]
     ).select((F.col("yhat") - F.col("s")).alias("base")).toPandas()["base"]
     assert len(checked) == 56 + 48 and checked.max() - checked.min() < 1e-6
-    plain = explain.run_explanation(result, RIDGE)["shap"]
-    sums = plain.groupBy("symbol", "date", "model").agg(F.sum("shap").alias("s"))
-    base = explain.linear_base(result.linear)
-    gap = sums.join(base, ["symbol", "model"]).join(
-        result.predictions, ["symbol", "date", "model"]
-    ).select(F.max(F.abs(F.col("yhat") - F.col("s") - F.col("expected")))).first()[0]
+
+
+def test_collinear_features_are_named(features):
+    rows = staged(evaluation.with_segments(features), "rows")
+    names = ["SMA_20", "RSI_14", "BB_Mid", "ROC_1", "Daily_Return", "HL_Range"]
+    plain = fit_linear(rows, names)
+    kept = fit_linear(rows, names, drop_collinear=True)
+    for row in kept.collect():
+        assert row["dropped"] == ["BB_Mid", "Daily_Return"]
+        assert row["beta"][2] == row["beta"][4] == 0.0
+    both = predict_linear(rows, plain, names).filter(F.col("model") == LINEAR)
+    other = predict_linear(rows, kept, names).filter(F.col("model") == LINEAR).withColumnRenamed("yhat", "z")
+    gap = both.join(other, ["symbol", "date", "fold"]).select(F.max(F.abs(F.col("yhat") - F.col("z")))).first()[0]
     assert gap < 1e-6
 
 
-def reference_forecast(beta, intercept, names, row, closes, n, mode):
+def reference_forecast(predict, names, row, closes, n, mode, stride=1):
     """The recursion spelled out; ``closes`` is the series up to the starting row, oldest first."""
     current = {c: float(row[c]) for c in names}
     lags = [c for c in names if "_Lag" in c]
     series, at, out = list(closes), len(closes) - 1, []
     for _ in range(n):
-        value = intercept + sum(b * current[c] for b, c in zip(beta, names))
+        value = predict([current[c] for c in names])
         out.append(value)
         if mode == forecast.SLOT_SHIFT:
             for i in range(len(lags) - 1, 0, -1):
                 current[lags[i]] = current[lags[i - 1]]
             current[lags[0]] = value
         else:
-            series.append(value)
-            at += 1
+            known = series[-1]
+            series += [known + (value - known) * (i + 1) / stride for i in range(stride)]
+            at += stride
             for c in lags:
                 current[c] = series[at - int(c.split("_Lag")[1])]
     return out
 
 
-@pytest.mark.parametrize("mode", [forecast.SLOT_SHIFT, forecast.HISTORY])
-def test_forecast(bars, features, mode, small_trees):
-    result = training.train_all(features, [LINEAR, RIDGE, FOREST], validate=False)
+@pytest.mark.parametrize("mode, stride", [(forecast.SLOT_SHIFT, 1), (forecast.HISTORY, 1), (forecast.HISTORY, 5)])
+def test_forecast(bars, features, mode, stride, small_trees):
+    result = training.train_all(features, [LINEAR, RIDGE, FOREST, XGBOOST], validate=False, settings=smaller(4))
     names = result.names
     start = forecast.starting_rows(result.features, bars, names, mode)
-    got = forecast.forecast_linear(start, result.linear, names, 12, mode).toPandas()
+    got = forecast.forecast_linear(start, result.linear, names, 12, mode, stride)
+    got = got.unionByName(forecast.forecast_trees(start, result.trees, names, 12, mode, stride)).toPandas()
+    models = [(m["grp"], m["model"], lambda x, m=m: m["intercept"] + np.dot(m["beta"], x)) for m in result.linear.filter("fold = -1").collect()]
+    for m in result.trees.collect():
+        ensemble = Ensemble.read(m["ensemble"])
+        models.append((m["symbol"], m["model"], lambda x, e=ensemble: e.predict(np.array([x]))[0]))
     table = bars.toPandas().sort_values("date")
-    for model in result.linear.filter("fold = -1").collect():
-        row = result.features.filter(F.col("symbol") == model["grp"]).orderBy(F.desc("date")).first()
-        own = table[(table["symbol"] == model["grp"]) & (table["date"] <= row["date"])]
-        closes = own["close"].tolist()
-        want = reference_forecast(model["beta"], model["intercept"], names, row, closes, 12, mode)
-        mine = got[(got["symbol"] == model["grp"]) & (got["model"] == model["model"])].sort_values("step")
+    assert len(models) == 8
+    for symbol, model, predict in models:
+        row = result.features.filter(F.col("symbol") == symbol).orderBy(F.desc("date")).first()
+        own = table[(table["symbol"] == symbol) & (table["date"] <= row["date"])]
+        want = reference_forecast(predict, names, row, own["close"].tolist(), 12, mode, stride)
+        mine = got[(got["symbol"] == symbol) & (got["model"] == model)].sort_values("step")
         assert np.allclose(mine["yhat"], want, rtol=1e-8)
-    fitted = result.fitted[("*", FOREST)]
-    steps = forecast.forecast_pipeline(start, fitted, FOREST, names, 12, mode)
+    pooled = training.train_all(features, [FOREST], scope=training.POOLED, validate=False)
+    steps = forecast.forecast_pipeline(start, pooled.fitted[("*", FOREST)], FOREST, names, 12, mode, stride)
     assert steps.count() == 24
-    days = forecast.dated(steps, 12).toPandas()
+    days = forecast.dated(steps, 12, stride).toPandas()
     assert pd.to_datetime(days["date"]).dt.weekday.max() < 5 and len(days) == 24
+    if stride == 5:
+        one = pd.to_datetime(days[days["symbol"] == "A"].sort_values("step")["date"])
+        assert (one.diff().dropna().dt.days == 7).all()
 
 
 def test_forecast_sees_the_last_close(spark):

@@ -9,7 +9,7 @@ from tidemark.fixed import MODEL_NAMES
 from tidemark.operators import keyfigures
 from tidemark.plans import evaluation, forecast
 from tidemark.plans.features import feature_table, indicators
-from tidemark.plans.training import LINEAR_MODELS, POOLED, Training, train_all
+from tidemark.plans.training import LINEAR_MODELS, PER_SYMBOL, Training, train_all
 from tidemark.sources.sinks import staged
 
 
@@ -19,25 +19,44 @@ def forecast_all(
     n_days: int,
     models=None,
     mode: str = forecast.HISTORY,
+    stride: int = 1,
 ) -> DataFrame:
-    """Dated forecasts with a band, for the given models of every symbol."""
+    """Dated forecasts with a band, for the given models of every symbol.
+
+    ``stride`` is the label horizon of the models: a step goes so many weekdays ahead.
+    """
     models = list(models or MODEL_NAMES)
     parts = []
     linear = [m for m in models if m in LINEAR_MODELS]
     if linear and training.linear is not None:
         chosen = training.linear.filter(F.col("model").isin(linear))
-        parts.append(forecast.forecast_linear(start, chosen, training.names, n_days, mode))
+        parts.append(forecast.forecast_linear(start, chosen, training.names, n_days, mode, stride))
+    if training.trees is not None:
+        chosen = training.trees.filter(F.col("model").isin(models))
+        parts.append(forecast.forecast_trees(start, chosen, training.names, n_days, mode, stride))
     for (group, name), pipeline in training.fitted.items():
         if name in models:
             rows = start if group == "*" else start.filter(F.col("symbol") == group)
             parts.append(
-                forecast.forecast_pipeline(rows, pipeline, name, training.names, n_days, mode)
+                forecast.forecast_pipeline(rows, pipeline, name, training.names, n_days, mode, stride)
             )
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     sigma = evaluation.residual_sigma(training.predictions)
-    return forecast.with_band(forecast.dated(out, n_days), sigma)
+    return forecast.with_band(forecast.dated(out, n_days, stride), sigma)
+
+
+def prepared(bars: DataFrame, horizon: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The feature table, computed and stored once: all rows, and the complete ones that training uses."""
+    rows = staged(feature_table(bars, horizon=horizon, drop_incomplete=False), "features")
+    return rows, rows.dropna(how="any", subset=[c for c in rows.columns if c not in ("symbol", "date")])
+
+
+def starting_rows(rows: DataFrame, bars: DataFrame, training: Training, mode: str, from_last_bar: bool = True) -> DataFrame:
+    """Rows from which forecasts start: the last bar with all features, or the last one with a label."""
+    usable = rows.dropna(subset=training.names) if from_last_bar else training.features
+    return staged(forecast.starting_rows(usable, bars, training.names, mode), "forecast-start")
 
 
 def run_analysis(
@@ -46,7 +65,7 @@ def run_analysis(
     horizon: int = 1,
     future_days: int = 30,
     models=MODEL_NAMES,
-    scope: str = POOLED,
+    scope: str = PER_SYMBOL,
     symbols: list[str] | None = None,
     mode: str = forecast.HISTORY,
     validate: bool = True,
@@ -58,18 +77,13 @@ def run_analysis(
     ``from_last_bar=False`` at the last row that has a label.
     """
     bars = staged(bars, "bars")
-    features = feature_table(bars, horizon=horizon)
+    rows, features = prepared(bars, horizon)
     training = train_all(
         features, models, scope=scope, symbols=symbols, validate=validate
     )
     best = training.best()
-    if from_last_bar:
-        complete = feature_table(bars, horizon=horizon, drop_incomplete=False)
-        rows = complete.dropna(subset=training.names)
-    else:
-        rows = training.features
-    start = staged(forecast.starting_rows(rows, bars, training.names, mode), "forecast-start")
-    future = forecast_all(training, start, future_days, models, mode)
+    start = starting_rows(rows, bars, training, mode, from_last_bar)
+    future = forecast_all(training, start, future_days, models, mode, stride=horizon)
     future = future.join(best.select("symbol", "model"), ["symbol", "model"], "left_semi")
     tables = {
         "bars": bars,

@@ -18,7 +18,10 @@ from tidemark.fixed import SEED
 from tidemark.plans.evaluation import first_rows
 from tidemark.plans.linear import FINAL
 from tidemark.plans.training import LINEAR_MODELS, Training
+from tidemark.plans.trees import Ensemble
+from tidemark.series import by_year
 from tidemark.session import shared_folder
+from tidemark.sources.sinks import staged
 
 BACKGROUND_ROWS = 100
 ROWS_AT_ONCE = 64
@@ -45,14 +48,6 @@ def linear_shap(rows: DataFrame, models: DataFrame, names: list[str]) -> DataFra
     return rows.join(final, "symbol").select("symbol", "date", "model", F.inline(terms))
 
 
-def linear_base(models: DataFrame) -> DataFrame:
-    """Expected prediction of each linear model: its value at the training means."""
-    products = F.zip_with("beta", "center", lambda b, c: b * c)
-    at_mean = F.aggregate(products, F.col("intercept"), lambda total, v: total + v)
-    final = models.filter(F.col("fold") == FINAL)
-    return final.select(F.col("grp").alias("symbol"), "model", at_mean.alias("expected"))
-
-
 # ---- tree models --------------------------------------------------------------------------------
 
 
@@ -95,23 +90,53 @@ def tree_leaves(model, spark) -> Leaves:
         weights = [1.0 / len(weights)] * len(weights)
     values, paths = [], []
     for tree, table in nodes.toPandas().groupby("treeID"):
-        rows = table.set_index("id").to_dict("index")
-        pending = [(0, {})]
-        while pending:
-            at, path_so_far = pending.pop()
-            row = rows[at]
-            if row["left"] < 0:
-                values.append(row["value"] * weights[tree])
-                paths.append(path_so_far)
-                continue
-            f, cut = row["feature"], row["threshold"]
-            low, high, share = path_so_far.get(f, (-np.inf, np.inf, 1.0))
-            for child, interval in (
-                (row["left"], (low, min(high, cut))),
-                (row["right"], (max(low, cut), high)),
-            ):
-                passed = share * rows[child]["n"] / row["n"]
-                pending.append((child, {**path_so_far, f: (*interval, passed)}))
+        for row in _tree_paths(table.set_index("id").to_dict("index")):
+            values.append(row[0] * weights[tree])
+            paths.append(row[1])
+    return _leaves(values, paths)
+
+
+def ensemble_leaves(model: Ensemble) -> Leaves:
+    """The leaves of an ensemble in flat arrays."""
+    values, paths = [], []
+    for feature, threshold, value, cover in zip(model.feature, model.threshold, model.value, model.cover):
+        rows = {
+            i: {
+                "left": 2 * i + 1 if feature[i] >= 0 else -1,
+                "right": 2 * i + 2,
+                "feature": int(feature[i]),
+                "threshold": threshold[i],
+                "value": value[i],
+                "n": cover[i],
+            }
+            for i in np.flatnonzero((cover > 0) | (feature >= 0)).tolist()
+        }
+        for leaf_value, path in _tree_paths(rows):
+            values.append(leaf_value)
+            paths.append(path)
+    return _leaves(values, paths)
+
+
+def _tree_paths(rows: dict):
+    """Value of each leaf, and per feature of its path the interval and the share of rows that passes."""
+    pending = [(0, {})]
+    while pending:
+        at, path_so_far = pending.pop()
+        row = rows[at]
+        if row["left"] < 0:
+            yield row["value"], path_so_far
+            continue
+        f, cut = row["feature"], row["threshold"]
+        low, high, share = path_so_far.get(f, (-np.inf, np.inf, 1.0))
+        for child, interval in (
+            (row["left"], (low, min(high, cut))),
+            (row["right"], (max(low, cut), high)),
+        ):
+            passed = share * rows[child]["n"] / row["n"]
+            pending.append((child, {**path_so_far, f: (*interval, passed)}))
+
+
+def _leaves(values: list[float], paths: list[dict]) -> Leaves:
     depth = max(1, max(len(p) for p in paths))
     shape = (len(paths), depth)
     feature = np.zeros(shape, dtype=int)
@@ -173,6 +198,45 @@ def tree_shap(rows: DataFrame, model, name: str, names: list[str]) -> DataFrame:
     )
 
 
+def ensemble_shap(rows: DataFrame, models: DataFrame, names: list[str]) -> DataFrame:
+    """Exact values of the final tree ensembles of ``plans.trees`` for the rows of their symbols.
+
+    The work is dealt by year of a symbol, which bounds the rows that meet a symbol's models.
+    """
+    rows = by_year(rows.select("symbol", "date", *names))
+    years = rows.groupBy("symbol").agg(F.collect_set("_year").alias("_years"))
+    final = models.filter(F.col("fold") == FINAL).select("symbol", "model", "ensemble")
+    final = final.join(years, "symbol").withColumn("_in", F.explode("_years")).drop("_years")
+
+    def run(left, right):
+        x = left[names].to_numpy(dtype=float)
+        out = []
+        for name, data in zip(right["model"], right["ensemble"]):
+            leaves = ensemble_leaves(Ensemble.read(data))
+            values = [leaf_values(leaves, x[i : i + ROWS_AT_ONCE]) for i in range(0, len(x), ROWS_AT_ONCE)]
+            if values:
+                out.append(
+                    pd.DataFrame(
+                        {
+                            "symbol": np.repeat(left["symbol"].to_numpy(), len(names)),
+                            "date": np.repeat(left["date"].to_numpy(), len(names)),
+                            "model": name,
+                            "feature": np.tile(names, len(left)),
+                            "shap": np.concatenate(values).ravel(),
+                            "feature_value": x.ravel(),
+                        }
+                    )
+                )
+        columns = ["symbol", "date", "model", "feature", "shap", "feature_value"]
+        return pd.concat(out) if out else pd.DataFrame(columns=columns)
+
+    grouped = rows.groupBy("symbol", "_year").cogroup(final.groupBy("symbol", "_in"))
+    return grouped.applyInPandas(
+        run,
+        "symbol string, date date, model string, feature string, shap double, feature_value double",
+    )
+
+
 # ---- any model ----------------------------------------------------------------------------------
 
 
@@ -198,15 +262,57 @@ def sampled_shap(
     names: list[str],
     permutations: int = 20,
     seed: int = SEED,
+    tolerance: float | None = None,
+    rounds: int = 1,
 ) -> DataFrame:
-    """Values of any model by sampled orders of the features.
+    """Values of any model by sampled orders of the features, with a standard error.
 
     Per row and order the features move one by one from a background row to the explained row; the
-    change of the prediction at a feature's turn is one sample of its value.  ``score`` adds a
-    ``prediction`` to rows with a ``features`` vector.
+    change of the prediction at a feature's turn is one sample of its value.  Every order is walked
+    forward and backward and the two samples are averaged, which is exact for effects of pairs of
+    features.  ``error`` is the standard error over the averages, NULL for a single one.  A round has
+    ``permutations`` orders; with a ``tolerance`` up to ``rounds`` rounds follow for rows of which some
+    feature has a larger error.  ``score`` adds a ``prediction`` to rows with a ``features`` vector.
     """
+    out, waiting = None, rows.select("symbol", "date", *names)
+    for i in range(rounds if tolerance is not None else 1):
+        sums = _walked(waiting, background, score, names, i * permutations, permutations, seed)
+        if out is not None:
+            keys = ["symbol", "date", "feature"]
+            old = out.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("n", "total", "squares")])
+            sums = out.join(sums.select(*keys), keys, "left_anti").unionByName(
+                sums.join(old, keys).select(
+                    *keys, "value", *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in ("n", "total", "squares")]
+                )
+            )
+        if tolerance is None:
+            out = sums
+            break
+        out = staged(sums, "sampled-values")
+        large = out.filter(_standard_error() > tolerance).select("symbol", "date").distinct()
+        if i + 1 == rounds or large.isEmpty():
+            break
+        waiting = rows.join(large, ["symbol", "date"], "left_semi").select("symbol", "date", *names)
+    return out.select(
+        "symbol",
+        "date",
+        F.lit(name).alias("model"),
+        "feature",
+        (F.col("total") / F.col("n")).alias("shap"),
+        F.col("value").alias("feature_value"),
+        _standard_error().alias("error"),
+    )
+
+
+def _standard_error():
+    spread = F.greatest(F.col("squares") - F.col("total") * F.col("total") / F.col("n"), F.lit(0.0))
+    return F.sqrt(F.try_divide(spread, F.col("n") * (F.col("n") - 1)))
+
+
+def _walked(rows, background, score, names: list[str], first: int, count: int, seed: int) -> DataFrame:
+    """Number, sum and sum of squares of the samples of some orders, each the mean of its two directions."""
     d = len(names)
-    orders = F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("order")
+    orders = F.explode(F.sequence(F.lit(first), F.lit(first + count - 1))).alias("order")
     walks = rows.select(
         "symbol", "date", F.array(*[F.col(c).cast("double") for c in names]).alias("x"), orders
     )
@@ -219,33 +325,41 @@ def sampled_shap(
         )
     )
     walks = walks.withColumn("turn", F.transform(turn, lambda e: e["i"]))
+    both = F.array(
+        F.struct(F.lit(0).alias("back"), F.col("turn")), F.struct(F.lit(1).alias("back"), F.reverse("turn").alias("turn"))
+    )
+    walks = walks.select("symbol", "date", "x", "order", F.inline(both))
     places = F.transform(
         F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.array_position(F.col("turn"), i) - 1
     )
     walks = walks.withColumn("place", places)
-    base = background.select("symbol", F.col("i").alias("_i"), "n_base", "base")
+    base = background.select("symbol", F.col("i").alias("_i"), "base")
     sizes = background.select("symbol", "n_base").distinct()
     # The orders of a row take different background rows, beginning at a place of the row's own.
     begin = F.pmod(F.xxhash64(F.lit(seed), F.lit("base"), "symbol", "date"), F.col("n_base"))
     drawn = (begin + F.col("order")) % F.col("n_base")
     walks = walks.join(sizes, "symbol").withColumn("_i", drawn.cast("int"))
-    walks = walks.join(base.drop("n_base"), ["symbol", "_i"])
+    walks = walks.join(base, ["symbol", "_i"])
     steps = walks.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(d))))
     mixed = F.transform(
         "x", lambda v, i: F.when(F.get("place", i) < F.col("step"), v).otherwise(F.get("base", i))
     )
     scored = score(steps.withColumn("features", array_to_vector(mixed)))
-    walk = Window.partitionBy("symbol", "date", "order").orderBy("step")
+    walk = Window.partitionBy("symbol", "date", "order", "back").orderBy("step")
     moved = scored.withColumn("gain", F.col("prediction") - F.lag("prediction").over(walk))
     moved = moved.filter(F.col("step") > 0)
     place = F.element_at("turn", F.col("step"))
     label = F.element_at(F.array(*[F.lit(n) for n in names]), place + 1)
     gains = moved.select(
-        "symbol", "date", label.alias("feature"), F.element_at("x", place + 1).alias("value"), "gain"
+        "symbol", "date", "order", label.alias("feature"), F.element_at("x", place + 1).alias("value"), "gain"
+    )
+    pairs = gains.groupBy("symbol", "date", "feature", "order").agg(F.avg("gain").alias("gain"), F.first("value").alias("value"))
+    return pairs.groupBy("symbol", "date", "feature").agg(
+        F.first("value").alias("value"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum("gain").alias("total"),
+        F.sum(F.col("gain") * F.col("gain")).alias("squares"),
     )
-    return gains.groupBy("symbol", "date", "feature").agg(
-        F.avg("gain").alias("shap"), F.first("value").alias("feature_value")
-    ).select("symbol", "date", F.lit(name).alias("model"), "feature", "shap", "feature_value")
 
 
 # ---- choice of the explainer and reports ----------------------------------------------------------
@@ -256,6 +370,9 @@ def explain_rows(training: Training, model: str, rows: DataFrame) -> DataFrame:
     if model in LINEAR_MODELS:
         models = training.linear.filter(F.col("model") == model)
         return linear_shap(rows, models, training.names)
+    if training.trees is not None:
+        own = training.trees.filter(F.col("model") == model)
+        return ensemble_shap(rows, own, training.names)
     parts = []
     for (group, name), pipeline in training.fitted.items():
         if name != model:
@@ -267,7 +384,8 @@ def explain_rows(training: Training, model: str, rows: DataFrame) -> DataFrame:
         else:
             train = training.features.filter(F.col("split") == "train")
             base = background_rows(train, training.names)
-            parts.append(sampled_shap(served, base, fitted.transform, name, training.names))
+            shap = sampled_shap(served, base, fitted.transform, name, training.names)
+            parts.append(shap.drop("error"))
     if not parts:
         raise ValueError(f"not trained: {model}")
     out = parts[0]
@@ -327,4 +445,7 @@ def run_explanation(
             part = explain_rows(training, name, rows)
             part = part.join(best, ["symbol", "model"], "left_semi")
             shap = part if shap is None else shap.unionByName(part)
-    return {"shap": shap, "global_importance": global_importance(shap)}
+    tables = {"shap": shap, "global_importance": global_importance(shap)}
+    if training.linear is not None or training.trees is not None:
+        tables["expected"] = training.expected().join(shap.select("symbol", "model").distinct(), ["symbol", "model"], "left_semi")
+    return tables

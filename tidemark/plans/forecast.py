@@ -4,13 +4,16 @@
 ``history`` keeps the recent closes, that of the starting row first, and reads every lag at its
 distance: the first step has the lags of the starting row, the second has its close as the first lag,
 and predictions follow from the third on.  All other features keep the values of the starting row in
-both modes.
+both modes.  Models that look several rows ahead (``stride``) go on by so many weekdays a step; in
+``history`` the closes between two steps lie on the line between them.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.calendar import business_days
 from tidemark.plans.features import latest_rows
 from tidemark.plans.linear import FINAL
+from tidemark.plans.trees import Ensemble
 from tidemark.session import shared_folder
 
 SLOT_SHIFT, HISTORY = "slot_shift", "history"
@@ -34,13 +38,16 @@ def lag_columns(names: list[str]) -> dict[str, int]:
     return found
 
 
-def _next_lags(mode: str, lags: dict[str, int], past, value: Column) -> Column:
+def _next_lags(mode: str, lags: dict[str, int], past, value: Column, stride: int = 1) -> Column:
     """State after ``value`` was appended.
 
     It holds the lags (slots), or the closes from that of the current row backward (history).
     """
-    size = len(lags) if mode == SLOT_SHIFT else max(lags.values()) + 1
-    return F.slice(F.concat(F.array(value), past), 1, size)
+    if mode == SLOT_SHIFT:
+        return F.slice(F.concat(F.array(value), past), 1, len(lags))
+    known = F.get(past, 0)
+    between = [value + (known - value) * (i / stride) for i in range(1, stride)]
+    return F.slice(F.concat(F.array(value, *between), past), 1, max(lags.values()) + 1)
 
 
 def _lag_value(mode: str, lags: dict[str, int], past, name: str) -> Column:
@@ -67,7 +74,12 @@ def starting_rows(features: DataFrame, bars: DataFrame, names: list[str], mode:
 
 
 def forecast_linear(
-    start: DataFrame, models: DataFrame, names: list[str], n_days: int, mode: str = HISTORY
+    start: DataFrame,
+    models: DataFrame,
+    names: list[str],
+    n_days: int,
+    mode: str = HISTORY,
+    stride: int = 1,
 ) -> DataFrame:
     """Forecast of the final linear models, one fold over the steps per symbol and model.
 
@@ -88,7 +100,7 @@ def forecast_linear(
         for c in lags:
             value = value + _lag_value(mode, lags, acc["past"], c) * F.col("beta")[place[c]]
         return F.struct(
-            _next_lags(mode, lags, acc["past"], value).alias("past"),
+            _next_lags(mode, lags, acc["past"], value, stride).alias("past"),
             F.concat(acc["out"], F.array(value)).alias("out"),
         )
 
@@ -102,6 +114,49 @@ def forecast_linear(
     return rows.select("symbol", "model", "last_date", (F.col("_i") + 1).alias("step"), "yhat")
 
 
+def forecast_trees(
+    start: DataFrame,
+    models: DataFrame,
+    names: list[str],
+    n_days: int,
+    mode: str = HISTORY,
+    stride: int = 1,
+) -> DataFrame:
+    """Forecast of the final tree ensembles: a row per symbol and model walks all steps in one pass."""
+    lags = lag_columns(names)
+    places = [names.index(c) for c in lags]
+    distances = list(lags.values())
+    final = models.filter(F.col("fold") == FINAL).select("symbol", "model", "ensemble")
+    values = F.array(*[F.col(c).cast("double") for c in names])
+    state = start.select("symbol", F.col("date").alias("last_date"), values.alias("x"), "_past").join(final, "symbol")
+
+    def path(row: dict) -> list[float]:
+        model = Ensemble.read(row["ensemble"])
+        x, past, out = np.array(row["x"], float), list(row["_past"]), []
+        for _ in range(n_days):
+            value = float(model.predict(x[None, :])[0])
+            out.append(value)
+            if mode == SLOT_SHIFT:
+                past = [value, *past][: len(lags)]
+                x[places] = past
+            else:
+                between = [value + (past[0] - value) * (i / stride) for i in range(1, stride)]
+                past = [value, *between, *past][: max(distances) + 1]
+                # Before enough closes are known a lag has no value; it leads to the right like any NaN.
+                x[places] = [past[d] if d < len(past) else np.nan for d in distances]
+        return out
+
+    def run(batches):
+        for batch in batches:
+            kept = batch.select(["symbol", "model", "last_date"])
+            steps = pa.array([path(row) for row in batch.to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, steps], ["symbol", "model", "last_date", "path"])
+
+    walked = state.mapInArrow(run, "symbol string, model string, last_date date, path array<double>")
+    rows = walked.select("symbol", "model", "last_date", F.posexplode("path").alias("_i", "yhat"))
+    return rows.select("symbol", "model", "last_date", (F.col("_i") + 1).alias("step"), "yhat")
+
+
 def forecast_pipeline(
     start: DataFrame,
     model: PipelineModel,
@@ -109,6 +164,7 @@ def forecast_pipeline(
     names: list[str],
     n_days: int,
     mode: str = HISTORY,
+    stride: int = 1,
 ) -> DataFrame:
     """Forecast of any Spark ML model: one row per symbol goes through the model once per step."""
     lags = lag_columns(names)
@@ -119,7 +175,7 @@ def forecast_pipeline(
         scored = model.transform(state)
         value = F.col("prediction")
         refreshed = {
-            "_past": _next_lags(mode, lags, F.col("_past"), value),
+            "_past": _next_lags(mode, lags, F.col("_past"), value, stride),
             "_out": F.concat("_out", F.array(value)),
         }
         state = scored.withColumns(refreshed)
@@ -135,9 +191,10 @@ def forecast_pipeline(
     )
 
 
-def dated(forecast: DataFrame, n_days: int) -> DataFrame:
-    """Put the steps on the weekdays after the last row of each symbol."""
-    days = business_days(forecast.select("symbol", "last_date").distinct(), n_days)
+def dated(forecast: DataFrame, n_days: int, stride: int = 1) -> DataFrame:
+    """Put the steps on every ``stride``-th weekday after the last row of each symbol."""
+    days = business_days(forecast.select("symbol", "last_date").distinct(), n_days * stride)
+    days = days.filter(F.col("step") % stride == 0).withColumn("step", (F.col("step") / stride).cast("int"))
     return forecast.join(days, ["symbol", "step"]).select(
         "symbol", "model", "step", "date", "yhat"
     )

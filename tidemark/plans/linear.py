@@ -1,9 +1,13 @@
 """Least squares and ridge regression of many groups at once.
 
-Each task reduces its rows of a (group, segment) to the triangular factor of a QR decomposition, which
-has as many rows as columns.  Factors are merged by stacking and reducing again, and a group's models -
-one per validation fold and the final one - are solved from its seven small factors.  No task sees all
-rows of a group, and unlike with cross products the condition of the features is not squared.
+Each task reduces its rows of a (group, segment, year) to the triangular factor of a QR decomposition, which
+has as many rows as columns.  Factors are merged by stacking and reducing again, by year first, and a
+group's models - one per validation fold and the final one - are solved from these small factors.  No task
+sees all rows of a group, and unlike with cross products the condition of the features is not squared.
+
+Features that depend linearly on others leave the weights of least squares undetermined.  They are spread
+over dependent features evenly (the solution of least norm), or with ``drop_collinear`` features that add
+nothing to those before them get no weight and are named in ``dropped``.
 """
 
 from __future__ import annotations
@@ -20,13 +24,14 @@ RIDGE_ALPHA = 1.0
 FINAL = -1
 # Directions whose singular value is below this share of the largest are linear dependencies.
 DEPENDENT = 1e-13
-# Factors that a task holds before it passes them on, and merge tasks of one (group, segment).
+# A scaled feature adds nothing if less than this share of it lies outside the features kept before it.
+COLLINEAR = 1e-6
+# Factors that a task holds before it passes them on.
 HELD_FACTORS = 64
-MERGE_TASKS = 32
 
 MODEL_SCHEMA = (
     "grp string, model string, fold int, n_train long, intercept double, beta array<double>, "
-    "center array<double>, scale array<double>, weights array<double>"
+    "center array<double>, scale array<double>, weights array<double>, dropped array<string>"
 )
 
 
@@ -50,6 +55,7 @@ def _task_factors(names: list[str], target: str):
             {
                 "grp": [k[0] for k in held],
                 "segment": [k[1] for k in held],
+                "year": [k[2] for k in held],
                 "factor": [f.ravel() for f in held.values()],
             }
         )
@@ -59,7 +65,7 @@ def _task_factors(names: list[str], target: str):
         for batch in batches:
             values = batch[columns].to_numpy(dtype=float)
             values = np.column_stack([np.ones(len(values)), values])
-            for key, places in batch.groupby(["grp", "segment"]).indices.items():
+            for key, places in batch.groupby(["grp", "segment", "year"]).indices.items():
                 part = values[places]
                 held[key] = _reduced(np.vstack([held[key], part]) if key in held else part)
             if len(held) > HELD_FACTORS:
@@ -74,13 +80,27 @@ def _task_factors(names: list[str], target: str):
 def _merged(size: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         factor = _reduced(_stacked(rows["factor"], size))
-        out = rows[["grp", "segment"]].head(1).reset_index(drop=True)
+        out = rows[["grp", "segment", "year"]].head(1).reset_index(drop=True)
         return out.assign(factor=[factor.ravel()])
 
     return run
 
 
-def _solved(width: int, folds: int, alphas: dict[str, float]):
+def _independent(scaled: np.ndarray) -> np.ndarray:
+    """Which columns add something to the kept ones before them, by orthogonalisation in the order given."""
+    kept = np.zeros(scaled.shape[1], bool)
+    basis = np.zeros((0, len(scaled)))
+    for j, column in enumerate(scaled.T):
+        size, rest = np.linalg.norm(column), column
+        for _ in range(2):
+            rest = rest - basis.T @ (basis @ rest)
+        if np.linalg.norm(rest) > COLLINEAR * size:
+            kept[j] = True
+            basis = np.vstack([basis, rest / np.linalg.norm(rest)])
+    return kept
+
+
+def _solved(width: int, folds: int, alphas: dict[str, float], names: list[str], drop_collinear: bool):
     """All models of one group from its factors.
 
     With a first column of ones the factor below its first row is that of the centred data.
@@ -96,26 +116,30 @@ def _solved(width: int, folds: int, alphas: dict[str, float]):
         flat = scale <= 1e-12 * np.maximum(1.0, np.abs(mean[:-1]))
         scale = np.where(flat, 1.0, scale)
         scaled = np.where(flat, 0.0, centred / scale)
-        left, strength, right = np.linalg.svd(scaled, full_matrices=False)
-        kept = strength > DEPENDENT * max(strength.max(), 1e-300)
+        used = _independent(scaled) if drop_collinear else np.ones(width, bool)
+        left, strength, right = np.linalg.svd(scaled[:, used], full_matrices=False)
+        kept = strength > DEPENDENT * max(strength.max(initial=0.0), 1e-300)
         shrink = strength[kept] / (strength[kept] ** 2 + alpha)
-        weights = right[kept].T @ (shrink * (left.T @ toward)[kept])
+        weights = np.zeros(width)
+        weights[used] = right[kept].T @ (shrink * (left.T @ toward)[kept])
         beta = weights / scale
-        return round(n), mean[-1] - beta @ mean[:-1], beta, mean[:-1], scale, weights
+        dropped = [c for c, u in zip(names, used) if not u]
+        return round(n), mean[-1] - beta @ mean[:-1], dropped, beta, mean[:-1], scale, weights
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for fold in [FINAL, *range(folds)]:
             used = rows[rows["segment"] <= (folds if fold == FINAL else fold)]
+            used = used.sort_values(["segment", "year"])
             if used.empty:
                 continue
             factor = _reduced(_stacked(used["factor"], size))
             for model, alpha in alphas.items():
-                n, intercept, *vectors = fit(factor, alpha)
+                n, intercept, dropped, *vectors = fit(factor, alpha)
                 row = [rows["grp"].iloc[0], model, fold, int(n), intercept]
-                out.append(row + [v.tolist() for v in vectors])
-        names = ["grp", "model", "fold", "n_train", "intercept", "beta", "center", "scale", "weights"]
-        return pd.DataFrame(out, columns=names)
+                out.append([*row, *[v.tolist() for v in vectors], dropped])
+        columns = ["grp", "model", "fold", "n_train", "intercept", "beta", "center", "scale", "weights"]
+        return pd.DataFrame(out, columns=[*columns, "dropped"])
 
     return run
 
@@ -127,23 +151,18 @@ def fit_linear(
     group: str = "symbol",
     folds: int = FOLDS,
     alpha: float = RIDGE_ALPHA,
+    drop_collinear: bool = False,
 ) -> DataFrame:
     """Fit both linear models for every group and fold; fold -1 is the model of all training rows.
 
     ``weights`` belong to features scaled to unit deviation, ``beta`` and ``intercept`` to raw ones.
     """
     rows = segmented.filter(F.col("segment") <= folds)
-    rows = rows.select(F.col(group).alias("grp"), "segment", *names, target)
-    schema = "grp string, segment int, factor array<double>"
+    rows = rows.select(F.col(group).alias("grp"), "segment", F.year("date").alias("year"), *names, target)
+    schema = "grp string, segment int, year int, factor array<double>"
     partial = rows.mapInPandas(_task_factors(names, target), schema)
-    # A group spread over very many tasks is merged by several tasks first.
-    share = F.spark_partition_id() % MERGE_TASKS
-    merged = (
-        partial.withColumn("share", share)
-        .groupBy("grp", "segment", "share")
-        .applyInPandas(_merged(len(names) + 2), schema)
-    )
-    solve = _solved(len(names), folds, {LINEAR: 0.0, RIDGE: alpha})
+    merged = partial.groupBy("grp", "segment", "year").applyInPandas(_merged(len(names) + 2), schema)
+    solve = _solved(len(names), folds, {LINEAR: 0.0, RIDGE: alpha}, names, drop_collinear)
     return merged.groupBy("grp").applyInPandas(solve, MODEL_SCHEMA)
 
 
@@ -192,3 +211,11 @@ def linear_importances(models: DataFrame, names: list[str]) -> DataFrame:
     return final.select(F.col("grp").alias("symbol"), "model", F.inline(named)).select(
         "symbol", "model", "feature", F.abs("weights").alias("importance")
     )
+
+
+def linear_base(models: DataFrame) -> DataFrame:
+    """Expected prediction of each linear model: its value at the training means."""
+    products = F.zip_with("beta", "center", lambda b, c: b * c)
+    at_mean = F.aggregate(products, F.col("intercept"), lambda total, v: total + v)
+    final = models.filter(F.col("fold") == FINAL)
+    return final.select(F.col("grp").alias("symbol"), "model", at_mean.alias("expected"))

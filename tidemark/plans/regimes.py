@@ -109,7 +109,8 @@ def point_tiles(points: DataFrame, labels=()) -> DataFrame:
     placed = with_positions(points)
     tile = F.floor((F.col("pos") - 1) / TILE_ROWS).cast("int").alias("tile")
     tiles = placed.groupBy("symbol", tile).agg(
-        F.collect_list(F.struct("date", "x", *labels)).alias("rows"),
+        # In order of date, so that draws by position repeat.
+        F.array_sort(F.collect_list(F.struct("date", "x", *labels))).alias("rows"),
         F.ceil(F.max("n_rows") / TILE_ROWS).cast("int").alias("n_tiles"),
     )
 
@@ -350,32 +351,38 @@ def regime_centres(labelled: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _distance_sums(labels: list[str]):
-    """For each day of the first tile: sums of distances to the second tile's days by their label."""
+    """For each day of two tiles: sums of distances to the other tile's days by their label.
+
+    The distances of a pair of tiles are computed once and added up both ways.
+    """
+
+    def side(symbol, name, dates, own, distances, other):
+        clusters = np.unique(other)
+        member = (other[:, None] == clusters[None, :]).astype(float)
+        return pd.DataFrame(
+            {
+                "symbol": symbol,
+                "date": np.repeat(dates, len(clusters)),
+                "labelling": name,
+                "own": np.repeat(own, len(clusters)),
+                "cluster": np.tile(clusters, len(dates)),
+                "total": (distances @ member).ravel(),
+                "members": np.tile(member.sum(0).astype(int), len(dates)),
+            }
+        )
 
     def run(batches):
         for batch in batches:
             parts = []
             for row in batch.itertuples(index=False):
-                count = len(row.dates)
-                a, b = _matrix(row.x, count), _matrix(row.other_x, row.other_count)
+                dates, others = np.asarray(row.dates), np.asarray(row.other_dates)
+                a, b = _matrix(row.x, len(dates)), _matrix(row.other_x, len(others))
                 distances = np.sqrt(_squares(a, b))
                 for name in labels:
-                    other = np.asarray(getattr(row, f"other_{name}"))
-                    clusters = np.unique(other)
-                    member = (other[:, None] == clusters[None, :]).astype(float)
-                    parts.append(
-                        pd.DataFrame(
-                            {
-                                "symbol": row.symbol,
-                                "date": np.repeat(np.asarray(row.dates), len(clusters)),
-                                "labelling": name,
-                                "own": np.repeat(np.asarray(getattr(row, name)), len(clusters)),
-                                "cluster": np.tile(clusters, count),
-                                "total": (distances @ member).ravel(),
-                                "members": np.tile(member.sum(0).astype(int), count),
-                            }
-                        )
-                    )
+                    own, other = np.asarray(getattr(row, name)), np.asarray(getattr(row, f"other_{name}"))
+                    parts.append(side(row.symbol, name, dates, own, distances, other))
+                    if row.tile != row.other_tile:
+                        parts.append(side(row.symbol, name, others, other, distances.T, own))
             if parts:
                 yield pd.concat(parts, ignore_index=True)
 
@@ -386,8 +393,8 @@ def silhouette_values(points: DataFrame, labels: list[str]) -> DataFrame:
     """Exact Euclidean silhouette value of every day for each labelling column.
 
     The measure needs each day's mean distance to every cluster of its symbol.  Days are packed into
-    tiles; a task takes two tiles of one symbol and returns one sum per day and cluster, so pairs of
-    days are never rows.  Tiles meet by (symbol, tile number), which spreads a long symbol over many
+    tiles; a task takes two tiles of one symbol, each pair of tiles once, and returns one sum per day and
+    cluster for both, so pairs of days are never rows.  Tiles meet by (symbol, tile number), which spreads a long symbol over many
     tasks; a symbol has at most one day per date, which bounds the number of its tiles.
     """
     # Read from both sides of the join below.
@@ -396,11 +403,11 @@ def silhouette_values(points: DataFrame, labels: list[str]) -> DataFrame:
         "symbol",
         F.col("tile").alias("other_tile"),
         F.col("x").alias("other_x"),
-        F.size("dates").alias("other_count"),
+        F.col("dates").alias("other_dates"),
         *[F.col(c).alias(f"other_{c}") for c in labels],
     )
-    meets = F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)).alias("other_tile")
-    paired = tiles.select("symbol", "dates", "x", *labels, meets).join(other, ["symbol", "other_tile"])
+    meets = F.explode(F.sequence(F.col("tile"), F.col("n_tiles") - 1)).alias("other_tile")
+    paired = tiles.select("symbol", "tile", "dates", "x", *labels, meets).join(other, ["symbol", "other_tile"])
     sums = paired.mapInPandas(
         _distance_sums(labels),
         "symbol string, date date, labelling string, own int, cluster int, total double, members long",

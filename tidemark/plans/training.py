@@ -1,8 +1,8 @@
 """The model registry and training of all models with validation folds and metrics.
 
-The two linear models are fitted for every symbol at once (``plans.linear``).  The three tree models
-are Spark ML estimators.  With ``scope="pooled"`` one tree model learns from the training rows of all
-symbols; with ``scope="symbol"`` one is fitted for each of the symbols that the caller names.
+The two linear models are fitted for every symbol at once (``plans.linear``), and so are the three tree
+models (``plans.trees``), all folds in the same job.  With ``scope="pooled"`` one tree model, a Spark ML
+estimator, learns from the training rows of all symbols instead.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from tidemark.fixed import BOOSTING, FOREST, LINEAR, MODEL_NAMES, RIDGE, SEED, X
 from tidemark.plans import evaluation
 from tidemark.plans.evaluation import FOLDS, TEST_SIZE
 from tidemark.plans.features import feature_names
-from tidemark.plans.linear import FINAL, fit_linear, linear_importances, predict_linear
+from tidemark.plans.linear import FINAL, fit_linear, linear_base, linear_importances, predict_linear
+from tidemark.plans.trees import Settings, fit_trees, tree_importances, tree_predictions
 from tidemark.sources.sinks import staged
 
 LINEAR_MODELS = (LINEAR, RIDGE)
@@ -76,7 +77,10 @@ def tree_pipeline(model: str, names: list[str]) -> Pipeline:
 
 @dataclass
 class Training:
-    """Everything that training yields, as tables; ``fitted`` holds the Spark ML models."""
+    """Everything that training yields, as tables.
+
+    ``linear`` and ``trees`` hold the models of the symbols; ``fitted`` the pooled Spark ML models.
+    """
 
     features: DataFrame
     names: list[str]
@@ -84,6 +88,7 @@ class Training:
     fold_predictions: DataFrame | None
     importances: DataFrame
     linear: DataFrame | None = None
+    trees: DataFrame | None = None
     fitted: dict[tuple[str, str], PipelineModel] = field(default_factory=dict)
 
     def metrics(self) -> DataFrame:
@@ -95,6 +100,15 @@ class Training:
     def summary(self) -> DataFrame:
         return evaluation.summary(self.metrics(), self.cv_scores())
 
+    def expected(self) -> DataFrame:
+        """Expected prediction of the models of each symbol; Shapley values add up to the distance from it."""
+        parts = []
+        if self.linear is not None:
+            parts.append(linear_base(self.linear))
+        if self.trees is not None:
+            parts.append(self.trees.filter(F.col("fold") == FINAL).select("symbol", "model", "expected"))
+        return _union(parts)
+
     def best(self) -> DataFrame:
         return evaluation.best_models(self.metrics())
 
@@ -102,6 +116,13 @@ class Training:
         return evaluation.best_predictions(self.predictions, self.best())
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out
+
+
 def _tree_rows(model: PipelineModel, rows: DataFrame, name: str, fold: int) -> DataFrame:
     scored = model.transform(rows)
     return scored.select(
@@ -132,73 +153,71 @@ def train_all(
     models=MODEL_NAMES,
     test_size: float = TEST_SIZE,
     folds: int = FOLDS,
-    scope: str = POOLED,
+    scope: str = PER_SYMBOL,
     symbols: list[str] | None = None,
     validate: bool = True,
     parallelism: int = 4,
+    settings: dict[str, Settings] | None = None,
+    drop_collinear: bool = False,
 ) -> Training:
     """Fit the models on the first rows of each symbol, predict all rows, validate on folds.
 
-    Independent fits are submitted from ``parallelism`` driver threads; each is a Spark job.
+    Pooled fits are submitted from ``parallelism`` driver threads; each is a Spark job.  ``settings``
+    replaces those of the registry for tree models by symbol; ``drop_collinear`` leaves features that depend
+    linearly on others out of the linear models.
     """
-    if scope == PER_SYMBOL and symbols is None and any(m in TREE_MODELS for m in models):
-        raise ValueError("name the symbols that get their own tree models")
     if symbols is not None:
         features = features.filter(F.col("symbol").isin(list(symbols)))
     names = feature_names(features)
-    # Stored before and after the split: numbering the rows reads the table twice, and every fit below
-    # reads it again, so the windows are computed once.
-    features = staged(features, "features")
+    # Stored, because every fit below reads it again.
     rows = staged(evaluation.with_segments(features, test_size, folds), "segments")
 
     parts, fold_parts, importances, fitted = [], [], [], {}
     linear = None
     wanted = [m for m in models if m in LINEAR_MODELS]
     if wanted:
-        linear = fit_linear(rows, names, folds=folds if validate else 0)
+        linear = fit_linear(rows, names, folds=folds if validate else 0, drop_collinear=drop_collinear)
         linear = staged(linear.filter(F.col("model").isin(wanted)), "linear-models")
         scored = predict_linear(rows, linear, names)
         parts.append(scored.filter(F.col("fold") == FINAL))
         fold_parts.append(scored.filter(F.col("fold") != FINAL))
         importances.append(linear_importances(linear, names))
 
-    groups = {"*": rows}
-    if scope == PER_SYMBOL:
-        groups = {s: rows.filter(F.col("symbol") == s) for s in symbols or []}
     trees = [m for m in models if m in TREE_MODELS]
-    tasks = [(g, m, FINAL) for g in groups for m in trees]
-    if validate:
-        tasks += [(g, m, t) for g in groups for m in trees for t in range(folds)]
-
-    def fit(task):
-        group, model, fold = task
-        last = folds if fold == FINAL else fold
-        return tree_pipeline(model, names).fit(groups[group].filter(F.col("segment") <= last))
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        for (group, model, fold), result in zip(tasks, pool.map(fit, tasks)):
-            subset = groups[group]
-            if fold == FINAL:
-                fitted[(group, model)] = result
-                parts.append(_tree_rows(result, subset, model, FINAL))
-                served = subset.select("symbol").distinct()
-                importances.append(_tree_importances(result, names, model, served))
-            else:
-                valid = subset.filter(F.col("segment") == fold + 1)
-                fold_parts.append(_tree_rows(result, valid, model, fold))
-
-    def union(frames):
-        out = frames[0]
-        for frame in frames[1:]:
-            out = out.unionByName(frame)
-        return out
+    by_symbol = None
+    if trees and scope == PER_SYMBOL:
+        by_symbol = staged(fit_trees(rows, names, trees, folds, validate, settings), "tree-models")
+        scored = tree_predictions(by_symbol)
+        parts.append(scored.filter(F.col("fold") == FINAL))
+        fold_parts.append(scored.filter(F.col("fold") != FINAL))
+        importances.append(tree_importances(by_symbol, names))
+    elif trees:
+        tasks = [(m, t) for m in trees for t in [FINAL, *(range(folds) if validate else ())]]
+
+        def fit(task):
+            model, fold = task
+            last = folds if fold == FINAL else fold
+            return tree_pipeline(model, names).fit(rows.filter(F.col("segment") <= last))
+
+        with ThreadPoolExecutor(parallelism) as pool:
+            for (model, fold), result in zip(tasks, pool.map(fit, tasks)):
+                if fold == FINAL:
+                    fitted[("*", model)] = result
+                    parts.append(_tree_rows(result, rows, model, FINAL))
+                    served = rows.select("symbol").distinct()
+                    importances.append(_tree_importances(result, names, model, served))
+                else:
+                    valid = rows.filter(F.col("segment") == fold + 1)
+                    fold_parts.append(_tree_rows(result, valid, model, fold))
 
     return Training(
         features=rows,
         names=names,
-        predictions=union(parts),
-        fold_predictions=union(fold_parts) if validate else None,
-        importances=union(importances),
+        # Metrics, bands and explanations read them, so every row is scored once.
+        predictions=staged(_union(parts), "predictions"),
+        fold_predictions=_union(fold_parts) if validate else None,
+        importances=_union(importances),
         linear=linear,
+        trees=by_symbol,
         fitted=fitted,
     )

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.fixed import BOOSTING, FOREST, LINEAR, RIDGE, XGBOOST
+from tidemark.fixed import BOOSTING, FOREST, LINEAR, MODEL_NAMES, RIDGE, XGBOOST
 from tidemark.plans import evaluation, explain, forecast, regimes
-from tidemark.plans.analysis import forecast_all, run_analysis
-from tidemark.plans.features import feature_table
-from tidemark.plans.linear import FINAL
+from tidemark.plans.analysis import forecast_all, prepared, run_analysis, starting_rows
+from tidemark.plans.features import feature_names, feature_table
+from tidemark.plans.linear import FINAL, fit_linear
 from tidemark.plans.summary import report_text, summary_table
 from tidemark.plans.training import train_all
+from tidemark.plans.trees import Settings
+from tidemark.series import with_positions
 from tidemark.session import shared_folder
 from tidemark.operators.cleaning import training_snapshot
 from tidemark.sources.bars import lineitem_bars, read_bars, read_snapshot
@@ -26,7 +29,7 @@ from tidemark.sources.sinks import (
     write_tables,
 )
 from tidemark.streaming.live import bars_from_ticks, event_ticks
-from verification.queries_reports import _facts, _segments, digits
+from verification.queries_reports import _facts, _ruled, _segments
 
 LINEAR_SET = (LINEAR, RIDGE)
 
@@ -35,46 +38,95 @@ def _fresh(spark, name):
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _features(spark, sf_dir):
-    return feature_table(lineitem_bars(spark, sf_dir))
+def _training(spark, sf_dir, models=MODEL_NAMES, **options):
+    _, features = prepared(lineitem_bars(spark, sf_dir))
+    return train_all(features, models, **options)
 
 
 # ---- training --------------------------------------------------------------------------------------
 
 
 def train_linear(spark, sf_dir):
-    return train_all(_features(spark, sf_dir), LINEAR_SET).summary()
+    return _training(spark, sf_dir, LINEAR_SET).summary()
+
+
+def train_five(spark, sf_dir):
+    """Every model of every symbol with its folds, as one request trains them."""
+    return _training(spark, sf_dir).summary()
 
 
 def train_predictions(spark, sf_dir):
-    return train_all(_features(spark, sf_dir), LINEAR_SET, validate=False).predictions
+    return _training(spark, sf_dir).predictions
+
+
+def fold_predictions(spark, sf_dir):
+    return _training(spark, sf_dir).fold_predictions
 
 
 def _tree(model):
     def query(spark, sf_dir):
-        return train_all(_features(spark, sf_dir), [model], validate=False).metrics()
+        return _training(spark, sf_dir, [model]).summary()
+
+    return query
+
+
+def _stump(model, **settings):
+    """First split of every symbol with all candidate cuts, as sizes and values of its two sides."""
+
+    def query(spark, sf_dir):
+        one = {model: Settings(trees=1, depth=1, bins=1 << 15, **settings)}
+        training = _training(spark, sf_dir, [model], validate=False, settings=one)
+        sides = training.predictions.filter(F.col("split") == "train").groupBy("symbol", F.round("yhat", 5).alias("yhat"))
+        return sides.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 5).alias("mean_y"))
 
     return query
 
 
+PAIR = ["RSI_14", "Volume_Ratio"]
+
+
+def linear_pair(spark, sf_dir):
+    """Both linear models of two features, with all folds."""
+    rows = staged(evaluation.with_segments(prepared(lineitem_bars(spark, sf_dir))[1]), "segments")
+    models = fit_linear(rows, PAIR)
+    return models.select(
+        F.col("grp").alias("symbol"),
+        "model",
+        "fold",
+        "n_train",
+        *[F.round(F.col("weights")[i], 3).alias(f"weight_{c}") for i, c in enumerate(PAIR)],
+        F.round("intercept", 3).alias("intercept"),
+    )
+
+
+def collinear_features(spark, sf_dir):
+    """Features that the linear models of each symbol leave out because others determine them."""
+    training = _training(spark, sf_dir, [LINEAR], drop_collinear=True)
+    final = training.linear.filter(F.col("fold") == FINAL)
+    return final.select(F.col("grp").alias("symbol"), F.explode("dropped").alias("feature"))
+
+
 def importances(spark, sf_dir):
-    return train_all(_features(spark, sf_dir), LINEAR_SET, validate=False).importances
+    return _training(spark, sf_dir).importances
 
 
-def forecast_linear(mode):
+def _forecast(mode, best=False):
     def query(spark, sf_dir):
         bars = staged(lineitem_bars(spark, sf_dir), "bars")
-        training = train_all(feature_table(bars), LINEAR_SET, validate=False)
-        full = feature_table(bars, drop_incomplete=False).dropna(subset=training.names)
-        start = forecast.starting_rows(full, bars, training.names, mode)
-        return forecast_all(training, start, 30, LINEAR_SET, mode)
+        rows, features = prepared(bars)
+        training = train_all(features)
+        start = starting_rows(rows, bars, training, mode)
+        future = forecast_all(training, start, 30, mode=mode)
+        if best:
+            future = future.join(training.best().select("symbol", "model"), ["symbol", "model"], "left_semi")
+        return future
 
     return query
 
 
 def analysis(spark, sf_dir):
     tables = run_analysis(
-        lineitem_bars(spark, sf_dir), _facts(spark, sf_dir), models=LINEAR_SET, future_days=14
+        lineitem_bars(spark, sf_dir), _facts(spark, sf_dir), future_days=14
     )
     return tables["key_figure_texts"]
 
@@ -86,61 +138,117 @@ def kmeans_regimes(spark, sf_dir):
     return regimes.run_regimes(lineitem_bars(spark, sf_dir), with_elbow=False)["stats"]
 
 
+def _fitted(table):
+    def query(spark, sf_dir):
+        return regimes.run_regimes(lineitem_bars(spark, sf_dir), with_elbow=False)[table]
+
+    return query
+
+
 def kmeans_elbow(spark, sf_dir):
     return regimes.run_regimes(lineitem_bars(spark, sf_dir))["elbow"]
 
 
 # ---- Shapley values --------------------------------------------------------------------------------
 
-SHAP_NAMES = ["close", "SMA_5"]
-SHAP_WEIGHTS = [0.5, -0.25]
+def shap_weight(place: int) -> float:
+    """Weight of a feature by its place in the table: growing, with changing sign."""
+    return round((place + 1) * 0.0137 * (-1) ** place, 4)
 
 
 def _fixed_shap(spark, sf_dir):
-    """Values of a linear model with given weights, centred at the training means, on all test rows."""
-    rows = _segments(spark, sf_dir)
+    """Values of a linear model of all features with given weights, centred at the training means, on all test rows."""
+    features = prepared(lineitem_bars(spark, sf_dir))[1]
+    names = sorted(feature_names(features))
+    rows = staged(evaluation.with_segments(features), "segments")
     means = rows.filter(F.col("split") == "train").groupBy("symbol").agg(
-        F.array(*[F.avg(c) for c in SHAP_NAMES]).alias("center")
+        F.array(*[F.avg(c) for c in names]).alias("center")
     )
     models = means.select(
         F.col("symbol").alias("grp"),
         F.lit("given").alias("model"),
         F.lit(FINAL).alias("fold"),
-        F.array(*map(F.lit, SHAP_WEIGHTS)).alias("beta"),
+        F.array(*[F.lit(shap_weight(i)) for i in range(len(names))]).alias("beta"),
         "center",
     )
-    return explain.linear_shap(rows.filter(F.col("split") == "test"), models, SHAP_NAMES)
+    return explain.linear_shap(rows.filter(F.col("split") == "test"), models, names)
+
+
+def _wide(df, *columns, digits=5):
+    """Round by size: whole numbers from 1,000 on, some digits below; no negative zero."""
+
+    def rounded(c):
+        return F.when(F.abs(c) >= 1000, F.round(c, 0)).otherwise(F.round(c, digits)) + F.lit(0.0)
+
+    return df.withColumns({c: rounded(F.col(c)) for c in columns})
 
 
 def linear_shap(spark, sf_dir):
-    return digits(_fixed_shap(spark, sf_dir), shap=3)
+    return _wide(_fixed_shap(spark, sf_dir), "shap", "feature_value")
 
 
 def shap_global(spark, sf_dir):
-    return digits(explain.global_importance(_fixed_shap(spark, sf_dir)), mean_abs_shap=3)
+    return _wide(explain.global_importance(_fixed_shap(spark, sf_dir)), "mean_abs_shap")
 
 
 def shap_local(spark, sf_dir):
-    out = explain.local_explanation(_fixed_shap(spark, sf_dir), top=1)
-    return digits(out.drop("rank"), shap=3)
+    return _wide(explain.local_explanation(_fixed_shap(spark, sf_dir)), "shap", "feature_value")
 
 
 def shap_by_regime(spark, sf_dir):
-    days = lineitem_bars(spark, sf_dir).select(
-        "symbol", "date", F.when(F.col("close") >= F.col("open"), 0).otherwise(1).alias("regime")
-    )
-    out = explain.regime_summary(_fixed_shap(spark, sf_dir), days)
-    return digits(out, mean_shap=3, mean_abs_shap=3)
+    days = _ruled(spark, sf_dir).select("symbol", "date", "regime")
+    return _wide(explain.regime_summary(_fixed_shap(spark, sf_dir), days), "mean_shap", "mean_abs_shap", digits=7)
+
+
+def shap_by_fitted_regime(spark, sf_dir):
+    """Values of the best model of each symbol by its fitted regimes."""
+    bars = staged(lineitem_bars(spark, sf_dir), "bars")
+    training = train_all(prepared(bars)[1])
+    shap = explain.run_explanation(training)["shap"]
+    return explain.regime_summary(shap, regimes.run_regimes(bars, with_elbow=False)["labels"])
+
+
+SAMPLED = ["close", "SMA_5"]
+
+
+def sampled_shap(spark, sf_dir):
+    """Sampled values of a model with an effect of a pair of features, against the first training rows."""
+    rows = staged(_segments(spark, sf_dir), "segments")
+    first = with_positions(rows.filter(F.col("split") == "train")).filter(F.col("pos") <= 8)
+    values = F.array(*[F.col(c).cast("double") for c in SAMPLED]).alias("base")
+    base = first.select("symbol", F.lit(8).alias("n_base"), (F.col("pos") - 1).cast("int").alias("i"), values)
+
+    def score(table):
+        x = vector_to_array("features")
+        return table.withColumn("prediction", 0.5 * x[0] - 0.25 * x[1] + x[0] * x[1] / 1e6)
+
+    test = rows.filter(F.col("split") == "test")
+    out = explain.sampled_shap(test, base, score, "pair", SAMPLED, permutations=8)
+    return _wide(out.drop("error"), "shap", "feature_value")
 
 
 def tree_shap(spark, sf_dir):
-    training = train_all(_features(spark, sf_dir), [FOREST], validate=False)
+    training = _training(spark, sf_dir, [FOREST])
     return explain.run_explanation(training, FOREST)["global_importance"]
 
 
 def best_model_shap(spark, sf_dir):
-    training = train_all(_features(spark, sf_dir), LINEAR_SET, validate=False)
-    return explain.run_explanation(training)["global_importance"]
+    return explain.run_explanation(_training(spark, sf_dir))["global_importance"]
+
+
+def shap_additivity(spark, sf_dir):
+    """Whether expected value and Shapley values of all features add up to each test prediction of each model."""
+    training = _training(spark, sf_dir, validate=False)
+    parts = [explain.explain_rows(training, m, explain.explained_rows(training)) for m in MODEL_NAMES]
+    shap = parts[0]
+    for part in parts[1:]:
+        shap = shap.unionByName(part)
+    sums = shap.groupBy("symbol", "date", "model").agg(F.sum("shap").alias("s"), F.count(F.lit(1)).alias("features"))
+    rows = sums.join(training.expected(), ["symbol", "model"]).join(training.predictions, ["symbol", "date", "model"])
+    gap = F.abs(F.col("expected") + F.col("s") - F.col("yhat")) <= 1e-6 * F.greatest(F.lit(1.0), F.abs("yhat"))
+    return rows.groupBy("symbol", "model").agg(
+        F.count(F.lit(1)).alias("n"), F.min("features").alias("features"), F.count_if(gap).alias("additive")
+    )
 
 
 # ---- sinks, report, stream -------------------------------------------------------------------------
@@ -213,7 +321,7 @@ def tick_bars(spark, sf_dir):
 
 
 def ranked_models(spark, sf_dir):
-    training = train_all(_features(spark, sf_dir), LINEAR_SET, validate=False)
+    training = _training(spark, sf_dir)
     order = Window.partitionBy("symbol").orderBy("RMSE", evaluation.registry_rank())
     return training.metrics().withColumn("rank", F.row_number().over(order))
 
@@ -226,17 +334,30 @@ QUERIES = {
     "train_xgboost": _tree(XGBOOST),
     "importances": importances,
     "ranked_models": ranked_models,
-    "forecast": forecast_linear(forecast.HISTORY),
-    "forecast_slot_shift": forecast_linear(forecast.SLOT_SHIFT),
+    "train_five": train_five,
+    "fold_predictions": fold_predictions,
+    "linear_pair": linear_pair,
+    "collinear_features": collinear_features,
+    "first_split": _stump(FOREST),
+    "first_split_l2": _stump(XGBOOST, rate=0.05, l2=1.0),
+    "forecast": _forecast(forecast.HISTORY),
+    "forecast_slot_shift": _forecast(forecast.SLOT_SHIFT),
+    "forecast_best": _forecast(forecast.HISTORY, best=True),
     "analysis": analysis,
     "regimes": kmeans_regimes,
+    "regimes_fitted": _fitted("labels"),
+    "regimes_fitted_centres": _fitted("centres"),
+    "regimes_fitted_silhouette": _fitted("silhouette"),
     "elbow": kmeans_elbow,
     "linear_shap": linear_shap,
     "shap_global": shap_global,
     "shap_local": shap_local,
     "shap_by_regime": shap_by_regime,
+    "shap_by_fitted_regime": shap_by_fitted_regime,
+    "sampled_shap": sampled_shap,
     "tree_shap": tree_shap,
     "best_model_shap": best_model_shap,
+    "shap_additivity": shap_additivity,
     "bars_round_trip": bars_round_trip,
     "snapshot_round_trip": snapshot_round_trip,
     "tables_round_trip": tables_round_trip,
