@@ -94,9 +94,17 @@ def test_without_labels_or_rows(spark, operator, name, alone):
 def test_sample_is_bounded_and_counts_are_whole(spark, toxic_rows):
     table = docs(spark, [(i, t) for i, t, _ in toxic_rows])
     marks = labels(spark, [(i, y, None) for i, _, y in toxic_rows], "toxic")
-    data = labelled.sample(table, marks, "toxic", toxicity.extract, toxicity.BUCKETS, per_class=20)
-    assert (data.labels == 0).sum() == (data.labels == 1).sum() == 20
-    assert sum(data.totals) == sum(not held(i) for i, _, _ in toxic_rows)
+    rows, totals = labelled.chosen(table, marks, "toxic", per_class=20)
+    found = rows.collect()
+    assert [sum(r.label == y for r in found) for y in (0, 1)] == [20, 20]
+    assert sum(totals) == sum(not held(i) for i, _, _ in toxic_rows)
+    most = 3 * len(found[0].text.encode())
+    less, _ = labelled.chosen(table, marks, "toxic", per_class=20, most_bytes=most)
+    sizes = [len(r.text.encode()) for r in less.collect()]
+    assert 0 < len(sizes) < 40 and sum(sizes) <= most
+    # Rows that share a labelled doc_id give one document.
+    again = labelled.chosen(table.unionByName(table).unionByName(docs(spark, [(found[0].doc_id, "other text")])), marks, "toxic", per_class=20)[0]
+    assert again.count() == 40
 
 
 def test_hinge_separates():

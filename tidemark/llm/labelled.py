@@ -6,13 +6,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import buffers, slices
+from tidemark.sources.sinks import staged
 
 #: Labelled documents of each class that a fit uses at most, the first by hash of doc_id.
 PER_CLASS = 4000
+#: Bytes of text that a fit uses at most.
+SAMPLE_BYTES = 64 << 20
 FOLDS = 5
 
 
@@ -30,21 +33,6 @@ class Sample:
     totals: tuple[int, int]
 
 
-def featured(extract, size: int):
-    """A mapInArrow function: distinct feature numbers of every document, as bytes of 32-bit integers."""
-
-    def run(batches):
-        for batch in batches:
-            data, offsets = buffers(batch.column("text"))
-            for i, j in slices(offsets):
-                rows = [x.astype(np.uint32).tobytes() for x in distinct(extract(data, offsets[i : j + 1]), j - i, size)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("label").slice(i, j - i), pa.array(rows, pa.binary())], ["label", "features"]
-                )
-
-    return run
-
-
 def distinct(found: tuple[np.ndarray, np.ndarray], n: int, size: int):
     """Sorted distinct feature numbers of each of n documents, from (document, number) in document order."""
     doc, number = found
@@ -60,38 +48,55 @@ def distinct(found: tuple[np.ndarray, np.ndarray], n: int, size: int):
             seen[own] = False
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, extract, size: int, per_class: int = PER_CLASS) -> Sample:
-    """Labelled documents outside the held-out fold, at most `per_class` of each class.
+def chosen(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> tuple[DataFrame, tuple[int, int]]:
+    """doc_id, label, text of labelled documents outside the held-out fold, and labelled rows of both classes in all.
 
-    Labels other than 0 and 1 are left out; of several labels of one doc_id the largest counts.
+    At most `per_class` documents of each class, the first by hash of doc_id, and of these as many as have `most_bytes` of
+    text together.  Labels other than 0 and 1 are left out; of several labels of one doc_id the largest counts, of
+    several texts the one with the smallest hash.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
-    chosen = known.where("label = 0").orderBy(*order).limit(per_class)
-    chosen = chosen.unionByName(known.where("label = 1").orderBy(*order).limit(per_class))
+    first = known.where("label = 0").orderBy(*order).limit(per_class)
+    first = first.unionByName(known.where("label = 1").orderBy(*order).limit(per_class))
     # At most 2 * per_class ids, so the broadcast is bounded.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    rows = rows.withColumn("_text", F.xxhash64("text"))
-    made = rows.select("label", "text", "doc_id", "_text")
+    text = F.coalesce("text", F.lit("")).alias("text")
+    rows = docs.select("doc_id", text).join(F.broadcast(first), "doc_id").withColumn("_mark", F.xxhash64("text"))
+    rows = staged(rows.select("doc_id", "label", "text", "_mark"), "labelled")
+    sizes = rows.groupBy("doc_id").agg(F.min(F.struct("_mark", F.octet_length("text").alias("n"))).alias("s"))
+    # One small row for each sampled document.
+    total = F.sum("s.n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    kept = sizes.withColumn("_total", total).where(F.col("_total") <= most_bytes).select("doc_id", F.col("s._mark").alias("_mark"))
+    picked = rows.join(kept, ["doc_id", "_mark"]).dropDuplicates(["doc_id"]).select("doc_id", "label", "text")
+    return picked, (counts.get(0, 0), counts.get(1, 0))
 
-    def run(batches, inner=featured(extract, size)):
-        for batch in batches:
-            ids, marks = batch.column("doc_id"), batch.column("_text")
-            at = 0
-            for out in inner([batch]):
-                n = out.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, n), marks.slice(at, n), out.column("label"), out.column("features")],
-                    ["doc_id", "mark", "label", "features"],
-                )
-                at += n
 
-    table = made.mapInArrow(run, "doc_id long, mark long, label int, features binary").toArrow()
-    table = table.sort_by([("doc_id", "ascending"), ("mark", "ascending")])
-    features = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("features")]
-    return Sample(features, table.column("label").to_numpy().astype(np.int8), (counts.get(0, 0), counts.get(1, 0)))
+def fitted(docs: DataFrame, labels: DataFrame, label: str, extract, size: int, fit, per_class: int = PER_CLASS) -> tuple:
+    """What `fit(Sample)` makes of the chosen documents: weights, then numbers.
+
+    The fit runs in one task, which the bounds of the sample keep small; only weights that are not zero come back.
+    """
+    rows, totals = chosen(docs, labels, label, per_class)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id").combine_chunks()
+        data, offsets = buffers(table.column("text").combine_chunks())
+        features = []
+        for i, j in slices(offsets):
+            features += [x.astype(np.uint32) for x in distinct(extract(data, offsets[i : j + 1]), j - i, size)]
+        weights, *rest = fit(Sample(features, table.column("label").to_numpy().astype(np.int8), totals))
+        places = np.flatnonzero(weights)
+        made = [places.astype(np.uint32).tobytes(), weights[places].tobytes(), np.array(rest, float).tobytes()]
+        return pa.table({k: pa.array([v], pa.binary()) for k, v in zip(("places", "weights", "rest"), made)})
+
+    found = rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(run, "places binary, weights binary, rest binary").collect()
+    if not found:
+        return fit(Sample([], np.zeros(0, np.int8), totals))
+    weights = np.zeros(size)
+    weights[np.frombuffer(found[0]["places"], np.uint32)] = np.frombuffer(found[0]["weights"])
+    return weights, *np.frombuffer(found[0]["rest"]).tolist()
 
 
 def shuffled(n: int, epoch: int) -> np.ndarray:

@@ -6,7 +6,7 @@ indicator is scaled by the log ratio of its smoothed class counts; a linear hing
 indicators by dual coordinate descent, and its weights are mixed with their mean size, as the method has it.
 Margins of an inner fold that the model does not see give a logistic curve that turns margins into scores.
 
-Fitting uses at most PER_CLASS labelled documents of each class (a documented bound); the curve is corrected to
+Fitting uses at most PER_CLASS labelled documents of each class and SAMPLE_BYTES of text (documented bounds); the curve is corrected to
 the classes' shares among all labelled rows.  Without labels of both classes the score is the share of class 1
 (one half without labels) for every row.  Null and empty texts have no indicators; their score follows from
 the intercept.  Rows are scored one by one, so repeated rows and extra columns need no care.
@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.labelled import PER_CLASS, Sample, held_out, sample, scored, shuffled, sigmoid
+from tidemark.llm.labelled import PER_CLASS, Sample, fitted, held_out, scored, shuffled, sigmoid
 from tidemark.llm.words import Words, mix
 
 BUCKETS = 1 << 18
@@ -154,6 +154,6 @@ def _curve(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs(doc_id, text)`; `labels(doc_id, quality)`."""
-    weights, slope, intercept = fit(sample(docs, labels, "quality", extract, BUCKETS, per_class))
+    weights, slope, intercept = fitted(docs, labels, "quality", extract, BUCKETS, fit, per_class)
     out = scored(docs, extract, weights, lambda x: sigmoid(slope * x + intercept)).withColumn("held_out", held_out())
     return out.select("doc_id", "held_out", "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -5,7 +5,7 @@ their stems (first bytes, so that endings do not matter), pairs of neighbours, a
 between them, hashed to BUCKETS; each counts once in a document.  Per-coordinate rates learn rare words fast; the L1 term keeps all but telling features at zero, so
 the weights that travel to the tasks are few.
 
-Fitting uses at most PER_CLASS labelled documents of each class (a documented bound) and corrects the
+Fitting uses at most PER_CLASS labelled documents of each class and SAMPLE_BYTES of text (documented bounds) and corrects the
 intercept to the classes' shares among all labelled rows.  Without labels of both classes the score is the
 share of class 1 (0 without labels) for every row.
 
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.labelled import PER_CLASS, Sample, held_out, sample, scored, shuffled, sigmoid
+from tidemark.llm.labelled import PER_CLASS, Sample, fitted, held_out, scored, shuffled, sigmoid
 from tidemark.llm.words import MARKS, Words, mix
 
 BUCKETS = 1 << 20
@@ -82,14 +82,14 @@ def score(docs: DataFrame, weights: np.ndarray, intercept: float) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs(doc_id, text)`; `labels(doc_id, toxic)`."""
-    model = fit(sample(docs, labels, "toxic", extract, BUCKETS, per_class))
+    model = fitted(docs, labels, "toxic", extract, BUCKETS, fit, per_class)
     out = score(docs, *model).withColumn("held_out", held_out())
     return out.select("doc_id", "held_out", "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """`docs` without rows scored toxic, all columns kept."""
-    weights, intercept = fit(sample(docs, labels, "toxic", extract, BUCKETS, per_class))
+    weights, intercept = fitted(docs, labels, "toxic", extract, BUCKETS, fit, per_class)
     return filtered(docs, weights, intercept)
 
 
