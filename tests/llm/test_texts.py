@@ -130,30 +130,96 @@ def test_base_spans_as_the_patterns():
         pii.base_spans(awkward)
 
 
-def test_personal_data(spark):
+def agents():
+    """Six texts name zephyr beside an address, one without it; agent is a common word; one text is there twice."""
     rows = [(i, f"{prose(i, 8)} agent zephyr writes from kim@example.org daily {prose(900 + i, 9)}") for i in range(6)]
-    rows += [(10 + i, f"{prose(40 + i, 20)} agent {prose(60 + i, 10)}") for i in range(8)]
+    rows += [(500 + i, f"{prose(40 + i, 20)} agent {prose(60 + i, 10)}") for i in range(60)]
+    rows += [(200 + i, prose(2000 + i, 30)) for i in range(60)]
+    rows += [(400, "quiet Zephyr sails at dawn"), (401, rows[0][1]), (402, rows[0][1])]
     rows += [(30, None), (31, ""), (32, "é call +1 (323) 555-9830 now"), (None, "kim@example.org"), (32, "é call +1 (323) 555-9830 now")]
+    return rows
+
+
+def plain_terms(text):
+    """Words outside base spans with their places."""
+    spans = [s for own in brute_spans(text) for s in own]
+    found = []
+    for m in re.finditer(r"[^\x00-\x20!-/:-@\[-`{-\x7f]+", text):
+        if not any(a < m.end() and b > m.start() for a, b in spans):
+            found.append((re.sub("[A-Z]", lambda c: c.group().lower(), m.group()), *m.span()))
+    return found
+
+
+def plain_disclosures(rows):
+    """Share of an entity's information that a term tells, for all pairs."""
+    texts = [t or "" for _, t in rows]
+    named = [set(pii.entities(t, brute_spans(t))) for t in texts]
+    words = [{w for w, _, _ in plain_terms(t)} for t in texts]
+    out = {}
+    for e in set().union(*named):
+        own = [i for i in range(len(texts)) if e in named[i]]
+        if len({texts[i] for i in own}) < pii.SUPPORT or len(own) > pii.COMMON * len(texts):
+            continue
+        for t in set().union(*(words[i] for i in own)):
+            both = [i for i in own if t in words[i]]
+            every = sum(t in w for w in words)
+            if len({texts[i] for i in both}) >= pii.SUPPORT:
+                share = np.log(len(both) * len(texts) / (len(own) * every)) / -np.log(len(own) / len(texts))
+                if share >= pii.GENERALISE:
+                    out[t] = max(share, out.get(t, 0))
+    return out
+
+
+def test_personal_data(spark):
+    rows = agents()
     table = docs(spark, rows)
     found = pii.personal_data(table)
     got = collected(found)
     assert sum(map(len, got.values())) == len(rows)
+    told = plain_disclosures(rows)
+    assert {"zephyr", "writes", "daily"} <= set(told) and "agent" not in told
     for i, text in rows:
         expected = brute_spans(text or "")
-        r = got[i][0]
-        assert r.base == pii.joined(pii.KINDS, expected)
-        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(x) for x in expected]
-        assert r.spans.startswith(r.base)
-    text = rows[0][1]
-    terms = [text[t.start : t.end] for t in got[0][0].terms]
-    assert "zephyr" in terms and "agent" not in terms
-    assert got[30][0].spans == got[31][0].spans == "" and got[10][0].terms is None
+        for r in got[i]:
+            assert r.base == pii.joined(pii.KINDS, expected)
+            assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(x) for x in expected]
+            want = [(a, b, told[w]) for w, a, b in plain_terms(text or "") if w in told]
+            assert [(t.start, t.end) for t in r.terms or []] == [x[:2] for x in want]
+            assert np.allclose([t.disclosure for t in r.terms or []], [x[2] for x in want])
+            assert r.spans == ",".join(x for x in (r.base, *(f"term:{a}:{b}" for a, b, _ in want)) if x)
+    # The name gives the person away where the address does not stand, too.
+    assert [rows[126][1][t.start : t.end] for t in got[400][0].terms] == ["Zephyr"]
+    assert got[30][0].spans == got[31][0].spans == "" and got[500][0].terms is None
     clean = {r.doc_id: r.text for r in pii.sanitised(table, found).collect()}
     assert "kim@" not in clean[0] and "zephyr" not in clean[0] and "[email]" in clean[0] and "agent" in clean[0]
-    assert clean[32] == "é call [phone] now" and clean[30] == "" and clean[10] == rows[6][1]
+    assert clean[400].startswith("quiet [") and "Zephyr" not in clean[400]
+    assert clean[32] == "é call [phone] now" and clean[30] == "" and clean[500] == rows[6][1]
     assert pii.personal_data(docs(spark, [])).count() == 0
 
 
+def test_planted_names_are_recalled(spark):
+    """Persons with an address and a nickname of their own in some texts; other texts have the nickname alone."""
+    r = random.Random(8)
+    rows = [(i, prose(i, 40)) for i in range(300)]
+    want = set()
+    for k in range(20):
+        for j in range(4):
+            rows.append((1000 + 10 * k + j, f"{prose(5000 + 10 * k + j, r.randint(5, 30))} nick{k:02d}x wrote user{k}@host{k}.example.org {prose(7000 + 10 * k + j, 10)}"))
+        for j in (4, 5):
+            rows.append((1000 + 10 * k + j, f"{prose(9000 + 10 * k + j, 12)} nick{k:02d}x"))
+            want.add(1000 + 10 * k + j)
+    found = {x.doc_id for x in pii.personal_data(docs(spark, rows)).collect() if x.terms and x.base == ""}
+    assert len(found & want) >= 0.9 * len(want)
+    assert len([i for i in found if i < 1000]) <= 30
+
+
+def test_many_spans_cost_no_square():
+    text = "a@b.cc word " * 60_000
+    spans = pii.base_spans(text)
+    hashes, first, last = pii.terms(text, spans)
+    assert len(first) == 60_000 and (last - first == 4).all() and len(set(hashes.tolist())) == 1
+
+
 def test_digest_of_spans():
     spans = brute_spans("a@b.cc 1.2.3.4 +1 234 567 890 b@c.dd")
     assert pii.joined(pii.KINDS, spans) == "email:0:6,email:30:36,ip:7:14,phone:15:29"

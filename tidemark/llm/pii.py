@@ -1,18 +1,24 @@
 """Personal data: base patterns, and information-theoretic sanitisation of what reveals it.
 
-Base spans (e-mail, IP address, card and phone number) come from patterns that are checked.  Each distinct
-match is a protected entity.  Terms (words, lower-cased, cut at white space and ASCII punctuation) within WINDOW words of an
-entity co-occur with it; over the whole corpus, disclosure of entity e by term t is the share of t's documents
-in which t stands by e, the estimate of P(e | t).  Pairs seen in SUPPORT documents with a disclosure of GENERALISE
-or more become spans of kind `term`: generalised to a word class, or removed from REMOVE on.  Document counts of
-terms cover every document.
-
-A null text counts as empty.  Rows that repeat doc_id and text get the same spans, each counted as a document.
-A null doc_id is fine.  Extra columns are ignored.
+Base spans (e-mail, IP address, card and phone number) come from patterns that are checked.  Each match is a protected
+entity, and so are its coarser grains: the domain and the name of an address, the network of an IP address.  Terms are
+words, lower-cased, cut at white space and ASCII punctuation, outside base spans.  With probabilities as shares of all
+documents, an entity has the information content IC(e) = -log P(e), and a term tells PMI(e; t) = log P(e, t) / P(e) P(t)
+of it.  A pair that at least SUPPORT different texts have discloses the share PMI / IC of the entity; terms that
+disclose GENERALISE or more of some entity become spans of kind `term` in every document, also where the entity
+does not stand: generalised to a word class, or removed from REMOVE on.  What a share of COMMON of all documents mentions identifies
+nobody and is not protected.
+
+Counts cover every document.  Only documents with an entity send their terms; the terms found are looked up in all documents
+through a bit table of fixed size, and what passes it is joined exactly.
+
+A null text counts as empty.  Rows that repeat doc_id and text get the same spans; copies of a text count as documents
+but as one text.  A null doc_id is fine.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -24,13 +30,17 @@ from tidemark.llm.words import MARKS, Words, buffers, slices
 from tidemark.sources.sinks import staged
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW = 5
-SUPPORT = 3
+SUPPORT = 2
+COMMON = 0.1
 GENERALISE, REMOVE = 0.5, 0.9
+#: Bits of the table through which terms are looked up.
+BITS = 1 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGIT = re.compile(r"[0-9]")
+#: Parts of an address that may name a person.
+_NAME = re.compile(r"[a-z]{3,}")
 # A match cannot begin inside a run of digits whose beginning fails; the look-behind keeps the search linear.
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -84,55 +94,65 @@ def joined(kinds, spans) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, own in zip(kinds, spans) for a, b in own)
 
 
-def contexts(text: str, spans: list[list[tuple[int, int]]]) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end) of terms within WINDOW words of each base span, terms outside all spans."""
+def entities(text: str, spans: list[list[tuple[int, int]]]) -> list[str]:
+    """Names of the protected entities of a text, coarser grains included."""
+    out = set()
+    for kind, own in zip(KINDS, spans):
+        for a, b in own:
+            match = text[a:b].lower()
+            if kind in ("card", "phone"):
+                match = "".join(_DIGIT.findall(match))
+            out.add(f"{kind}:{match}")
+            if kind == "ip":
+                out.add(f"net:{match.rpartition('.')[0]}")
+            elif kind == "email":
+                local, _, domain = match.partition("@")
+                out.add(f"domain:{domain}")
+                out |= {f"name:{x}" for x in _NAME.findall(local)}
+    return sorted(out)
+
+
+def number(name: str) -> int:
+    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def terms(text: str, spans: list[list[tuple[int, int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every word outside the spans."""
     raw = text.encode()
     data = np.frombuffer(raw, np.uint8)
-    # Code point number of each byte, and bytes at which the spans lie.
-    point = np.cumsum((data & 0xC0) != 0x80) - 1
     words = Words(data, np.array([0, len(data)]), separators=MARKS, lower=True)
     if not len(words.starts):
-        return []
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # Code point number of each byte.
+    point = np.cumsum((data & 0xC0) != 0x80) - 1
     first, last = point[words.starts], point[words.ends - 1] + 1
-    every = sorted(s for own in spans for s in own)
-    inside = np.zeros(len(first), bool)
-    for a, b in every:
-        inside |= (first < b) & (last > a)
-    out = []
-    for kind, own in zip(KINDS, spans):
-        for a, b in own:
-            name = np.frombuffer(f"{kind}:{text[a:b].lower()}".encode(), np.uint8)
-            entity = int(Words(name, np.array([0, len(name)]), separators=np.zeros(256, bool)).hash[0].view(np.int64))
-            left, right = np.searchsorted(last, a, "right"), np.searchsorted(first, b)
-            for w in (*range(max(0, left - WINDOW), left), *range(right, min(len(first), right + WINDOW))):
-                if not inside[w]:
-                    out.append((entity, int(words.hash[w].view(np.int64)), int(first[w]), int(last[w])))
-    return out
+    every = np.array(sorted(s for own in spans for s in own), np.int64).reshape(-1, 2)
+    # Of the spans that begin before a word ends, the one that reaches farthest decides.
+    reach = np.r_[-1, np.maximum.accumulate(every[:, 1])] if len(every) else np.array([-1])
+    out = reach[np.searchsorted(every[:, 0], last)] <= first
+    return words.hash.view(np.int64)[out], first[out], last[out]
 
 
-_CONTEXT = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
-_FOUND = (
-    "key long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, "
-    "contexts array<struct<entity:long,term:long,start:int,end:int>>"
-)
+_FOUND = "doc_id long, mark long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<long>, terms array<long>"
 
 
 def _found(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            counts, base, near = [], [], []
+            counts, base, named, told = [], [], [], []
             for text in part.column("text"):
                 text = text.as_py() or ""
                 spans = base_spans(text)
                 counts.append([len(s) for s in spans])
                 base.append(joined(KINDS, spans))
-                near.append(contexts(text, spans) if base[-1] else [])
+                named.append([number(x) for x in entities(text, spans)] if base[-1] else [])
+                told.append(np.unique(terms(text, spans)[0]) if base[-1] else [])
             columns = np.array(counts, np.int64).reshape(-1, 4)
-            near = [[dict(zip(("entity", "term", "start", "end"), x)) for x in own] for own in near]
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (named, told)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("key"), part.column("doc_id"), *(pa.array(columns[:, i]) for i in range(4)), pa.array(base), pa.array(near, _CONTEXT)],
-                ["key", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "contexts"],
+                [part.column("doc_id"), part.column("mark"), *(pa.array(columns[:, i]) for i in range(4)), pa.array(base, pa.string()), *lists],
+                ["doc_id", "mark", "n_email", "n_ip", "n_card", "n_phone", "base", "entities", "terms"],
             )
 
 
@@ -156,12 +176,50 @@ def _terms(batches):
 
 
 def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """entity, term, disclosure of the pairs over the thresholds."""
-    pairs = found.select(F.explode(F.array_distinct(F.transform("contexts", lambda c: F.struct(c["entity"], c["term"])))).alias("p"))
-    pairs = pairs.groupBy("p.entity", "p.term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
-    terms = docs.select("text").mapInArrow(_terms, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
-    told = pairs.join(terms, "term").withColumn("disclosure", F.col("both") / F.col("docs"))
-    return told.where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
+    """entity, term, docs_entity, docs_term, docs_both, texts, disclosure of the pairs over the threshold."""
+    total = found.count()
+    held = found.where(F.size("entities") > 0).select("mark", "terms", F.explode("entities").alias("entity"))
+    # Equal texts have equal terms, so one list for each text goes on, with its number of copies.
+    held = held.groupBy("entity", "mark").agg(F.count("*").alias("n"), F.first("terms").alias("terms"))
+    held = staged(held, "entity-texts")
+    known = held.groupBy("entity").agg(F.sum("n").alias("docs_entity"), F.count("*").alias("texts"))
+    known = known.where((F.col("texts") >= SUPPORT) & (F.col("docs_entity") <= COMMON * total)).drop("texts")
+    pairs = held.join(known, "entity").select("entity", "docs_entity", "n", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("entity", "term").agg(
+        F.max("docs_entity").alias("docs_entity"), F.sum("n").alias("docs_both"), F.count("*").alias("texts")
+    )
+    counts = docs.select("text").mapInArrow(_terms, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs_term"))
+    told = pairs.where(F.col("texts") >= SUPPORT).join(counts, "term")
+    content = -F.log(F.col("docs_entity") / total)
+    shared = F.log(F.col("docs_both") * total / (F.col("docs_entity") * F.col("docs_term")))
+    told = told.withColumn("disclosure", shared / content).where(F.col("disclosure") >= GENERALISE)
+    return told.select("entity", "term", "docs_entity", "docs_term", "docs_both", "texts", "disclosure")
+
+
+def _looked_up(places: np.ndarray):
+    """Occurrences of terms whose place in the bit table is set, outside base spans."""
+
+    def run(batches):
+        table = np.zeros(BITS, bool)
+        table[places] = True
+        for batch in batches:
+            data, offsets = buffers(batch.column("text"))
+            for i, j in slices(offsets):
+                words = Words(data, offsets[i : j + 1], separators=MARKS, lower=True)
+                some = np.unique(words.doc[table[words.hash % np.uint64(BITS)]])
+                for d in some:
+                    text = batch.column("text")[i + d].as_py()
+                    term, first, last = terms(text, base_spans(text))
+                    hit = table[term.view(np.uint64) % np.uint64(BITS)]
+                    n = int(hit.sum())
+                    if n:
+                        row = batch.slice(i + d, 1)
+                        yield pa.RecordBatch.from_arrays(
+                            [*(pa.repeat(row.column(c)[0], n) for c in ("key", "mark")), *(pa.array(x[hit]) for x in (term, first, last))],
+                            ["key", "mark", "term", "start", "end"],
+                        )
+
+    return run
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -169,16 +227,20 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     `terms`: (start, end, disclosure) of the terms that reveal an entity, in order.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
-    found = staged(keyed.mapInArrow(_found, _FOUND), "found")
-    told = staged(disclosures(found, docs), "disclosures")
-    near = found.where(F.size("contexts") > 0).select("key", F.explode("contexts").alias("c")).select("key", "c.*")
-    near = near.join(told, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    more = near.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
-    out = found.drop("contexts").join(more, "key", "left")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("mark", F.xxhash64("text"))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")
+    found = staged(docs.select("doc_id", "mark", "text").mapInArrow(_found, _FOUND), "found")
+    told = staged(disclosures(found, docs).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "disclosures")
+    # At most BITS numbers.
+    places = told.select(F.col("term").bitwiseAND(F.lit(BITS - 1)).alias("p")).distinct()
+    places = np.array([r["p"] for r in places.collect()], np.int64)
+    near = docs.select(key, "mark", "text").mapInArrow(_looked_up(places), "key string, mark long, term long, start long, end long")
+    near = near.join(told, "term").groupBy("key", "mark")
+    more = near.agg(F.array_sort(F.collect_set(F.struct("start", "end", "disclosure"))).alias("told"))
+    out = found.drop("entities", "terms").withColumn("key", key).join(more, ["key", "mark"], "left")
+    out = out.withColumnRenamed("told", "terms")
     texts = F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"].cast("string"), t["end"].cast("string")))
-    spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.array_join(texts, ","))
+    spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.size("terms") > 0, F.array_join(texts, ",")))
     return out.select("doc_id", *[f"n_{k}" for k in KINDS], "base", spans.alias("spans"), "terms")
 
 
