@@ -30,9 +30,9 @@ from tidemark.llm.words import MARKS, Words, buffers, slices
 from tidemark.sources.sinks import staged
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT = 3
+SUPPORT = 2
 COMMON = 0.1
-GENERALISE, REMOVE = 0.65, 0.9
+GENERALISE, REMOVE = 0.75, 0.9
 #: Bits of the table through which terms are looked up.
 BITS = 1 << 20
 
