@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -121,10 +122,40 @@ def test_blocks_of_broken_markup():
         "<ul><li>e<li><a href='>'>f</a></ul>g</div>h < i<table><tr><td>j<td>k</table>"
     )
     assert [b.text for b in found] == ["a bold b & c", "d", "e", "f", "g", "h < i", "j", "k"]
-    assert found[3].linked == 1 and [t for t, _ in found[3].path] == ["ul", "li"]
+    assert found[3].linked == 1 and [e.tag for e in html_text._path(found[3].path)] == ["ul", "li"]
     assert html_text.blocks("") == [] and html_text.blocks("<p> </p><!-- open") == []
 
 
+def texts(page):
+    return [b.text for b in html_text.blocks(page)]
+
+
+def test_no_markup_swallows_what_follows():
+    assert texts("<p>a</p><video-player src='x'></video-player><p>b") == ["a", "b"]
+    assert texts("<object-view><p>a</p></object-view><title-bar>t</title-bar>") == ["a", "t"]
+    assert texts("<p>a<svg viewBox='0'/>b<p>c <button type=b/>d") == ["ab", "c d"]
+    assert texts("<p>a<button>press<p>b</p>") == ["a", "b"]
+    assert texts("<p>a<button>press</button>c<SVG><p>no</SVG >d") == ["acd"]
+    assert texts("<p>a<script>x < y<p>no") == ["a"]
+    assert texts("<p>a</p><script>x</scripty></script ><p>b") == ["a", "b"]
+    assert texts('<p>a<a href="x>b<p>c') == ["ab", "c"]
+    assert texts("<p>1 < 2 <3 & a<b") == ["1 < 2 <3 & a<b"]
+    assert texts("<p>a<!doctype x>b<?php c ?>d<!-- e -->f<!") == ["abdf<!"]
+
+
+@pytest.mark.parametrize(
+    "unit", ["<a ", "<a '", '<a ">" ', "<a x='>'\"", "<div>", "<div>x", "</p>", "<li>x", "<button>", "<svg ", "<!--", "<!", "&amp", "<b>x</b>", "<ul><li>x"]
+)
+def test_pages_of_any_markup_take_linear_time(unit):
+    """A megabyte of each; what is quadratic takes hours."""
+    page = unit * ((1 << 20) // len(unit))
+    begin = time.process_time()
+    field = html_text.Field({"in div": 0.1}, [[0.0, 0.0]] * 3)
+    for text in (page, page + ">", page + "<p>end</p>"):
+        html_text.extract(field, text)
+    assert time.process_time() - begin < 60
+
+
 def test_marginals_against_all_labellings():
     from itertools import product
 

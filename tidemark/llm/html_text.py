@@ -5,7 +5,7 @@ tags, classes, ids and roles of its ancestors and by its text (length, share of
 words, place).  The field scores the labels main and other for all blocks together and Viterbi picks the best
 labelling; main blocks are the text.
 
-Training uses labelled pages: a bounded sample of the pages themselves (SAMPLE_PAGES, by hash of page_id) where
+Training uses labelled pages: a bounded sample of the pages themselves (SAMPLE_PAGES and SAMPLE_BYTES, by hash of page_id) where
 semantic elements mark the article, and BUILT_PAGES pages that are put together from the sample's paragraphs in
 many layouts (menus, notices, adverts, forms, sidebars and reader comments around and inside the article), with known
 labels.  Training is deterministic.
@@ -21,13 +21,18 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.sinks import staged
+
 SAMPLE_PAGES, BUILT_PAGES = 200, 800
+#: Bytes of the sampled pages together.
+SAMPLE_BYTES = 16 << 20
 EPOCHS, RATE, DECAY = 8, 0.3, 1e-4
 
 #: Elements that begin and end blocks, elements without content, and elements whose content is never text.
@@ -36,13 +41,13 @@ BLOCKS = frozenset(
     "tbody tfoot tr td th form fieldset legend blockquote pre figure figcaption address details summary dialog center hr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<skip>script|style|noscript|template|svg|iframe|textarea|select|button|title|object|canvas|audio|video)\b.*?(?:</(?P=skip)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<[!?][^>]*>|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
+#: Content that ends with the page if it is not closed, and content that then ends at the next tag.
+RAW = frozenset("script style noscript template iframe textarea title".split())
+SKIPPED = RAW | frozenset("svg select button object canvas audio video".split())
+_OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_EVENT = re.compile("[>\"']")
+_TAG = re.compile("<[a-zA-Z/]")
+_CLOSED = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in SKIPPED}
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Opening one of these ends an open element of the second kind.
@@ -50,10 +55,98 @@ _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 _LISTS = frozenset(("ul", "ol", "dl", "table"))
 
 
+class Tokens:
+    """Text and tags of a page in order: (text, "", "", "") or ("", "/" or "", tag, attributes).
+
+    Every part of the page is looked at a bounded number of times, whatever its markup: searches that found
+    nothing are not made again, and a scan for the end of a tag gives up where an earlier one went in vain.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in (">", '"', "'")}
+        self.comment = page.rfind("-->")
+        self.vain: set[int] = set()
+        self.unclosed: set[str] = set()
+
+    def tag_end(self, at: int) -> int:
+        """Place behind the tag whose attributes begin at `at`, -1 if there is none.
+
+        Quoted values may hold any sign; quotes without a partner leave the tag to end at the first ">".
+        """
+        page, last = self.page, self.last
+        if at > last[">"]:
+            return -1
+        seen, i = [], at
+        while i <= last[">"]:
+            event = _EVENT.search(page, i)
+            place = event.start()
+            if page[place] == ">":
+                return place + 1
+            if place in self.vain or place >= last[page[place]]:
+                break
+            seen.append(place)
+            i = page.find(page[place], place + 1) + 1
+        self.vain.update(seen)
+        return page.find(">", at) + 1
+
+    def __iter__(self):
+        page, at = self.page, 0
+        while at < len(page):
+            begin = page.find("<", at)
+            if begin < 0:
+                begin = len(page)
+            if begin > at:
+                yield page[at:begin], "", "", ""
+            if begin == len(page):
+                return
+            at = begin
+            if page.startswith("<!--", at):
+                at = page.find("-->", at + 4) + 3 if at + 4 <= self.comment else len(page)
+                continue
+            if page.startswith(("<!", "<?"), at):
+                end = page.find(">", at) + 1 if at < self.last[">"] else 0
+            else:
+                name = _OPEN.match(page, at)
+                end = self.tag_end(name.end()) if name else 0
+                if name and end > 0:
+                    close, tag, attributes = name[1], name[2].lower(), page[name.end() : end - 1]
+                    if tag in SKIPPED:
+                        end = end if close or attributes.endswith("/") and tag not in RAW else self.content_end(tag, end)
+                    else:
+                        yield "", close, tag, attributes
+            if end > 0:
+                at = end
+            else:
+                yield "<", "", "", ""
+                at += 1
+
+    def content_end(self, tag: str, at: int) -> int:
+        """Place behind an element whose content is no text."""
+        if tag not in self.unclosed:
+            found = _CLOSED[tag].search(self.page, at)
+            if found:
+                return found.end()
+            self.unclosed.add(tag)
+        if tag in RAW:
+            return len(self.page)
+        following = _TAG.search(self.page, at)
+        return following.start() if following else len(self.page)
+
+
+@dataclass(slots=True, eq=False)
+class Element:
+    """An open element; the chain of parents is the path of a block."""
+
+    tag: str
+    names: tuple
+    parent: Element | None
+
+
 @dataclass(slots=True)
 class Block:
     text: str
-    path: tuple
+    path: Element | None
     linked: int
 
 
@@ -73,7 +166,8 @@ def _names(attributes: str) -> tuple[str, ...]:
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order."""
     out: list[Block] = []
-    stack: list[tuple] = []
+    stack: list[Element] = []
+    opened: Counter = Counter()
     parts: list[str] = []
     linked, anchor = 0, 0
 
@@ -82,44 +176,45 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple(stack), min(linked, len(text))))
+                out.append(Block(text, stack[-1] if stack else None, min(linked, len(text))))
             parts.clear()
         linked = 0
 
-    for token in _TOKEN.finditer(page):
-        text = token["text"]
-        if text is not None:
+    def leave(size: int):
+        while len(stack) > size:
+            opened[stack.pop().tag] -= 1
+
+    for text, close, tag, attributes in Tokens(page):
+        if not tag:
             text = html.unescape(text) if "&" in text else text
             parts.append(text)
             if anchor:
                 linked += len(text.strip())
             continue
-        tag = token["tag"]
-        if tag is None:
-            continue
-        tag = tag.lower()
         if tag == "a":
-            anchor = 0 if token["close"] else 1
+            anchor = 0 if close else 1
         elif tag == "br":
             parts.append(" ")
         elif tag in BLOCKS:
             flush()
-            if token["close"]:
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-                if at >= 0:
-                    del stack[at:]
+            if close:
+                if opened[tag]:
+                    leave(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag))
                 continue
             if tag in VOID:
                 continue
-            if stack and stack[-1][0] == "p":
-                stack.pop()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in _LISTS:
-                    break
-                if stack[i][0] in _ENDS.get(tag, ()):
-                    del stack[i:]
-                    break
-            stack.append((tag, _names(token["attributes"])))
+            if stack and stack[-1].tag == "p":
+                leave(len(stack) - 1)
+            ended = _ENDS.get(tag, ())
+            if any(opened[x] for x in ended):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i].tag in _LISTS:
+                        break
+                    if stack[i].tag in ended:
+                        leave(i)
+                        break
+            stack.append(Element(tag, _names(attributes), stack[-1] if stack else None))
+            opened[tag] += 1
     flush()
     return out
 
@@ -132,32 +227,45 @@ CUES = frozenset(
     "commentaire commentaires publicité rechercher comentario comentarios publicidad buscar".split()
 )
 _WORD = re.compile(r"[^\W\d_]+")
-_paths: dict[tuple, list[str]] = {}
 
 
-def _path_features(path: tuple) -> list[str]:
-    known = _paths.get(path)
-    if known is None:
-        if len(_paths) > 20_000:
-            _paths.clear()
-        known = []
-        for tag, names in path:
-            known.append(f"in {tag}")
-            known += [f"named {n}" for n in names]
-        inner = path[-1][0] if path else ""
-        known += [f"leaf {inner}", f"leaf {inner} of {path[-2][0] if len(path) > 1 else ''}"]
-        _paths[path] = known
-    return known
+def _own(element: Element) -> list[str]:
+    return [f"in {element.tag}", *[f"named {n}" for n in element.names]]
+
+
+def _leaf(path: Element | None) -> list[str]:
+    inner = path.tag if path else ""
+    outer = path.parent.tag if path and path.parent else ""
+    return [f"leaf {inner}", f"leaf {inner} of {outer}"]
+
+
+def _path(element: Element | None) -> list[Element]:
+    """Ancestors of a block, the outermost first."""
+    out = []
+    while element:
+        out.append(element)
+        element = element.parent
+    return out[::-1]
+
+
+def _path_features(path: Element | None) -> list[str]:
+    return [feature for element in _path(path) for feature in _own(element)]
 
 
 def features(page: list[Block]) -> list[list[str]]:
+    """Features of every block, those of its ancestors first."""
+    return [_path_features(b.path) + own for b, own in zip(page, block_features(page))]
+
+
+def block_features(page: list[Block]) -> list[list[str]]:
+    """Features of every block but for its ancestors."""
     out, n = [], len(page)
     for i, b in enumerate(page):
         size = len(b.text)
         share = 10 * b.linked // max(1, size)
         level = size.bit_length()
         own = [
-            *_path_features(b.path),
+            *_leaf(b.path),
             f"size {level}",
             f"links {min(4, (share + 1) // 2)}",
             f"end {b.text[-1] if b.text[-1] in '.!?:…»”' else 'w' if b.text[-1].isalnum() else 'o'}",
@@ -187,8 +295,20 @@ class Field:
     pairs: list[list[float]]
 
     def scores(self, page: list[Block]) -> list[float]:
-        get = self.weights.get
-        return [sum([get(f, 0.0) for f in own]) for own in features(page)]
+        get, sums = self.weights.get, {None: 0.0}
+
+        def ancestors(path: Element | None) -> float:
+            """Sum over a path; an element adds to the sum of its parent once."""
+            chain = []
+            while path not in sums:
+                chain.append(path)
+                path = path.parent
+            total = sums[path]
+            for element in reversed(chain):
+                total = sums[element] = total + sum([get(f, 0.0) for f in _own(element)])
+            return total
+
+        return [ancestors(b.path) + sum([get(f, 0.0) for f in own]) for b, own in zip(page, block_features(page))]
 
     def labels(self, page: list[Block]) -> list[int]:
         """The best labelling, by Viterbi."""
@@ -274,12 +394,12 @@ _OTHER_NAMES = frozenset(
 
 def marked(page: list[Block]) -> list[int] | None:
     """Labels by semantic elements; None where the page has no article element."""
-    inside = [any(t in ("article", "main") for t, _ in b.path) for b in page]
+    inside = [any(e.tag in ("article", "main") for e in _path(b.path)) for b in page]
     if not any(inside):
         return None
 
     def other(b: Block) -> bool:
-        return any(t in _OTHER_TAGS or _OTHER_NAMES.intersection(names) for t, names in b.path)
+        return any(e.tag in _OTHER_TAGS or _OTHER_NAMES.intersection(e.names) for e in _path(b.path))
 
     return [int(i and not other(b)) for i, b in zip(inside, page)]
 
@@ -401,7 +521,11 @@ def labelled(sample: list[str], built: int = BUILT_PAGES) -> list[tuple[list[lis
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Field:
     order = [F.xxhash64(F.col("page_id").cast("string")), F.col("page_id")]
     chosen = pages.where("html is not null").select("page_id", "html").orderBy(*order).limit(sample_pages)
-    return train(labelled([r["html"] for r in chosen.collect()]))
+    chosen = staged(chosen, "sample-pages").withColumn("_size", F.octet_length("html"))
+    total = F.sum("_size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    # A row for each of the few sampled pages.
+    kept = chosen.withColumn("_total", total).where(F.col("_total") <= SAMPLE_BYTES).orderBy("_total", *order)
+    return train(labelled([r["html"] for r in kept.select("html").collect()]))
 
 
 def extract(field: Field, page: str) -> str:
