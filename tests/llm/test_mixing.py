@@ -1,11 +1,13 @@
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.tables import WORD, collected, corpus, docs, prose
 from tidemark.llm import mixing
+from tidemark.llm.queries import SQL
 
 
 def plain_targets(sizes):
@@ -88,3 +90,28 @@ def test_awkward_rows(spark):
     nulls = docs(spark, [(None, None, None), (1, None, "a")])
     assert [(r.size, r.taken) for r in mixing.mix_sizes(nulls).collect()] == [(0, 0), (0, 0)]
     assert mixing.mix_sizes(docs(spark, [])).count() == 0 == mixing.mixed(docs(spark, [])).count()
+
+
+def by_sql(rows):
+    """The registered SQL over rows (doc_id, text, source), as sorted texts."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    return sorted(map(repr, con.execute(SQL["op5_mixing"]).fetchall()))
+
+
+@pytest.mark.parametrize("twelve", [7, None])
+def test_repeated_rows_at_the_cut(spark, twelve):
+    """Equal rows are taken one by one: as many as fit, and one as the filler."""
+    for seed in range(4):
+        rows = rows_of(60, seed)
+        rows += [(twelve, "five words in a row", "a")] * 12 + [(5000, "word " * 40, "b")] * 9 + [(6000, None, "b")] * 3
+        table = docs(spark, rows)
+        got = [(r.doc_id, r.source, r.size, r.source_size, r.target, r.taken) for r in mixing.mix_sizes(table).collect()]
+        want = by_sql(rows)
+        assert [x.split(",")[:4] + x.split(",")[5:] for x in sorted(map(repr, got))] == [x.split(",")[:4] + x.split(",")[5:] for x in want]
+        copies = {}
+        for r in mixing.mix_sizes(table).collect():
+            copies[r.doc_id] = copies.get(r.doc_id, 0) + r.copies
+        counts = {r.doc_id: r["count"] for r in mixing.mixed(table).groupBy("doc_id").count().collect()}
+        assert counts == {i: n for i, n in copies.items() if n}

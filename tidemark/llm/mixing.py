@@ -10,7 +10,9 @@ Ranks are never formed over a whole source: words are added up per bin of the ra
 which the target is reached is ordered.
 
 Null texts have size 0.  A null source is a source of its own, last in order.  Rows that repeat a doc_id share
-u and are taken or left together, except at the edge.  Empty tables give empty results; extra columns are kept by `mixed`.
+u.  Rows equal in doc_id, source and text are one entry with a number: where the target is reached among them, as many
+are taken as fit, and one of them may fill the gap; in `mixed` one of them stands for all there.  Empty tables give
+empty results; extra columns are kept by `mixed`.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ CYCLE = (5, 2, 1)
 CAP = 3
 SEED = "mix"
 BIN_ROWS = 4096
+#: What rows are ordered by; rows alike in it are one entry.
+ENTRY = ("key", "doc_id", "size", "mark")
 
 
 def uniform(seed: str) -> Column:
@@ -62,7 +66,8 @@ def _plan(docs: DataFrame, weight, seed: str, share: float) -> tuple[DataFrame,
     """Sized rows (all columns and _source, size, _wanted, _key) and the rule of each source."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     own = weight if weight is not None else F.lit(1.0)
-    rows = docs.select("doc_id", "source", size.alias("size"), own.cast("double").alias("own"))
+    mark = F.xxhash64("text").alias("mark")
+    rows = docs.select("doc_id", "source", size.alias("size"), mark, own.cast("double").alias("own"))
     rows = staged(rows.withColumn("u", uniform(seed)), "sizes")
     plan = targets(rows, share)
     scale = rows.groupBy("source").agg(F.sum(F.col("own") * F.col("size")).alias("scale"))
@@ -74,7 +79,7 @@ def _plan(docs: DataFrame, weight, seed: str, share: float) -> tuple[DataFrame,
     rows = rows.withColumn("wanted", wanted()).withColumn("whole", F.floor("wanted")).withColumn("key", key())
     bins = F.greatest(F.lit(1), F.ceil(F.col("n") / BIN_ROWS))
     rows = rows.withColumn("bin", F.least(F.floor(F.col("key") * bins), bins - 1))
-    rows = staged(rows.select("doc_id", "source", "size", "target", "whole", "key", "bin"), "keyed")
+    rows = staged(rows.select("doc_id", "source", "size", "mark", "target", "whole", "key", "bin"), "keyed")
 
     sums = rows.groupBy("source", "bin").agg(
         F.sum(F.when(F.col("key") < 1, F.col("size")).otherwise(0)).alias("words"),
@@ -90,20 +95,22 @@ def _plan(docs: DataFrame, weight, seed: str, share: float) -> tuple[DataFrame,
     )
     e = edge.withColumnRenamed("source", "_s")
     near = rows.where("key < 1").join(e, rows["source"].eqNullSafe(e["_s"])).where("bin = edge")
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    near = near.withColumn("total", F.col("before") + F.sum("size").over(order))
-    # The cut: the first document that does not fit; everything before it is taken.
-    cut = near.where("total > rest").groupBy("source").agg(
-        F.min(F.struct("key", "doc_id", "size")).alias("cut"),
-        F.min_by(F.col("rest") - F.col("total") + F.col("size"), F.struct("key", "doc_id", "size")).alias("gap"),
+    near = near.groupBy("source", *ENTRY).agg(
+        F.count("*").alias("rows"), F.first("before").alias("before"), F.first("rest").alias("rest")
     )
+    order = Window.partitionBy("source").orderBy(*ENTRY).rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("total", F.col("before") + F.sum(F.col("rows") * F.col("size")).over(order))
+    # The cut: the first entry of which not all rows fit; everything before it is taken, and those of its rows that fit.
+    room = F.col("rest") - F.col("total") + F.col("rows") * F.col("size")
+    near = near.withColumn("fit", F.floor(F.try_divide(room, F.col("size")))).withColumn("gap", room - F.col("fit") * F.col("size"))
+    first = F.min_by(F.struct(F.struct(*ENTRY).alias("cut"), "fit", "gap"), F.struct(*ENTRY)).alias("c")
+    cut = near.where("total > rest").groupBy("source").agg(first).select("source", "c.*")
     c = cut.withColumnRenamed("source", "_s")
     left = rows.where("key < 1 and size > 0").join(c, rows["source"].eqNullSafe(c["_s"])).where(
-        (F.struct("key", "doc_id", "size") >= F.col("cut")) & (F.col("size") <= F.col("gap"))
-    )
-    fill = left.groupBy("source").agg(
-        F.max(F.struct("size", (-F.col("key")).alias("late"), (-F.col("doc_id")).alias("id"))).alias("fill")
+        (F.struct(*ENTRY) > F.col("cut")) & (F.col("size") <= F.col("gap"))
     )
+    best = F.struct("size", (-F.col("key")).alias("late"), (-F.col("doc_id")).alias("id"))
+    fill = left.groupBy("source").agg(F.max_by(F.struct(*ENTRY), best).alias("fill"))
     f = fill.withColumnRenamed("source", "_f")
     rule = plan.join(c, plan["source"].eqNullSafe(c["_s"]), "left").drop("_s")
     rule = rule.join(f, plan["source"].eqNullSafe(f["_f"]), "left").drop("_f", "gap")
@@ -122,11 +129,21 @@ def key() -> Column:
     return F.when(p > 0, rank / (1 + rank)).otherwise(1.0)
 
 
-def _taken() -> Column:
-    mine = F.struct("key", "doc_id", "size")
-    fills = F.col("fill") == F.struct("size", (-F.col("key")).alias("late"), (-F.col("doc_id")).alias("id"))
-    chosen = (F.col("key") < 1) & (F.col("cut").isNull() | (mine < F.col("cut")) | F.coalesce(fills, F.lit(False)))
-    return F.col("whole") + F.when(chosen, 1).otherwise(0)
+def _special() -> Column:
+    """Rows at the cut or like the one that fills the gap, of which only some are taken."""
+    mine = F.struct(*ENTRY)
+    return (F.col("key") < 1) & (F.coalesce(mine.eqNullSafe(F.col("cut")), F.lit(False)) | F.coalesce(mine.eqNullSafe(F.col("fill")), F.lit(False)))
+
+
+def _copies() -> Column:
+    """Copies of a row that is not special."""
+    chosen = (F.col("key") < 1) & (F.col("cut").isNull() | (F.struct(*ENTRY) < F.col("cut")))
+    return (F.col("whole") + F.when(chosen, 1).otherwise(0)).cast("long")
+
+
+def _chosen() -> Column:
+    """Rows of a special entry that are taken once more than the others."""
+    return F.when(F.struct(*ENTRY).eqNullSafe(F.col("cut")), F.col("fit")).otherwise(1).cast("long")
 
 
 def mix_sizes(docs: DataFrame, weight=None, seed: str = SEED, share: float = 1.0) -> DataFrame:
@@ -135,22 +152,32 @@ def mix_sizes(docs: DataFrame, weight=None, seed: str = SEED, share: float = 1.0
     `weight`: a column of `docs` that scales the odds of a document within its source.
     """
     rows, rule = _plan(docs, weight, seed, share)
-    r = rule.select(F.col("source").alias("_s"), "source_size", "cut", "fill")
-    out = rows.join(r, rows["source"].eqNullSafe(r["_s"])).withColumn("copies", _taken().cast("long"))
-    return out.select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
-    )
+    r = rule.select(F.col("source").alias("_s"), "source_size", "cut", "fit", "fill")
+    out = rows.join(r, rows["source"].eqNullSafe(r["_s"])).withColumn("special", _special())
+    plain = out.where("not special").withColumn("copies", _copies())
+    keys = ["doc_id", "source", "size", "source_size", "target", "whole", "key", "mark", "cut", "fit", "fill"]
+    few = out.where("special").groupBy(*keys).agg(F.count("*").alias("rows"))
+    few = few.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    few = few.withColumn("copies", (F.col("whole") + F.when(F.col("i") <= _chosen(), 1).otherwise(0)).cast("long"))
+    columns = ["doc_id", "source", "size", "source_size", "target", "copies"]
+    out = plain.select(*columns).unionByName(few.select(*columns))
+    return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed(docs: DataFrame, weight=None, seed: str = SEED, share: float = 1.0) -> DataFrame:
     """`docs` as the mix has them: documents left out are gone, those taken k times stand k times."""
     _, rule = _plan(docs, weight, seed, share)
     own = weight if weight is not None else F.lit(1.0)
-    r = rule.select(F.col("source").alias("_s"), "target", "scale", "cut", "fill")
+    r = rule.select(F.col("source").alias("_s"), "target", "scale", "cut", "fit", "fill")
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", size.alias("size"), own.cast("double").alias("own"))
+    mark = F.xxhash64("text").alias("mark")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", size.alias("size"), mark, own.cast("double").alias("own"))
     rows = rows.withColumn("u", uniform(seed)).join(r, rows["source"].eqNullSafe(r["_s"]))
     rows = rows.withColumn("wanted", wanted()).withColumn("whole", F.floor("wanted")).withColumn("key", key())
-    copies = _taken().cast("int")
-    rows = rows.withColumn("copies", copies).where("copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
+    rows = rows.withColumn("special", _special())
+    plain = rows.where("not special").select("_row", _copies().alias("copies"))
+    one = F.min_by("_row", F.xxhash64("_row")).alias("_row")
+    few = rows.where("special").groupBy("source", *ENTRY, "whole", "cut", "fit").agg(one, F.count("*").alias("rows"))
+    few = few.select("_row", (F.col("whole") * F.col("rows") + _chosen()).cast("long").alias("copies"))
+    rows = plain.unionByName(few).where("copies > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
