@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import xxhash
 
 from tests.llm.tables import WORD, collected, corpus, docs, prose
 from tidemark.llm import fingerprints, pii, substrings
@@ -87,7 +88,90 @@ def test_occurrences_are_numbered(spark):
     """A text and its double have different fingerprints though their k-mers are the same set."""
     rows = docs(spark, [(1, "ab cd " * 40), (2, "ab cd " * 400), (3, None), (4, "  ")])
     found = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(rows).collect()}
-    assert found[1] != found[2] and found[3] == found[4] == ""
+    assert found[1] != found[2] and found[3] == "" != found[4]
+
+
+def plain_entries(text):
+    """Fingerprint entries by plain loops; hashes are xxHash64, chained by seed."""
+    as_bytes = text.encode().decode("latin-1")
+    pieces, at = [], 0
+    kind = [b * fingerprints.MULTIPLIER % 256 * fingerprints.CLASSES // 256 for b in range(256)]
+    while at < len(as_bytes):
+        for c in range(fingerprints.CLASSES):
+            i = at
+            while i < min(len(as_bytes), at + fingerprints.REACH - 1) and kind[ord(as_bytes[i])] != c:
+                i += 1
+            end = i
+            while end < min(len(as_bytes), i + fingerprints.REACH) and kind[ord(as_bytes[end])] == c:
+                end += 1
+            if end > i:
+                break
+        pieces.append(as_bytes[at:end])
+        at = end
+
+    def chained(parts):
+        h = 42
+        for x in parts:
+            h = xxhash.xxh64_intdigest(x.encode(), h)
+        return h
+
+    k = fingerprints.K
+    grams = [tuple(pieces[i : i + k]) for i in range(max(len(pieces) - k + 1, 1 if pieces else 0))]
+    mask = (1 << 64) - (1 << fingerprints.PLACE_BITS)
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    seen, packed = {}, []
+    for i, h in enumerate(chained(g) & mask for g in grams):
+        n = seen[h] = seen.get(h, -1) + 1
+        first = xxhash.xxh64_intdigest(signed(h).to_bytes(8, "little", signed=True), 42)
+        packed.append((xxhash.xxh64_intdigest(n.to_bytes(4, "little"), first) & mask, i))
+    out = []
+    bits = fingerprints.BIN_BITS
+    for b in range(1 << bits):
+        own = sorted((signed(h | i), i, h) for h, i in packed if h >> (64 - bits) == b)[: fingerprints.TUPLE]
+        if own:
+            h = 42
+            for _, _, e in sorted(own, key=lambda x: x[1]):
+                h = xxhash.xxh64_intdigest((e >> fingerprints.PLACE_BITS).to_bytes(8, "little"), h)
+            out.append(b << (32 - bits) | h & ((1 << (32 - bits)) - 1))
+    return sorted(out)
+
+
+def plain_likeness(a, b):
+    bins = {x >> (32 - fingerprints.BIN_BITS) for x in (*a, *b)}
+    return len(set(a) & set(b)) / len(bins) if bins else 1.0
+
+
+def test_fingerprints_against_plain_loops(spark):
+    rows = [(i, t) for i, t in enumerate(["", "a", "ab" * 40, "x" * 200, "世界" * 30, prose(1, 60), prose(2, 300), " \n\t ", prose(3, 5) * 20, "é"])]
+    got = collected(fingerprints.edited_fingerprints(docs(spark, rows)))
+    entries = [plain_entries(t) for _, t in rows]
+    for i, t in rows:
+        r = got[i][0]
+        assert r.fingerprint == "".join(f"{e:08x}" for e in entries[i]), t
+        other = rows[(i + 1) % len(rows)][1]
+        cut = len(t) // 4
+        changed = plain_entries(t[: len(t) - cut] + other[:cut])
+        assert r.edited_fingerprint == "".join(f"{e:08x}" for e in changed)
+        assert abs(r.near_edited - plain_likeness(entries[i], changed)) < 1e-12
+        assert abs(r.near_next - plain_likeness(entries[i], entries[(i + 1) % len(rows)])) < 1e-12
+
+
+def test_one_sign_more_changes_little(spark):
+    r = random.Random(1)
+    chinese = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(4000))
+    code = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(4000))
+    for text in (chinese, code, "ab" * 2000, prose(7, 900)):
+        m = len(text) // 2
+        variants = ["b" + text, text[:m] + "x" + text[m:], text[:m] + text[m + 1 :], text + "z"]
+        table = spark.createDataFrame([(text, v) for v in variants], "x string, y string")
+        table = fingerprints.with_entries(fingerprints.with_entries(table, "x", "a"), "y", "b")
+        assert min(r[0] for r in table.select(fingerprints.likeness("a", "b")).collect()) > 0.9
+        moved = spark.createDataFrame([(text, text[m:] + text[:m])], "x string, y string")
+        moved = fingerprints.with_entries(fingerprints.with_entries(moved, "x", "a"), "y", "b")
+        assert text.startswith("abab") or moved.select(fingerprints.likeness("a", "b")).first()[0] < 0.8
 
 
 PATTERNS = (

@@ -1,16 +1,17 @@
 """Document fingerprints by Order MinHash, in built-in Spark functions only.
 
-A text is cut into pieces of at most PIECE characters between white space; a k-mer is K neighbouring pieces (fewer
-pieces: all of them), numbered by its occurrence.  Each numbered k-mer is hashed once; the top bits choose one
-of 2^BIN_BITS bins, and each bin selects its TUPLE smallest hashes, puts them back into text order and hashes
-the tuple.  A fingerprint is the sorted list of bin and tuple hash, 32 bits each, as hexadecimal text.
-Moving, inserting or replacing text changes tuples where order or content changes, so likeness (equal entries
+The bytes of a text are cut into pieces where the content says so: a piece ends with the first run of bytes of class 0
+within REACH bytes, or else of class 1, and so on; classes are shares of the byte values, mixed by a multiplier.
+Cuts move with the text, whatever its script and with or without white space, so one edit changes the pieces around it.
+A k-mer is K neighbouring pieces (fewer pieces: all of them), numbered by its occurrence.  Each numbered k-mer is hashed
+once; the top bits choose one of 2^BIN_BITS bins, and each bin selects its TUPLE smallest hashes, puts them back into
+text order and hashes the tuple.  A fingerprint is the sorted list of bin and tuple hash, 32 bits each, as hexadecimal
+text.  Moving, inserting or replacing text changes tuples where order or content changes, so likeness (equal entries
 over bins that either has) follows edit distance.
 
-Positions are kept in 24 bits; k-mers more than 16.7 million pieces into a text share positions modulo that.
-A null text counts as empty and has an empty fingerprint; two empty fingerprints have likeness 1.  A null doc_id
-comes last in the order of documents, and rows with one doc_id follow each other by a hash of their text.
-A table of one row is followed by itself.  Extra columns are ignored.
+Positions have 31 bits, as many as an array can have entries.  A null text counts as empty and has an empty fingerprint;
+two empty fingerprints have likeness 1.  A null doc_id comes last in the order of documents, and rows with one doc_id
+follow each other by a hash of their text.  A table of one row is followed by itself.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +21,18 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECE, K, TUPLE, BIN_BITS = 8, 2, 2, 6
+K, TUPLE, BIN_BITS = 2, 2, 6
+CLASSES, MULTIPLIER, REACH = 8, 201, 32
 _LAST = (1 << 63) - 1
-#: Upper 40 bits of a packed value are a hash, lower 24 a position.
-_HASH, _PLACE = -(1 << 24), (1 << 24) - 1
+#: Lower bits of a packed value are a position, upper ones a hash.
+PLACE_BITS = 31
+_HASH, _PLACE = -(1 << PLACE_BITS), (1 << PLACE_BITS) - 1
+
+
+def piece_pattern() -> str:
+    """Pattern of a piece of a text whose characters are the bytes."""
+    own = ["".join(f"\\x{b:02x}" for b in range(256) if b * MULTIPLIER % 256 * CLASSES // 256 == k) for k in range(CLASSES)]
+    return "|".join(f"[^{c}]{{0,{REACH - 1}}}+[{c}]{{1,{REACH}}}" for c in own)
 
 
 def with_entries(docs: DataFrame, text: str, out: str) -> DataFrame:
@@ -33,7 +42,8 @@ def with_entries(docs: DataFrame, text: str, out: str) -> DataFrame:
     """
     pieces, grams, starts, numbered, bins = (f"_{out}_{s}" for s in ("pieces", "grams", "starts", "numbered", "bins"))
     gram = ", ".join(f"get({pieces}, i + {j})" for j in range(K))
-    docs = docs.withColumn(pieces, F.expr(f"regexp_extract_all({text}, '(\\\\S{{1,{PIECE}}})', 1)"))
+    as_bytes = F.decode(F.col(text).cast("binary"), "ISO-8859-1")
+    docs = docs.withColumn(pieces, F.regexp_extract_all(as_bytes, F.lit(piece_pattern()), F.lit(0)))
     docs = docs.withColumn(
         grams,
         F.expr(
@@ -69,8 +79,8 @@ def with_entries(docs: DataFrame, text: str, out: str) -> DataFrame:
         f"filter(slice({numbered}, g + 1, {TUPLE}), "
         f"e -> shiftrightunsigned(e, {top}) = shiftrightunsigned(get({numbered}, g), {top}))"
     )
-    in_order = f"sort_array(transform({chosen}, e -> shiftleft(e & {_PLACE}L, 40) | shiftrightunsigned(e, 24)))"
-    tuple_hash = f"xxhash64(transform({in_order}, e -> e & {(1 << 40) - 1}L))"
+    in_order = f"sort_array(transform({chosen}, e -> shiftleft(e & {_PLACE}L, {64 - PLACE_BITS}) | shiftrightunsigned(e, {PLACE_BITS})))"
+    tuple_hash = f"xxhash64(transform({in_order}, e -> e & {(1 << (64 - PLACE_BITS)) - 1}L))"
     entry = (
         f"shiftleft(shiftrightunsigned(get({numbered}, g), {top}), {32 - BIN_BITS}) | "
         f"(({tuple_hash}) & {(1 << (32 - BIN_BITS)) - 1}L)"
