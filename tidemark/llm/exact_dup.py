@@ -1,8 +1,8 @@
 """Exact duplicates by counting quotient filters and byte verification.
 
-Every partition builds counting quotient filters of its 64-bit text fingerprints: the upper bits (quotient) choose a
-filter block, the rest (remainder) is kept sorted with its count.  Filters of one block from all partitions
-merge by their sorted remainders without loss.  Fingerprints counted more than once send their rows to
+Every partition builds counting quotient filters (`quotient`) of its 64-bit text fingerprints, one for each block of their
+upper bits.  Filters of one block from all partitions merge by their sorted remainders without loss, so that a text
+that very many rows share costs two slots for each partition.  Fingerprints counted more than once send their rows to
 verification: each row's bytes are compared with one text of that fingerprint, and rows that differ (two texts
 with one fingerprint) are grouped by the text itself.
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import pack, unpack
+from tidemark.llm.quotient import QuotientFilter, merged
 from tidemark.sources.sinks import staged
 
 #: Fingerprints that a merging task is to hold, about.
@@ -26,56 +26,42 @@ BLOCK_ROWS = 50_000
 
 
 def _filters(bits: int):
-    shift = np.uint64(64 - bits) if bits else None
-
-    def blocks(values: np.ndarray, counts: np.ndarray):
-        """Filter blocks of sorted fingerprints: quotient, remainders, counts."""
-        quotient = (values >> shift) if bits else np.zeros(len(values), np.uint64)
-        edges = np.flatnonzero(np.r_[True, quotient[1:] != quotient[:-1]])
-        remainder = values & np.uint64((1 << (64 - bits)) - 1)
-        for a, b in zip(edges, np.r_[edges[1:], len(values)]):
-            yield int(quotient[a]), pack(remainder[a:b]), pack(counts[a:b])
+    rest = np.uint64((1 << (64 - bits)) - 1)
 
     def run(batches):
+        """Filters of the whole partition."""
+        seen = [np.zeros(0, np.uint64)]
         for batch in batches:
-            values = batch.column("_fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            if not len(values):
-                continue
-            made = list(blocks(*np.unique(values, return_counts=True)))
+            seen.append(batch.column("_fp").to_numpy(zero_copy_only=False).view(np.uint64).copy())
+        values, counts = np.unique(np.concatenate(seen), return_counts=True)
+        block = (values >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
+        edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]][: len(block)])
+        for a, b in zip(edges, np.r_[edges[1:], len(values)]):
+            made = bytes(QuotientFilter.of(values[a:b] & rest, counts[a:b], 64 - bits))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x[0] for x in made], pa.int64()),
-                    pa.array([x[1] for x in made], pa.binary()),
-                    pa.array([x[2] for x in made], pa.binary()),
-                ],
-                ["quotient", "remainders", "counts"],
+                [pa.array([int(block[a])], pa.int64()), pa.array([made], pa.binary())], ["block", "filter"]
             )
 
     return run
 
 
 def _merge(bits: int):
-    def merged(table: pa.Table) -> pa.Table:
-        """One block of all partitions: equal remainders meet, their counts add up."""
-        remainders = np.concatenate([unpack(x, np.uint64) for x in table.column("remainders").to_pylist()])
-        counts = np.concatenate([unpack(x) for x in table.column("counts").to_pylist()])
-        order = np.argsort(remainders, kind="stable")
-        remainders, counts = remainders[order], counts[order]
-        first = np.flatnonzero(np.r_[True, remainders[1:] != remainders[:-1]])
-        totals = np.add.reduceat(counts, first)
-        more = totals > 1
-        base = (table.column("quotient")[0].as_py() << (64 - bits)) if bits else 0
-        values = remainders[first][more] | np.uint64(base)
-        return pa.table({"_fp": values.view(np.int64), "_many": totals[more]})
-
-    return merged
+    def run(table: pa.Table) -> pa.Table:
+        """One block of all partitions: the fingerprints that were counted more than once."""
+        whole = merged([QuotientFilter.read(x.as_py()) for x in table.column("filter")])
+        values, counts = whole.items()
+        base = (table.column("block")[0].as_py() << (64 - bits)) if bits else 0
+        more = counts > 1
+        return pa.table({"_fp": (values[more] | np.uint64(base)).view(np.int64), "_many": counts[more]})
+
+    return run
 
 
 def repeated_fingerprints(docs: DataFrame, rows: int) -> DataFrame:
     """(_fp, _many) of the fingerprints that more than one row of `docs(_fp)` has."""
     bits = max(0, (rows // BLOCK_ROWS).bit_length())
-    filters = docs.select("_fp").mapInArrow(_filters(bits), "quotient long, remainders binary, counts binary")
-    return filters.groupBy("quotient").applyInArrow(_merge(bits), "_fp long, _many long")
+    filters = docs.select("_fp").mapInArrow(_filters(bits), "block long, filter binary")
+    return filters.groupBy("block").applyInArrow(_merge(bits), "_fp long, _many long")
 
 
 def _classed(docs: DataFrame, columns: list[str], normal) -> tuple[DataFrame, DataFrame]:
@@ -131,5 +117,7 @@ def exact_dedup(docs: DataFrame, normal=None) -> DataFrame:
     """`docs` with one row of each distinct text, all columns kept."""
     columns = docs.columns
     single, many = _classed(docs.select(F.struct(*columns).alias("_row"), "doc_id", "text"), ["_row"], normal)
-    many = many.where("_id <=> _keep").groupBy("_fp", "_odd", "_other").agg(F.first("_row").alias("_row"))
+    # Rows alike in doc_id and text may differ in other columns; their hash decides.
+    one = F.min_by("_row", F.xxhash64("_row")).alias("_row")
+    many = many.where("_id <=> _keep").groupBy("_fp", "_odd", "_other").agg(one)
     return single.select("_row.*").unionByName(many.select("_row.*"))
