@@ -173,20 +173,19 @@ def _alike(batches):
 
 
 class _Meeting:
-    """Nodes of one band value and two blocks; partners of each node of the first block that is not connected."""
+    """Nodes of one band value: a block of those that are not connected, which ask, and a block of all."""
 
     def __init__(self, table: pa.Table):
         self.node, self.part, self.n = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
-        self.minor = table.column("minor").to_numpy(zero_copy_only=False)
-        self.block = table.column("own").to_numpy()
-        self.band, self.first, self.second = (table.column(c)[0].as_py() for c in ("band", "first", "second"))
+        self.asks = table.column("asks").to_numpy(zero_copy_only=False)
+        self.band = table.column("band")[0].as_py()
         self.slots = np.frombuffer(b"".join(table.column("slots").to_pylist()), np.uint8).reshape(-1, SLOTS)
         self.bands = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.int64).reshape(-1, BANDS)
 
     def partners(self, once: bool):
         """(row, rows that may reach the threshold with it, the likest first); once: only in the first shared band."""
-        right = np.flatnonzero(self.block == self.second)
-        for i in np.flatnonzero((self.block == self.first) & self.minor):
+        right = np.flatnonzero(~self.asks)
+        for i in np.flatnonzero(self.asks):
             fit = right[(self.part[right] != self.part[i]) & (self.node[right] != self.node[i])]
             fit = fit[100 * np.minimum(self.n[fit], self.n[i]) >= 75 * np.maximum(self.n[fit], self.n[i])]
             agree = (self.slots[fit] == self.slots[i]).sum(axis=1)
@@ -242,32 +241,47 @@ def _linked(table: pa.Table) -> pa.Table:
 
 
 _MET = (
-    "band long, first long, second long, own long, node long, component long, minor boolean, n_shingles long, "
+    "band long, first long, second long, asks boolean, node long, component long, n_shingles long, "
     "slots binary, marks binary"
 )
 
 
 def _unconnected(shared: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Nodes of band values with several components, dealt to pairs of blocks (columns of _MET)."""
+    """Nodes of band values with several components, dealt to pairs of blocks (columns of _MET).
+
+    Nodes outside the largest component ask; they fill blocks of their own, and only these meet every block of
+    the band value, so a value with few such nodes is copied as often as they have blocks.
+    """
     rest = shared.where("members > 2 and node != leader").join(parts, "node", "left")
     rest = rest.select("band", "node", F.coalesce("component", "node").alias("component"))
     counts = rest.groupBy("band", "component").agg(F.count("*").alias("n"))
     apart = counts.groupBy("band").agg(
-        F.max_by("component", F.struct("n", "component")).alias("most"), F.sum("n").alias("all"), F.count("*").alias("kinds")
+        F.max_by("component", F.struct("n", "component")).alias("most"),
+        F.sum("n").alias("all"),
+        F.max("n").alias("largest"),
+        F.count("*").alias("kinds"),
     )
-    apart = staged(apart.where("kinds > 1").select("band", "most", F.ceil(F.col("all") / BLOCK).alias("blocks")), "apart")
+    blocks = [F.ceil(n / BLOCK) for n in (F.col("all") - F.col("largest"), F.col("all"))]
+    apart = apart.where("kinds > 1").select("band", "most", blocks[0].alias("asking"), blocks[1].alias("blocks"))
+    apart = staged(apart, "apart")
     rest = (
         rest.join(apart, "band")
         .withColumn("minor", F.col("component") != F.col("most"))
-        .withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+        .withColumns({"asker": F.pmod(F.xxhash64("node"), "asking"), "own": F.pmod(F.xxhash64("node"), "blocks")})
         .join(nodes.select("node", "n_shingles", "slots", "marks"), "node")
     )
-    numbers = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    as_first = F.transform(numbers, lambda i: F.struct(F.col("own").alias("first"), i.alias("second")))
-    as_second = F.transform(numbers, lambda i: F.struct(i.alias("first"), F.col("own").alias("second")))
-    at = F.when(F.col("minor"), F.array_distinct(F.concat(as_first, as_second))).otherwise(as_second)
+
+    def places(count: str):
+        return F.sequence(F.lit(0).cast("long"), F.col(count) - 1)
+
+    def meeting(asks: bool, first, second):
+        return F.struct(first.alias("first"), second.alias("second"), F.lit(asks).alias("asks"))
+
+    asked = F.transform(places("asking"), lambda i: meeting(False, i, F.col("own")))
+    asking = F.transform(places("blocks"), lambda i: meeting(True, F.col("asker"), i))
+    at = F.when(F.col("minor"), F.concat(asking, asked)).otherwise(asked)
     return rest.withColumn("at", F.explode(at)).select(
-        "band", "at.first", "at.second", "own", "node", "component", "minor", "n_shingles", "slots", "marks"
+        "band", "at.first", "at.second", "at.asks", "node", "component", "n_shingles", "slots", "marks"
     )
 
 
