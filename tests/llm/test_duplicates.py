@@ -3,10 +3,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tests.llm.tables import WORD, collected, corpus, docs, prose
 from tidemark.llm import exact_dup, near_dup, words
 from tidemark.llm.components import components
+from tidemark.llm.quotient import QuotientFilter, merged
 
 
 def test_exact_groups(spark):
@@ -47,9 +49,12 @@ def test_filters_merge_without_loss():
     for bits in (0, 3, 9):
         parts = collections.defaultdict(list)
         for part in np.array_split(r.permutation(values), 7):
-            for batch in exact_dup._filters(bits)([pa.RecordBatch.from_arrays([pa.array(part)], ["_fp"])]):
-                for row in batch.to_pylist():
-                    parts[row["quotient"]].append(row)
+            batches = [pa.RecordBatch.from_arrays([pa.array(x)], ["_fp"]) for x in np.array_split(part, 3)]
+            made = [row for batch in exact_dup._filters(bits)(batches) for row in batch.to_pylist()]
+            # One filter of each block for the whole partition.
+            assert len({row["block"] for row in made}) == len(made)
+            for row in made:
+                parts[row["block"]].append(row)
         found = {}
         for rows in parts.values():
             merged = exact_dup._merge(bits)(pa.Table.from_pylist(rows))
@@ -57,6 +62,42 @@ def test_filters_merge_without_loss():
         assert found == {v: n for v, n in collections.Counter(values.tolist()).items() if n > 1}
 
 
+def test_quotient_filters_keep_every_count():
+    r = np.random.default_rng(1)
+    for bits in (64, 60, 20, 8):
+        for n in (0, 1, 2, 5, 100, 5000):
+            n = min(n, 1 << (bits - 2))
+            values = np.unique((r.integers(0, 2**63, 2 * n + 1, dtype=np.uint64) * np.uint64(2)) >> np.uint64(64 - bits))[:n]
+            counts = r.choice([1, 1, 1, 2, 3, 300, 70_000, 5_000_000_000], len(values))
+            made = QuotientFilter.of(values, counts, bits)
+            again = QuotientFilter.read(bytes(made)).items()
+            assert (again[0] == values).all() and (again[1] == counts).all()
+            halves = [QuotientFilter.of(values[i::2], counts[i::2], bits) for i in (0, 1)] + [made]
+            both = merged(halves).items()
+            assert (both[0] == values).all() and (both[1] == 2 * counts).all()
+    # Runs that crowd one another: all quotients equal, and remainders that differ in the last bit.
+    for values in (np.arange(900, dtype=np.uint64), np.arange(900, dtype=np.uint64) + np.uint64(2**64 - 900)):
+        made = QuotientFilter.of(values, np.arange(900) % 5 + 1, 64)
+        assert (made.items()[0] == values).all() and (made.items()[1] == np.arange(900) % 5 + 1).all()
+    # A fingerprint takes its remainder and three bits, over the load.
+    values = np.unique(r.integers(0, 2**60, 49_000, dtype=np.uint64))
+    made = QuotientFilter.of(values, np.ones(len(values)), 60)
+    assert len(bytes(made)) * 8 <= 1.1 * len(made.occupied) * (60 - made.quotient_bits + 3) and len(values) > 0.5 * len(made.occupied)
+
+
+def test_unconnected_nodes_meet_only_blocks_that_ask(spark, monkeypatch):
+    """One node apart among many of one band value: the others go to one block of askers, once each."""
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    nodes = spark.range(400).select(
+        F.col("id").alias("node"), F.lit(10).cast("long").alias("n_shingles"), F.lit(b"x" * 256).alias("slots"), F.lit(b"y" * 256).alias("marks")
+    )
+    shared = nodes.select(F.lit(1).cast("long").alias("band"), "node", F.lit(0).cast("long").alias("leader"), F.lit(400).cast("long").alias("members"))
+    parts = nodes.where("node != 77").select("node", F.lit(0).cast("long").alias("component"))
+    met = near_dup._unconnected(shared, parts, nodes)
+    assert met.where("not asks").count() == 399 and met.where("asks").select("node").distinct().collect()[0][0] == 77
+    assert met.where("asks").count() == 50 and met.groupBy("first", "second").count().count() == 50
+
+
 def brute(rows):
     lower = str.maketrans({c: c + 32 for c in range(65, 91)})
     sets = []
@@ -106,8 +147,8 @@ def test_block_pairs_find_links_that_leaders_miss():
     slots[2] = slots[1]
     table = pa.table(
         {
-            "node": [5, 6, 7], "component": [5, 6, 7], "n_shingles": [100, 100, 110], "minor": [False, True, True],
-            "own": [0, 0, 1], "first": [0, 0, 0], "second": [1, 1, 1], "slots": [s.tobytes() for s in slots],
+            "node": [5, 6, 7], "component": [5, 6, 7], "n_shingles": [100, 100, 110],
+            "asks": [False, True, False], "first": [0, 0, 0], "second": [1, 1, 1], "slots": [s.tobytes() for s in slots],
             "band": [9, 9, 9], "marks": [np.arange(i, i + near_dup.BANDS).tobytes() for i in (5, 9, 9)],
         }
     )

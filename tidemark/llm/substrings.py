@@ -6,7 +6,7 @@ to both sides, to the windows that chose the anchor.  A window (96 bits of two h
 in every document but those with its smallest doc_id; runs of repeated windows make the maximal repeats,
 whose words are removed.
 
-Documents are dealt into chunks of about CHUNK rows by hash, once; a chunk sends each anchor and each window
+Documents are dealt into chunks of about CHUNK rows and CHUNK_BYTES of text by hash, once; a chunk sends each anchor and each window
 it asks about at most once, so a passage that very many documents share costs one entry per chunk, not one per
 document, and no group is gathered.  Chunks and answering buckets grow in number with the rows, not in size.
 
@@ -27,7 +27,7 @@ from tidemark.llm.words import SPACES, Words, buffers, grams, mix, pack, slices,
 
 LENGTH = 13
 SEED = 5
-CHUNK = 2000
+CHUNK, CHUNK_BYTES = 2000, 16 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -287,9 +287,9 @@ def _cut(length: int):
 def without_repeats(docs: DataFrame, length: int = LENGTH, chunk_rows: int = CHUNK) -> DataFrame:
     """doc_id, n_words, n_removed, kept (text), spans (first and last word of each maximal repeat)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = max(1, math.ceil(docs.count() / chunk_rows))
-    own = F.coalesce(F.xxhash64(F.col("doc_id").cast("string")), F.lit(0))
-    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(own)
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    n = max(1, math.ceil(rows / chunk_rows), math.ceil((size or 0) / CHUNK_BYTES))
+    own = F.xxhash64(F.col("doc_id").cast("string"), "text")
     # All three passes group by chunk, so Spark shuffles the texts once and reads them again.
     dealt = docs.withColumn("chunk", F.pmod(own, F.lit(n)).cast("long"))
     chunks = dealt.groupBy("chunk")
