@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.fixed import EMA_SPANS, MACD_SPANS
-from tidemark.series import _YEAR, by_year, join_year_summary, so_far, years
+from tidemark.series import _YEAR, by_year, join_year_summary, so_far, without_positions, years
 
 
 class _Decay:
@@ -78,7 +78,7 @@ def running_columns(
     moved = (
         f"coalesce(signum({value} - lag({value}) OVER {_IN_YEAR}) * volume, 0D)" if obv else "0D"
     )
-    rows = by_year(bars)
+    rows = by_year(without_positions(bars))
 
     # One row per (symbol, year): what this year adds to each running value.
     counted = rows.withColumns(

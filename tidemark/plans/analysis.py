@@ -10,6 +10,7 @@ from tidemark.operators import keyfigures
 from tidemark.plans import evaluation, forecast
 from tidemark.plans.features import feature_table, indicators
 from tidemark.plans.training import LINEAR_MODELS, PER_SYMBOL, Training, train_all
+from tidemark.series import laid_out, without_positions
 from tidemark.sources.sinks import staged
 
 
@@ -76,8 +77,9 @@ def run_analysis(
     The forecast is that of the best model of each symbol.  It starts at the last bar, or with
     ``from_last_bar=False`` at the last row that has a label.
     """
-    bars = staged(bars, "bars")
-    rows, features = prepared(bars, horizon)
+    placed = laid_out(bars)
+    bars = without_positions(placed)
+    rows, features = prepared(placed, horizon)
     training = train_all(
         features, models, scope=scope, symbols=symbols, validate=validate
     )
@@ -87,7 +89,7 @@ def run_analysis(
     future = future.join(best.select("symbol", "model"), ["symbol", "model"], "left_semi")
     tables = {
         "bars": bars,
-        "indicators": indicators(bars),
+        "indicators": indicators(placed),
         "predictions": training.predictions,
         "metrics": training.summary() if validate else training.metrics(),
         "importances": training.importances,

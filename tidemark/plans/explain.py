@@ -365,8 +365,19 @@ def _walked(rows, background, score, names: list[str], first: int, count: int, s
 # ---- choice of the explainer and reports ----------------------------------------------------------
 
 
-def explain_rows(training: Training, model: str, rows: DataFrame) -> DataFrame:
-    """Values of one trained model for the given feature rows, by the explainer that fits the model."""
+def explain_rows(
+    training: Training,
+    model: str,
+    rows: DataFrame,
+    background: int = BACKGROUND_ROWS,
+    permutations: int = 20,
+    tolerance: float | None = None,
+    rounds: int = 1,
+) -> DataFrame:
+    """Values of one trained model for the given feature rows, by the explainer that fits the model.
+
+    The last four arguments are those of the sampled explainer, which serves models of other kinds.
+    """
     if model in LINEAR_MODELS:
         models = training.linear.filter(F.col("model") == model)
         return linear_shap(rows, models, training.names)
@@ -383,8 +394,10 @@ def explain_rows(training: Training, model: str, rows: DataFrame) -> DataFrame:
             parts.append(tree_shap(served, fitted, name, training.names))
         else:
             train = training.features.filter(F.col("split") == "train")
-            base = background_rows(train, training.names)
-            shap = sampled_shap(served, base, fitted.transform, name, training.names)
+            base = background_rows(train, training.names, background)
+            shap = sampled_shap(
+                served, base, fitted.transform, name, training.names, permutations, tolerance=tolerance, rounds=rounds
+            )
             parts.append(shap.drop("error"))
     if not parts:
         raise ValueError(f"not trained: {model}")

@@ -27,7 +27,7 @@ from tidemark.functions.numeric import full_window, ratio
 from tidemark.operators import candles, momentum, volatility
 from tidemark.operators.cleaning import enough_rows
 from tidemark.series import in_one_pass, windowed, with_positions
-from tidemark.sources.sinks import staged
+from tidemark.sources.sinks import released, staged
 
 BASE_FEATURES = ["Daily_Return", "HV_5", "HV_21", "Volume_Ratio", "RSI_14", "BB_Pct"]
 TOLERANCE = 1e-4
@@ -189,10 +189,12 @@ def first_centres(tiles: DataFrame, dimensions: int, ks, restarts: int, seed: in
             F.min_by("day", F.struct("arrival", "time")).alias("day")
         )
         more = F.when(F.col("day").isNotNull(), F.concat("centres", F.array("day"))).otherwise(F.col("centres"))
+        before = made
         made = staged(
             made.join(drawn, ["symbol", "k", "run"], "left").select("symbol", "k", "run", more.alias("centres")),
             "first-centres",
         )
+        released(before)
     return made
 
 
@@ -254,10 +256,10 @@ def fit_kmeans(
     """
     tiles = staged(point_tiles(points), "regime-tiles")
     start = first_centres(tiles, dimensions, ks, restarts, seed)
-    moving = staged(start.withColumn("shift", F.lit(float("inf"))), "centres")
-    settled = []
+    candidates = staged(start.withColumn("shift", F.lit(float("inf"))), "centres")
+    released(start)
     passes = 0
-    while not moving.isEmpty():
+    while not (moving := candidates.filter(F.col("shift") > tolerance)).isEmpty():
         if passes == max_passes:
             raise RuntimeError(f"centres still move after {passes} passes")
         passes += 1
@@ -279,13 +281,12 @@ def fit_kmeans(
             )
         )
         shift = F.aggregate(steps, F.lit(0.0), lambda total, v: total + v)
-        stored = staged(moved.withColumn("shift", shift).drop("_old"), "centres")
-        settled.append(stored.filter(F.col("shift") <= tolerance))
-        moving = stored.filter(F.col("shift") > tolerance)
-    final = moving
-    for part in settled:
-        final = final.unionByName(part)
-    final = final.drop("shift")
+        moved = moved.withColumn("shift", shift).drop("_old")
+        # Each table holds all candidates, so the one before it is done with.
+        before = candidates
+        candidates = staged(moved.unionByName(before.filter(F.col("shift") <= tolerance)), "centres")
+        released(before)
+    final = candidates.drop("shift")
     costs = _nearest_days(tiles, final, dimensions).groupBy("symbol", "k", "run").agg(
         F.sum("cost").alias("inertia")
     )

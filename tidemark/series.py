@@ -20,6 +20,8 @@ from itertools import zip_longest
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.sinks import staged
+
 BLOCK_ROWS = 2048
 
 _YEAR = "_year"
@@ -89,6 +91,30 @@ def without_positions(df: DataFrame) -> DataFrame:
     return df.drop("pos", "n_rows")
 
 
+def laid_out(bars: DataFrame, name: str = "bars") -> DataFrame:
+    """Bars stored once, year by year of each symbol in order of date, with ``pos`` and ``n_rows``.
+
+    The source is read once.  Operators find the positions in the table: a side table of one row per
+    (symbol, year), made from two narrow columns, completes the places inside the year, and nothing is
+    shuffled again for them.  A date that a symbol has twice is an error.
+    """
+    rows = by_year(bars).withColumns(
+        {
+            "_place": F.row_number().over(in_year()),
+            "_twice": F.coalesce(F.lag("date").over(in_year()) == F.col("date"), F.lit(False)),
+        }
+    )
+    stored = staged(rows, name)
+    sizes = stored.groupBy("symbol", _YEAR).agg(
+        F.max("_place").cast("long").alias("_n"), F.count_if(F.col("_twice")).alias("_twice")
+    )
+    sizes = staged(sizes, f"{name}-years")
+    if not sizes.filter(F.col("_twice") > 0).isEmpty():
+        raise ValueError("a symbol has two bars of one date")
+    placed = join_year_summary(stored.drop("_twice"), sizes_before(sizes.drop("_twice")).drop("_n"))
+    return placed.withColumn("pos", F.col("_before") + F.col("_place")).drop("_before", "_place", _YEAR)
+
+
 def over_blocks(
     df: DataFrame,
     stages: Callable[[Frames], list[dict[str, Column]]],

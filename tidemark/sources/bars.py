@@ -108,12 +108,17 @@ def bars_from_trades(trades: DataFrame) -> DataFrame:
 def lineitem_trades(lineitem: DataFrame) -> DataFrame:
     """Order lines read as trades: the flags name the symbol, the unit price in cents is the price."""
     ticks = F.floor(F.try_divide(F.col("l_extendedprice") * 100, F.col("l_quantity")))
+    # One number, so that the hash aggregate has buffers of fixed width; keys it cannot hold are an error.
     high = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("decimal(19,0)")
     low = (F.col("l_partkey") * 100_000_000 + F.col("l_suppkey")).cast("decimal(19,0)")
+    fits = F.col("l_linenumber").between(0, 7) & F.col("l_suppkey").between(0, 99_999_999)
+    fits &= F.col("l_partkey").between(0, 9_999_999_999) & F.col("l_orderkey").between(0, 1 << 59)
+    order = high * F.lit("1000000000000000000").cast("decimal(19,0)") + low
+    order = F.when(F.coalesce(fits, F.lit(True)), order).otherwise(F.raise_error("order key out of range"))
     return lineitem.select(
         F.concat("l_returnflag", "l_linestatus").alias("symbol"),
         F.col("l_shipdate").cast("date").alias("date"),
-        (high * F.lit("1000000000000000000").cast("decimal(19,0)") + low).alias("order"),
+        order.alias("order"),
         ticks.cast("double").alias("price"),
         F.col("l_quantity").alias("size"),
     )

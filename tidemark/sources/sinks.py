@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,17 +46,54 @@ def read_tables(spark: SparkSession, names, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{name}") for name in names}
 
 
+_SCOPES: list[list[str]] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a result that several jobs need to the shared folder, and read it back.
 
-    The table outlives lost executors and cuts the lineage.  It stays until the folder is cleaned.
+    The table outlives lost executors and cuts the lineage.  It stays until `released`, until the `stages` scope it was
+    written in ends, or until the folder is cleaned.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """Through Spark's file system, which is not the driver's."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _plain(path: str) -> str:
+    """A path without scheme, which Spark writes in several ways."""
+    return "/" + path.split(":", 1)[-1].strip("/")
+
+
+def released(df: DataFrame) -> None:
+    """Delete the staged table that `df` reads, when its last reader is done; other tables are left alone."""
+    spark = df.sparkSession
+    folder = _plain(shared_folder(spark)) + "/"
+    for path in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        if _plain(path).startswith(folder):
+            _delete(spark, path)
+
+
+@contextmanager
+def stages(spark: SparkSession):
+    """Staged tables written inside are deleted at the end; take out what has to last by writing it elsewhere."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _delete(spark, path)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A text report per symbol, in one directory per symbol."""
     rows = report.select("symbol", F.col("report").alias("value"))

@@ -9,7 +9,7 @@ from tidemark.functions.calendar import CALENDAR_COLUMNS, calendar
 from tidemark.functions.numeric import sign_flag
 from tidemark.operators import averages, candles, momentum, running, volatility
 from tidemark.plans.features import feature_names, feature_table, indicators
-from tidemark.series import in_one_pass
+from tidemark.series import in_one_pass, laid_out
 from tidemark.sources.bars import in_range, lineitem_bars, recent
 from tidemark.sources.context import join_context, orders_context, read_series, series_returns
 from verification.sql_bars import DIGITS, FEATURES, INDICATORS
@@ -40,6 +40,12 @@ def bars(spark, sf_dir):
     return lineitem_bars(spark, sf_dir)
 
 
+def positions(spark, sf_dir):
+    """Bars laid out once, and operators that find their places in the table."""
+    out = in_one_pass(laid_out(lineitem_bars(spark, sf_dir)), [(averages.sma, {"windows": [20]}), (candles.daily_return, {})])
+    return rounded(out, "pos", "n_rows", "SMA_20", "Daily_Return")
+
+
 def date_range(spark, sf_dir):
     chosen = in_range(lineitem_bars(spark, sf_dir), ["AF", "NO"], "1996-01-01", "1998-01-01")
     return chosen.select("symbol", "date", "close")
@@ -138,6 +144,7 @@ def feature_counts(spark, sf_dir):
 
 QUERIES = {
     "bars": bars,
+    "positions": positions,
     "date_range": date_range,
     "recent_range": recent_range,
     "sma": on_bars(averages.sma, *[f"SMA_{n}" for n in (5, 10, 20, 50, 100, 200)]),

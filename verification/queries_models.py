@@ -16,7 +16,7 @@ from tidemark.plans.linear import FINAL, fit_linear
 from tidemark.plans.summary import report_text, summary_table
 from tidemark.plans.training import train_all
 from tidemark.plans.trees import Settings
-from tidemark.series import with_positions
+from tidemark.series import laid_out, with_positions
 from tidemark.session import shared_folder
 from tidemark.operators.cleaning import training_snapshot
 from tidemark.sources.bars import lineitem_bars, read_bars, read_snapshot
@@ -112,7 +112,7 @@ def importances(spark, sf_dir):
 
 def _forecast(mode, best=False):
     def query(spark, sf_dir):
-        bars = staged(lineitem_bars(spark, sf_dir), "bars")
+        bars = laid_out(lineitem_bars(spark, sf_dir))
         rows, features = prepared(bars)
         training = train_all(features)
         start = starting_rows(rows, bars, training, mode)

@@ -57,7 +57,8 @@ def universe_filter(spark, sf_dir):
 
 
 def wide_to_long(spark, sf_dir):
-    symbols = ["AF", "AO", "NF", "NO", "RF", "RO"]
+    # A wide file has a column for each symbol, so its reader knows them.
+    symbols = [r["symbol"] for r in _bars(spark, sf_dir).select("symbol").distinct().orderBy("symbol").collect()]
     fields = [F.first(c).alias(c.capitalize()) for c in VALUE_COLUMNS]
     wide = _bars(spark, sf_dir).groupBy("date").pivot("symbol", symbols).agg(*fields)
     renamed = [

@@ -192,6 +192,7 @@ wide AS (
 
 SQL = {
     "bars": f'WITH {BARS} SELECT symbol, date, open, high, low, "close", volume FROM bars',
+    "positions": f"""WITH {LAYERS} SELECT symbol, date, rn AS pos, n AS n_rows, {pick(["SMA_20", "Daily_Return"])} FROM l3""",
     "date_range": f"""WITH {BARS} SELECT symbol, date, "close" FROM bars
         WHERE symbol IN ('AF', 'NO') AND date >= DATE '1996-01-01' AND date < DATE '1998-01-01'""",
     "recent_range": f"""WITH {BARS} SELECT symbol, date, "close" FROM bars
