@@ -52,3 +52,28 @@ def test_stages_on_next_to_nothing(spark, tmp_path, rows):
     for _, stage in corpus_pipeline.STAGES:
         table = stage(spark, table, str(tmp_path))
         assert table.count() <= len(rows)
+
+
+def test_long_texts_and_many_repeated_rows(spark, tmp_path):
+    """Rows with one doc_id, most of them alike, and a very long text among others; nothing but copies goes."""
+    long = prose(77, 60_000)
+    same = prose(5, 30)
+    rows = [(i, prose(i, 40), f"s{i % 2}") for i in range(80)]
+    rows += [(500, same, "s0")] * 200 + [(501, same, "s0")] * 100 + [(None, prose(6, 30), "s1")] * 50 + [(502, prose(100 + i, 25), "s1") for i in range(20)]
+    rows += [(600, long, "s0"), (601, long, "s0"), (602, long + " more words at its end", "s1"), (700, None, None), (701, " \n", None)]
+    table = docs(spark, rows)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen = []
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        table = stage(spark, table, str(tmp_path))
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+        table = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+        assert set(table.columns) == set(docs(spark, []).columns)
+        seen.append(collections.Counter(r.doc_id for r in table.collect()))
+    assert sum(seen[0].values()) == len(rows)
+    assert seen[1] == collections.Counter([*range(80), 501, None, *[502] * 20, 601, 602, 700, 701])
+    assert seen[1] - seen[2] == collections.Counter([602]) and seen[2] <= seen[1]
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert collections.Counter(r.doc_id for r in out) == seen[3]
+    assert {r.decoded_sha256 for r in out if r.doc_id == 601} <= {hashlib.sha256(long.encode()).hexdigest()}
