@@ -197,7 +197,7 @@ def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _looked_up(places: np.ndarray):
-    """Occurrences of terms whose place in the bit table is set, outside base spans."""
+    """Occurrences of terms whose place in the bit table is set, with the code points where they stand."""
 
     def run(batches):
         table = np.zeros(BITS, bool)
@@ -206,18 +206,19 @@ def _looked_up(places: np.ndarray):
             data, offsets = buffers(batch.column("text"))
             for i, j in slices(offsets):
                 words = Words(data, offsets[i : j + 1], separators=MARKS, lower=True)
-                some = np.unique(words.doc[table[words.hash % np.uint64(BITS)]])
-                for d in some:
-                    text = batch.column("text")[i + d].as_py()
-                    term, first, last = terms(text, base_spans(text))
-                    hit = table[term.view(np.uint64) % np.uint64(BITS)]
-                    n = int(hit.sum())
-                    if n:
-                        row = batch.slice(i + d, 1)
-                        yield pa.RecordBatch.from_arrays(
-                            [*(pa.repeat(row.column(c)[0], n) for c in ("key", "mark")), *(pa.array(x[hit]) for x in (term, first, last))],
-                            ["key", "mark", "term", "start", "end"],
-                        )
+                hit = np.flatnonzero(table[words.hash % np.uint64(BITS)])
+                if not len(hit):
+                    continue
+                # Code points before each byte of the slice; a document's own count begins at its first byte.
+                point = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
+                doc = words.doc[hit]
+                begin = point[words.offsets[doc]]
+                first, last = point[words.starts[hit]] - begin, point[words.ends[hit]] - begin
+                rows = pa.array(i + doc)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(rows) for c in ("key", "mark")), *(pa.array(x) for x in (words.hash[hit].view(np.int64), first, last))],
+                    ["key", "mark", "term", "start", "end"],
+                )
 
     return run
 
@@ -238,7 +239,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
     near = near.join(told, "term").groupBy("key", "mark")
     more = near.agg(F.array_sort(F.collect_set(F.struct("start", "end", "disclosure"))).alias("told"))
     out = found.drop("entities", "terms").withColumn("key", key).join(more, ["key", "mark"], "left")
-    out = out.withColumnRenamed("told", "terms")
+    # A word that a base span touches is no term.
+    apart = "not exists(split(base, ','), s -> base != '' and int(split_part(s, ':', 2)) < t.end and int(split_part(s, ':', 3)) > t.start)"
+    out = out.withColumn("terms", F.expr(f"filter(told, t -> {apart})")).drop("told")
+    out = out.withColumn("terms", F.when(F.size("terms") > 0, F.col("terms")))
     texts = F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"].cast("string"), t["end"].cast("string")))
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.size("terms") > 0, F.array_join(texts, ",")))
     return out.select("doc_id", *[f"n_{k}" for k in KINDS], "base", spans.alias("spans"), "terms")
