@@ -112,7 +112,8 @@ def test_hinge_separates():
     r = np.random.default_rng(0)
     signs = np.where(r.random(200) < 0.5, 1.0, -1.0)
     features = [np.array([0 if s > 0 else 1, 2 + k % 5]) for k, s in enumerate(signs)]
-    w, b = quality.hinge(features, np.ones(10), signs)
+    # Scales are log ratios of the classes, as the method gives them to the fit.
+    w, b = quality._trained(features, (signs > 0).astype(int))
     assert all(np.sign(w[x].sum() + b) == s for x, s in zip(features, signs))
 
 
@@ -216,3 +217,81 @@ def test_field_on_unseen_built_pages():
         right += sum(a == b for a, b in zip(labels, guess))
         total += len(labels)
     assert right / total > 0.93
+
+
+def test_hinge_reaches_the_least_loss(monkeypatch):
+    """No small step away from the weights lowers the regularised hinge loss."""
+    monkeypatch.setattr(quality, "PASSES", 600)
+    monkeypatch.setattr(quality, "BETA", 1.0)
+    r = np.random.default_rng(2)
+    signs = np.where(r.random(60) < 0.5, 1.0, -1.0)
+    features = [np.unique(np.r_[r.integers(0, 9, 4), 0 if s > 0 and r.random() < 0.8 else 1]) for s in signs]
+    scale = r.normal(size=9)
+    w, b = quality.hinge(features, scale, signs)
+    w = w / scale
+
+    def loss(w, b):
+        margins = np.array([w[x] @ scale[x] + b for x in features])
+        return 0.5 * (w @ w + b * b) + quality.COST * np.maximum(0, 1 - signs * margins).sum()
+
+    least = loss(w, b)
+    for size in (1e-1, 1e-2, 1e-3):
+        for _ in range(300):
+            step = size * r.normal(size=10)
+            assert loss(w + step[:9], b + step[9]) >= least - 1e-6
+
+
+def test_mean_size_is_added_to_seen_indicators(monkeypatch):
+    scale = np.array([1.5, -2.0, 0.0, 0.5])
+    signs = np.array([1.0, -1.0])
+    features = [np.array([0, 3]), np.array([1, 3])]
+    monkeypatch.setattr(quality, "BETA", 1.0)
+    plain, _ = quality.hinge(features, scale, signs)
+    monkeypatch.setattr(quality, "BETA", 0.25)
+    mixed, _ = quality.hinge(features, scale, signs)
+    own = plain[[0, 1, 3]] / scale[[0, 1, 3]]
+    assert np.allclose(mixed[[0, 1, 3]], (0.25 * own + 0.75 * np.abs(own).mean()) * scale[[0, 1, 3]]) and mixed[2] == 0
+
+
+def test_ftrl_against_a_plain_loop():
+    r = np.random.default_rng(4)
+    labels = (r.random(80) < 0.4).astype(np.int8)
+    features = [np.unique(np.r_[r.integers(10, 200, 6), 3 if y and r.random() < 0.9 else 5]) for y in labels]
+    weights, intercept = toxicity.fit(labelled.Sample(features, labels, (600, 200)))
+    z, n, b_z, b_n, b = {}, {}, 0.0, 0.0, 0.0
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= toxicity.L1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * toxicity.L1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for epoch in range(toxicity.EPOCHS):
+        for k in labelled.shuffled(len(labels), epoch):
+            own = {int(i): weight(int(i)) for i in features[k]}
+            g = 1 / (1 + np.exp(-(sum(own.values()) + b))) - labels[k]
+            for i, w in own.items():
+                rate = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - rate * w
+                n[i] = n.get(i, 0.0) + g * g
+            rate = ((b_n + g * g) ** 0.5 - b_n**0.5) / toxicity.ALPHA
+            b_z, b_n = b_z + g - rate * b, b_n + g * g
+            b = -b_z / ((toxicity.BETA + b_n**0.5) / toxicity.ALPHA)
+    want = np.zeros(toxicity.BUCKETS)
+    for i in z:
+        want[i] = weight(i)
+    assert np.allclose(weights, want) and 0 < (weights != 0).sum() < 0.5 * len(z)
+    ones = labels.sum()
+    assert intercept == pytest.approx(b + np.log((200 / ones) / (600 / (80 - ones))))
+
+
+def test_a_very_long_text_is_scored_whole(spark, toxic_rows):
+    table = docs(spark, [(i, t) for i, t, _ in toxic_rows])
+    marks = labels(spark, [(i, y, None) for i, _, y in toxic_rows], "toxic")
+    weights, intercept = labelled.fitted(table, marks, "toxic", toxicity.extract, toxicity.BUCKETS, toxicity.fit)
+    bad = next(t for _, t, y in toxic_rows if y)
+    long = prose(9, 200_000)
+    scores = collected(toxicity.score(docs(spark, [(1, long), (2, f"{long} {bad}"), (3, f"{bad} {long}"), (4, bad)]), weights, intercept))
+    assert scores[2][0].score != scores[1][0].score and scores[4][0].score > 0.5
+    doc, number = toxicity.extract(np.frombuffer(f"{long} {bad}".encode(), np.uint8), np.array([0, len(f"{long} {bad}".encode())]))
+    assert scores[2][0].score == pytest.approx(float(labelled.sigmoid(weights[np.unique(number)].sum() + intercept)), abs=1e-9)

@@ -96,7 +96,9 @@ def hinge(features: list[np.ndarray], scale: np.ndarray, signs: np.ndarray) -> t
                 weights[x] += move * r
                 bias += move
                 dual[i] = new
-    blend = BETA * weights + (1 - BETA) * np.abs(weights).mean() * np.sign(weights)
+    # The mean size is added to every indicator that was seen; its scale gives it the sign.
+    seen = scale != 0
+    blend = BETA * weights + (1 - BETA) * (np.abs(weights[seen]).mean() if seen.any() else 0.0)
     return blend * scale, bias
 
 
