@@ -16,8 +16,9 @@ from tidemark.plans.linear import FINAL, fit_linear
 from tidemark.plans.summary import report_text, summary_table
 from tidemark.plans.training import train_all
 from tidemark.plans.trees import Settings
-from tidemark.series import laid_out, with_positions
+from tidemark.series import in_one_pass, laid_out, with_positions
 from tidemark.session import shared_folder
+from tidemark.operators import candles
 from tidemark.operators.cleaning import training_snapshot
 from tidemark.sources.bars import lineitem_bars, read_bars, read_snapshot
 from tidemark.sources.sinks import (
@@ -124,6 +125,37 @@ def _forecast(mode, best=False):
     return query
 
 
+# Weights of many digits, so that no value lies halfway between two rounded ones.
+GIVEN = {
+    "Close_Lag1": 0.5501337,
+    "Close_Lag2": 0.2498713,
+    "Close_Lag3": 0.0502171,
+    "Close_Lag5": 0.0997931,
+    "Close_Lag10": 0.0201719,
+    "Close_Lag20": 0.0198311,
+}
+
+
+def _forecast_given(mode, stride=1):
+    """Thirty steps of a model with given weights of the lags, from the last bar of each symbol."""
+
+    def query(spark, sf_dir):
+        bars = laid_out(lineitem_bars(spark, sf_dir))
+        rows = in_one_pass(bars, [(candles.lags, {})]).dropna(subset=list(GIVEN))
+        start = forecast.starting_rows(rows, bars, list(GIVEN), mode)
+        models = start.select(
+            F.col("symbol").alias("grp"),
+            F.lit("given").alias("model"),
+            F.lit(FINAL).alias("fold"),
+            F.lit(10_000.0).alias("intercept"),
+            F.array(*map(F.lit, GIVEN.values())).alias("beta"),
+        )
+        out = forecast.forecast_linear(start, models, list(GIVEN), 30, mode, stride)
+        return out.select("symbol", "last_date", "step", F.round("yhat", 3).alias("yhat"))
+
+    return query
+
+
 def analysis(spark, sf_dir):
     tables = run_analysis(
         lineitem_bars(spark, sf_dir), _facts(spark, sf_dir), future_days=14
@@ -343,6 +375,9 @@ QUERIES = {
     "forecast": _forecast(forecast.HISTORY),
     "forecast_slot_shift": _forecast(forecast.SLOT_SHIFT),
     "forecast_best": _forecast(forecast.HISTORY, best=True),
+    "forecast_given": _forecast_given(forecast.HISTORY),
+    "forecast_given_week": _forecast_given(forecast.HISTORY, 5),
+    "forecast_given_slots": _forecast_given(forecast.SLOT_SHIFT),
     "analysis": analysis,
     "regimes": kmeans_regimes,
     "regimes_fitted": _fitted("labels"),

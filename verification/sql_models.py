@@ -57,7 +57,28 @@ UNION ALL
 SELECT symbol, round(t / n + {rate} * (g - gl) / (n - nl + {l2}), 5), (n - nl)::BIGINT, round((t - tl) / (n - nl), 5) FROM best"""
 
 
+def forecast_given(state: str, places: list[int], moved: str) -> str:
+    """Steps of a model with given weights of six values; `places`: where they stand in the state, newest first."""
+    weights = (0.5501337, 0.2498713, 0.0502171, 0.0997931, 0.0201719, 0.0198311)
+    value = " + ".join(f"{w!r}::DOUBLE * s[{k}]" for w, k in zip(weights, places))
+    return f"""WITH RECURSIVE {BARS},
+past AS (SELECT symbol, max(date) AS last_date, list("close" ORDER BY date DESC)[1:21] AS p FROM bars GROUP BY symbol),
+steps AS (
+  SELECT symbol, last_date, 0 AS step, {state} AS s, NULL::DOUBLE AS yhat FROM past
+  UNION ALL
+  SELECT symbol, last_date, step + 1, {moved}, v
+  FROM (SELECT *, 10000.0::DOUBLE + {value} AS v FROM steps WHERE step < 30))
+SELECT symbol, last_date, step, round(yhat, 3) AS yhat FROM steps WHERE step > 0"""
+
+
 SQL = {
+    "forecast_given": forecast_given("p", [2, 3, 4, 6, 11, 21], "list_prepend(v, s)[1:21]"),
+    "forecast_given_week": forecast_given(
+        "p", [2, 3, 4, 6, 11, 21], "([v, " + ", ".join(f"v + (s[1] - v) * ({i} / 5.0::DOUBLE)" for i in (1, 2, 3, 4)) + "] || s)[1:21]"
+    ),
+    "forecast_given_slots": forecast_given(
+        "[p[2], p[3], p[4], p[6], p[11], p[21]]", [1, 2, 3, 4, 5, 6], "list_prepend(v, s)[1:6]"
+    ),
     "first_split": first_split("1.0", "0.0"),
     "first_split_l2": first_split("0.05", "1.0"),
     # Normal equations of two scaled features: (n + alpha, n r; n r, n + alpha) w = (c1, c2).
