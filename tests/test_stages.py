@@ -34,6 +34,8 @@ def test_tables_of_a_scope_go_with_it(spark):
         1 / 0
     assert len(folders(spark) - before) == 1
     released(kept.filter("id > 2"))
+    assert kept.count() == 5
+    released(kept)
     assert folders(spark) == before
 
 

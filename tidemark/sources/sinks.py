@@ -47,6 +47,8 @@ def read_tables(spark: SparkSession, names, path: str) -> dict[str, DataFrame]:
 
 
 _SCOPES: list[list[str]] = []
+#: Name under which a staged table keeps its place.
+_PATH = "_staged_path"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -60,7 +62,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     if _SCOPES:
         _SCOPES[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    setattr(out, _PATH, path)
+    return out
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -69,18 +73,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def _plain(path: str) -> str:
-    """A path without scheme, which Spark writes in several ways."""
-    return "/" + path.split(":", 1)[-1].strip("/")
-
-
 def released(df: DataFrame) -> None:
-    """Delete the staged table that `df` reads, when its last reader is done; other tables are left alone."""
-    spark = df.sparkSession
-    folder = _plain(shared_folder(spark)) + "/"
-    for path in {file.rpartition("/")[0] for file in df.inputFiles()}:
-        if _plain(path).startswith(folder):
-            _delete(spark, path)
+    """Delete a table that `staged` returned, when its last reader is done; other tables are left alone."""
+    path = getattr(df, _PATH, None)
+    if path is not None:
+        _delete(df.sparkSession, path)
 
 
 @contextmanager
