@@ -177,6 +177,30 @@ def _fitted(table):
     return query
 
 
+def regimes_settled(spark, sf_dir):
+    """Days of each symbol, and those that lie nearest to the mean of their own fitted regime."""
+    features = staged(regimes.regime_features(lineitem_bars(spark, sf_dir)), "regime-features")
+    names = regimes.regime_columns(features)
+    days = staged(regimes.scaled_points(features, names), "regime-points")
+    # Until no centre moves at all.
+    models = regimes.fit_kmeans(days, len(names), restarts=2, tolerance=1e-24)
+    points = staged(regimes.by_mean_return(regimes.label_points(days, models).drop("k")), "points")
+    one = [F.col("x")[i] for i in range(len(names))]
+    means = points.groupBy("symbol", "regime").agg(F.array(*[F.avg(c) for c in one]).alias("mean"))
+    means = means.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("regime", "mean"))).alias("means"))
+
+    def gap(m):
+        squares = F.zip_with(m["mean"], F.col("x"), lambda a, b: (a - b) * (a - b))
+        return F.struct(F.aggregate(squares, F.lit(0.0), lambda t, v: t + v).alias("d"), m["regime"].alias("regime"))
+
+    nearest = F.array_min(F.transform("means", gap))["regime"]
+    return points.join(means, "symbol").groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("days"),
+        F.count_if(nearest == F.col("regime")).alias("settled"),
+        F.count_distinct("regime").alias("regimes"),
+    )
+
+
 def kmeans_elbow(spark, sf_dir):
     return regimes.run_regimes(lineitem_bars(spark, sf_dir))["elbow"]
 
@@ -383,6 +407,7 @@ QUERIES = {
     "regimes_fitted": _fitted("labels"),
     "regimes_fitted_centres": _fitted("centres"),
     "regimes_fitted_silhouette": _fitted("silhouette"),
+    "regimes_settled": regimes_settled,
     "elbow": kmeans_elbow,
     "linear_shap": linear_shap,
     "shap_global": shap_global,

