@@ -24,6 +24,25 @@ def test_ranks_with_many_ties(spark):
     assert out["v"].is_monotonic_increasing and (out["n_ranked"] == 900).all()
 
 
+def test_ranks_in_small_parts(spark):
+    """Parts that are too large are cut again; ties, missing values and short keys keep their places."""
+    rng = np.random.default_rng(3)
+    days = pd.date_range("2015-01-01", periods=1500).date
+    parts = [
+        pd.DataFrame({"symbol": "A", "date": days, "v": np.exp(6 * rng.normal(size=1500)).round(3)}),
+        pd.DataFrame({"symbol": "B", "date": days, "v": np.where(rng.random(1500) < 0.6, 7.0, rng.integers(0, 90, 1500))}),
+        pd.DataFrame({"symbol": "C", "date": days[:9], "v": np.arange(9.0)}),
+    ]
+    table = spark.createDataFrame(pd.concat(parts), "symbol string, date date, v double")
+    table = table.unionByName(table.filter("symbol = 'C'").withColumns({"symbol": F.lit("D"), "v": F.lit(None).cast("double")}))
+    for rows in (40, 400, 4096):
+        out = stats.with_rank(table, "v", rows=rows).toPandas()
+        for symbol, own in out.groupby("symbol"):
+            own = own.sort_values("rank")
+            assert own["rank"].tolist() == list(range(1, len(own) + 1)) and (own["n_ranked"] == len(own)).all()
+            assert own["v"].is_monotonic_increasing or symbol == "D"
+
+
 def test_quantile_plot_of_normal_values(spark):
     rng = np.random.default_rng(5)
     data = pd.DataFrame(

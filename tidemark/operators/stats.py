@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.fixed import NORMAL_CENTRE, NORMAL_FAR, NORMAL_TAIL, VALUE_COLUMNS
 from tidemark.functions.numeric import sample_kurtosis, sample_skewness
 from tidemark.operators.candles import daily_return
+from tidemark.sources.sinks import staged
 
 
 def percent_returns(bars: DataFrame) -> DataFrame:
@@ -152,25 +153,42 @@ def histogram(returns: DataFrame, bins: int = 50, value: str = "ret_pct") -> Dat
 
 # ---- ranks and quantile plot -------------------------------------------------------------------
 
-RANK_CUTS = 63
+#: Rows that are put in order together, about, and cuts of one step at most.
+RANK_ROWS, RANK_CUTS = 4096, 1023
 
 
-def with_rank(df: DataFrame, value: str, key: str = "symbol") -> DataFrame:
+def with_rank(df: DataFrame, value: str, key: str = "symbol", rows: int = RANK_ROWS) -> DataFrame:
     """Position of every row in the ascending order of ``value`` inside its key, and the row count.
 
-    The key is cut at approximate quantiles (a mergeable sketch of fixed size), rows are numbered
-    inside each cut, and the sizes of the lower cuts are added, so no task sorts a whole key.  A value
-    that many rows share is a cut point itself; its rows are numbered year by year.  The calendar
-    bounds the days of a key, and so the rows between two cuts.
+    A key of more than ``rows`` rows is cut at approximate quantiles (a mergeable sketch), as many as its
+    size asks for; parts that are still too large are cut again, until none is.  Rows are numbered inside
+    the parts and the sizes of the lower parts are added, so no task sorts a whole key.  A value that
+    many rows share is a cut itself; its rows are numbered year by year, which the calendar bounds.
     """
-    points = [F.lit((i + 1) / (RANK_CUTS + 1)) for i in range(RANK_CUTS)]
-    cuts = df.groupBy(key).agg(F.percentile_approx(value, F.array(*points), 5000).alias("_cuts"))
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    on_cut = F.array_contains("_cuts", F.col(value))
-    place = F.struct(below.alias("below"), on_cut.alias("on"), F.when(on_cut, F.year("date")).otherwise(0).alias("year"))
-    placed = df.join(cuts, key).withColumn("_cut", place)
-    placed = placed.drop("_cuts")
-    sizes = placed.groupBy(key, "_cut").agg(F.count(F.lit(1)).alias("_n"))
+    kind = "array<struct<below:int,on:boolean,year:int>>"
+    placed = df.withColumn("_cut", F.expr(f"cast(array() as {kind})"))
+    while True:
+        sizes = staged(placed.groupBy(key, "_cut").agg(F.count(F.lit(1)).alias("_n")), "rank-parts")
+        last = F.try_element_at("_cut", F.lit(-1))
+        full = sizes.filter((F.col("_n") > rows) & ~F.coalesce(last["on"], F.lit(False)))
+        most = full.agg(F.max("_n")).first()[0]
+        if most is None:
+            break
+        cuts = min(RANK_CUTS, 2 * -(-most // rows))
+        points = F.array(*[F.lit((i + 1) / (cuts + 1)) for i in range(cuts)])
+        found = placed.join(full.select(key, "_cut"), [key, "_cut"]).groupBy(key, "_cut")
+        found = found.agg(F.coalesce(F.percentile_approx(value, points, 40 * cuts), F.array()).alias("_cuts"))
+        placed = placed.join(staged(found, "rank-cuts"), [key, "_cut"], "left")
+        # Missing values count as a value that rows share.
+        on = F.coalesce(F.array_contains("_cuts", F.col(value)), F.lit(True))
+        place = F.struct(
+            F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("below"),
+            on.alias("on"),
+            F.when(on, F.year("date")).otherwise(0).alias("year"),
+        )
+        deeper = F.concat("_cut", F.array(place).cast(kind))
+        placed = placed.withColumn("_cut", F.when(F.col("_cuts").isNotNull(), deeper).otherwise(F.col("_cut")))
+        placed = staged(placed.drop("_cuts"), "ranked")
     order = Window.partitionBy(key).orderBy("_cut")
     lower = order.rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -181,9 +199,7 @@ def with_rank(df: DataFrame, value: str, key: str = "symbol") -> DataFrame:
     )
     inside = Window.partitionBy(key, "_cut").orderBy(value, "date")
     ranked = placed.join(offsets, [key, "_cut"])
-    return ranked.withColumn("rank", F.col("_lower") + F.row_number().over(inside)).drop(
-        "_cut", "_lower"
-    )
+    return ranked.withColumn("rank", F.col("_lower") + F.row_number().over(inside)).drop("_cut", "_lower")
 
 
 def _fraction(coefficients, x: Column) -> Column:
