@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.words import lean
+
 # The white space and the cutting pattern of the public byte-level tokenizer.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 PIECES = (
@@ -255,7 +257,7 @@ def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
     schema = "doc_id long, ids binary" + (", decoded binary" if decoded else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), schema)
 
 
 def decode(ids: DataFrame, path: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import buffers, slices
+from tidemark.llm.words import buffers, give_back, lean, slices
 from tidemark.sources.sinks import staged
 
 #: Labelled documents of each class that a fit uses at most, the first by hash of doc_id.
@@ -88,6 +88,8 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, extract, size: int, f
             features += [x.astype(np.uint32) for x in distinct(extract(data, offsets[i : j + 1]), j - i, size)]
         weights, *rest = fit(Sample(features, table.column("label").to_numpy().astype(np.int8), totals))
         places = np.flatnonzero(weights)
+        del features, data, table
+        give_back()
         made = [places.astype(np.uint32).tobytes(), weights[places].tobytes(), np.array(rest, float).tobytes()]
         return pa.table({k: pa.array([v], pa.binary()) for k, v in zip(("places", "weights", "rest"), made)})
 
@@ -127,7 +129,7 @@ def scored(docs: DataFrame, extract, weights: np.ndarray, to_score) -> DataFrame
                     ["doc_id", "score"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, score double")
 
 
 def sigmoid(x):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.words import Words, buffers, grams, mix, slices
+from tidemark.llm.words import Words, buffers, grams, lean, mix, slices
 from tidemark.sources.sinks import staged
 
 SHINGLE = 5
@@ -151,7 +151,7 @@ def _full_sets(ends: DataFrame, docs: DataFrame) -> DataFrame:
     """node, hashes (the set) of the nodes in `ends`."""
     ends = staged(ends, "ends")
     texts = docs.join(ends, docs["doc_id"] == ends["node"]).select("node", "text")
-    return staged(texts.mapInArrow(_sets, "node long, hashes binary"), "sets")
+    return staged(texts.mapInArrow(lean(_sets), "node long, hashes binary"), "sets")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("right"))
     whole = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return whole.mapInArrow(_confirmed, "a long, b long").distinct()
+    return whole.mapInArrow(lean(_confirmed), "a long, b long").distinct()
 
 
 def _alike(batches):
@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of `docs(doc_id, text)`."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_shingles long, low long, high long, slots binary, marks binary, bands array<long>"
-    made = staged(docs.mapInArrow(_sketched, schema), "sketches")
+    made = staged(docs.mapInArrow(lean(_sketched), schema), "sketches")
 
     sets = ["low", "high", "n_shingles"]
     known = made.where("n_shingles > 0 and doc_id is not null")
@@ -308,7 +308,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = shared.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     looks = nodes.select("node", "n_shingles", "slots")
     stars = stars.join(looks.toDF("a", "n", "x"), "a").join(looks.toDF("b", "m", "y"), "b")
-    stars = staged(stars.select("a", "b", "n", "m", "x", "y").mapInArrow(_alike, "a long, b long"), "stars")
+    stars = staged(stars.select("a", "b", "n", "m", "x", "y").mapInArrow(lean(_alike), "a long, b long"), "stars")
     ties = _confirm(stars, docs).unionByName(repeated)
     parts = staged(components(ties), "parts")
 

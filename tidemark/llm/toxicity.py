@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.labelled import PER_CLASS, Sample, fitted, held_out, scored, shuffled, sigmoid
-from tidemark.llm.words import MARKS, Words, mix
+from tidemark.llm.words import MARKS, Words, lean, mix
 
 BUCKETS = 1 << 20
 GAPS = (1, 2, 3)
@@ -115,4 +115,4 @@ def filtered(docs: DataFrame, weights: np.ndarray, intercept: float, cut: float
                 keep = sigmoid(np.array(sums) + intercept) < cut
                 yield batch.slice(i, j - i).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
