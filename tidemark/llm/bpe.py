@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.words import lean
 
 # The white space and the cutting pattern of the public byte-level tokenizer.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + WHITE + r"\p{L}\p{N}]+|[" + WHITE + "]+(?![^" + WHITE + "])|[" + WHITE + "]+"
 )
