@@ -231,9 +231,13 @@ def _fixed_shap(spark, sf_dir):
 
 
 def _wide(df, *columns, digits=5):
-    """Round by size: whole numbers from 1,000 on, some digits below; no negative zero."""
+    """Round by size: whole numbers from 1,000 on, some digits below; no negative zero.
+
+    The last digits of a mean depend on the order of its sum, so values halfway between two are pushed off it first.
+    """
 
     def rounded(c):
+        c = c * (1 + 1e-10)
         return F.when(F.abs(c) >= 1000, F.round(c, 0)).otherwise(F.round(c, digits)) + F.lit(0.0)
 
     return df.withColumns({c: rounded(F.col(c)) for c in columns})

@@ -20,7 +20,8 @@ learn AS (
 
 
 def wide(x: str, digits: int = 5) -> str:
-    return f"CASE WHEN abs({x}) >= 1000 THEN round({x}, 0) ELSE round({x}, {digits}) END + 0.0"
+    pushed = f"({x}) * (1 + 1e-10::DOUBLE)"
+    return f"CASE WHEN abs({pushed}) >= 1000 THEN round({pushed}, 0) ELSE round({pushed}, {digits}) END + 0.0"
 
 
 NAMES = sorted(FEATURES)
