@@ -81,14 +81,18 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, extract, size: int, f
     rows, totals = chosen(docs, labels, label, per_class)
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id").combine_chunks()
-        data, offsets = buffers(table.column("text").combine_chunks())
+        ids, marks = (table.column(c).to_numpy() for c in ("doc_id", "label"))
         features = []
-        for i, j in slices(offsets):
-            features += [x.astype(np.uint32) for x in distinct(extract(data, offsets[i : j + 1]), j - i, size)]
-        weights, *rest = fit(Sample(features, table.column("label").to_numpy().astype(np.int8), totals))
+        for chunk in table.column("text").chunks:
+            data, offsets = buffers(chunk)
+            for i, j in slices(offsets):
+                features += [x.astype(np.uint32) for x in distinct(extract(data, offsets[i : j + 1]), j - i, size)]
+        # The texts go before the fit begins.
+        del table, chunk, data
+        order = np.argsort(ids, kind="stable")
+        weights, *rest = fit(Sample([features[i] for i in order], marks[order].astype(np.int8), totals))
         places = np.flatnonzero(weights)
-        del features, data, table
+        del features
         give_back()
         made = [places.astype(np.uint32).tobytes(), weights[places].tobytes(), np.array(rest, float).tobytes()]
         return pa.table({k: pa.array([v], pa.binary()) for k, v in zip(("places", "weights", "rest"), made)})

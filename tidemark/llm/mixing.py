@@ -169,15 +169,20 @@ def mixed(docs: DataFrame, weight=None, seed: str = SEED, share: float = 1.0) ->
     _, rule = _plan(docs, weight, seed, share)
     own = weight if weight is not None else F.lit(1.0)
     r = rule.select(F.col("source").alias("_s"), "target", "scale", "cut", "fit", "fill")
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    mark = F.xxhash64("text").alias("mark")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", size.alias("size"), mark, own.cast("double").alias("own"))
-    rows = rows.withColumn("u", uniform(seed)).join(r, rows["source"].eqNullSafe(r["_s"]))
-    rows = rows.withColumn("wanted", wanted()).withColumn("whole", F.floor("wanted")).withColumn("key", key())
-    rows = rows.withColumn("special", _special())
-    plain = rows.where("not special").select("_row", _copies().alias("copies"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", "text", own.cast("double").alias("own"))
+    rows = rows.join(r, rows["source"].eqNullSafe(r["_s"]))
+
+    def keyed(some: DataFrame) -> DataFrame:
+        size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+        some = some.withColumns({"u": uniform(seed), "size": size, "mark": F.xxhash64("text")}).drop("text")
+        some = some.withColumn("wanted", wanted()).withColumn("whole", F.floor("wanted")).withColumn("key", key())
+        return some.withColumn("special", _special())
+
+    plain = keyed(rows).where("not special").select("_row", _copies().alias("copies"))
+    # Special rows have the doc_id of the cut or of the filler; the others need not be looked at again.
+    near = rows.where("(cut is not null and doc_id <=> cut.doc_id) or (fill is not null and doc_id <=> fill.doc_id)")
     one = F.min_by("_row", F.xxhash64("_row")).alias("_row")
-    few = rows.where("special").groupBy("source", *ENTRY, "whole", "cut", "fit").agg(one, F.count("*").alias("rows"))
+    few = keyed(near).where("special").groupBy("source", *ENTRY, "whole", "cut", "fit").agg(one, F.count("*").alias("rows"))
     few = few.select("_row", (F.col("whole") * F.col("rows") + _chosen()).cast("long").alias("copies"))
     rows = plain.unionByName(few).where("copies > 0")
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
