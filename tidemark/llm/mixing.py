@@ -174,8 +174,11 @@ def mixed(docs: DataFrame, weight=None, seed: str = SEED, share: float = 1.0) ->
 
     def keyed(some: DataFrame) -> DataFrame:
         size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-        some = some.withColumns({"u": uniform(seed), "size": size, "mark": F.xxhash64("text")}).drop("text")
-        some = some.withColumn("wanted", wanted()).withColumn("whole", F.floor("wanted")).withColumn("key", key())
+        # A zero that the optimiser takes for a random number: what filters below ask about is worked out once for
+        # each row, not again for every mention.
+        once = F.rand(0) * 0
+        some = some.withColumns({"u": uniform(seed) + once, "size": size, "mark": F.xxhash64("text")}).drop("text")
+        some = some.withColumn("wanted", wanted() + once).withColumn("whole", F.floor("wanted")).withColumn("key", key() + once)
         return some.withColumn("special", _special())
 
     plain = keyed(rows).where("not special").select("_row", _copies().alias("copies"))
