@@ -97,6 +97,19 @@ def test_frequent_words_are_spread(spark, monkeypatch):
     assert 0 < max(gap) < 0.5
 
 
+def test_the_size_from_which_words_are_spread_changes_nothing(spark, monkeypatch):
+    """Bigrams of spread words are counted over all shards, those that only held-out documents have included."""
+    rows = [(i, " ".join(f"{w} {('the', 'of', 'the the')[k % 3]}" for k, w in enumerate(prose(i, 30).split()))) for i in range(80)]
+    rows += [(1000 + i, "of the the of the " + prose(i, 6)) for i in range(30)] + [(None, "the of " * 40), (5, "the"), (5, "")]
+    whole = sorted(lm.scores(docs(spark, rows)).collect(), key=str)
+    check(whole, rows)
+    for hot, shard, pairs in ((200, 300, 1 << 21), (200, 300, 100), (3, 50, 70), (1, 10**6, 500)):
+        for name, value in (("HOT", hot), ("SHARD", shard), ("PAIRS", pairs)):
+            monkeypatch.setattr(lm, name, value)
+        split = sorted(lm.scores(docs(spark, rows)).collect(), key=str)
+        assert [(*r[:5], round(r.base_score, 7), r.score) for r in split] == [(*r[:5], round(r.base_score, 7), r.score) for r in whole]
+
+
 def test_probabilities_add_up():
     r = np.random.default_rng(1)
     text = r.zipf(1.5, 4000) % 200

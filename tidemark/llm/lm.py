@@ -10,11 +10,13 @@ their successors, words before them, successors of both) in Elias-Fano form with
 names a word by its place among the successors of the nearest word, a context-relative number.  Sequences and
 probabilities lie in one run of bytes and are read in place.
 
-Work goes through four shuffles.  Distinct words of chunks of documents meet by word and get their counts and
+Distinct words of chunks of documents meet by word and get their counts and
 numbers, small ones for frequent words, which return to the chunks; trigrams with the documents that have them meet by context, where a task builds the trie of its
 shard from the training documents and looks up all of them; sums by document return.  Equal trigrams of a document are
-one entry.  A nearest word with HOT occurrences or more is a separate context for each of count / HOT + 1 classes of the word before it,
-so a very frequent word is spread over shards (entries of one pair of words stay together).  The model grows with
+one entry.  A nearest word with HOT occurrences or more is spread over shards by count / HOT + 1 classes of the word
+before it (entries of one pair of words stay together).  Its bigrams are counted over all classes: they meet by nearest
+word and successor, and each shard gets the counts of those that its entries have, and the word's total and number of
+successors.  So HOT and the numbers of shards have no influence on scores.  The model grows with
 the corpus: nothing is sampled, cut or pruned.
 
 Tokens are maximal runs without white space, A-Z lower-cased, and an end for each document.  Null and empty texts have
@@ -46,7 +48,8 @@ DISCOUNT = 0.75
 STEP, BITS = 0.01, 11
 #: Tokens of a chunk (less than 2^21, see `_entries`), bytes read at a time, tokens of a shard, text bytes of a word shard.
 CHUNK, SLICE, SHARD, WORD_BYTES = 1 << 20, 6 << 20, 400_000, 16 << 20
-HOT = 1_000_000
+#: Occurrences from which a nearest word is spread, and occurrences of spread words to a shard of their bigrams.
+HOT, PAIRS = 1_000_000, 1 << 21
 _END = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -87,6 +90,9 @@ def unbundle(data: bytes) -> list[np.ndarray]:
     return out
 
 
+_NONE = np.zeros(0, np.int64)
+
+
 # ---- trie -----------------------------------------------------------------------------------------------
 
 
@@ -106,22 +112,34 @@ class Trie:
             setattr(self, name, value)
 
     @classmethod
-    def built(cls, b: np.ndarray, a: np.ndarray, c: np.ndarray, n: np.ndarray, words: np.ndarray, base: np.ndarray) -> Trie:
-        """From occurrences n of c after b after a; -1 as a stands for no word.  b, a, c are places in `words`; `base`: codes of the words."""
+    def built(
+        cls, b: np.ndarray, a: np.ndarray, c: np.ndarray, n: np.ndarray, words: np.ndarray, base: np.ndarray, spread: tuple[np.ndarray, ...] = (_NONE,) * 6
+    ) -> Trie:
+        """From occurrences n of c after b after a; -1 as a stands for no word.  b, a, c are places in `words`; `base`: codes of the words.
+
+        `spread`: nearest words of which other tries have entries too, their totals and numbers of successors over all tries; nearest
+        word, successor and count over all tries of the bigrams of such words that are asked for here, which include those of the entries.
+        """
+        far, far_total, far_kinds, far_b, far_c, far_n = spread
         used = np.zeros(len(words), bool)
-        for x in (b, c, a[a >= 0]):
+        for x in (b, c, a[a >= 0], far, far_c):
             used[x] = True
         place = np.cumsum(used) - 1
         words, base = words[used], base[used]
         b, c, a = place[b], place[c], np.where(a >= 0, place[np.maximum(a, 0)], -1)
         size = max(len(words), 1)
 
-        nearest, rank = np.unique(b, return_inverse=True)
-        after, at = np.unique(rank * size + c, return_inverse=True)
+        nearest, rank = np.unique(np.r_[b, place[far]], return_inverse=True)
+        rank, far = rank[: len(b)], rank[len(b) :]
+        after, at = np.unique(np.r_[rank * size + c, np.searchsorted(nearest, place[far_b]) * size + place[far_c]], return_inverse=True)
+        at, far_at = at[: len(b)], at[len(b) :]
         count = np.bincount(at, n, len(after))
+        count[far_at] = far_n
         owner = after // size
         total, kinds = np.bincount(owner, count, len(nearest)), np.bincount(owner, minlength=len(nearest))
-        weight = quantised(DISCOUNT * kinds / np.maximum(total, 1))
+        every = kinds.copy()
+        total[far], every[far] = far_total, far_kinds
+        weight = quantised(DISCOUNT * every / np.maximum(total, 1))
         p = (count - DISCOUNT) / total[owner] + probability(weight)[owner] * probability(base[after % size])
         after_code = quantised(p)
         starts = np.cumsum(kinds) - kinds
@@ -256,14 +274,14 @@ def _asked(shards: int):
     return run
 
 
-_COUNTS = "shard long, chunk long, counts binary, tokens long, kinds long"
-_COUNT_FIELDS = [("shard", pa.int64()), ("chunk", pa.int64()), ("counts", pa.binary()), ("tokens", pa.int64()), ("kinds", pa.int64())]
+_COUNTS = "shard long, chunk long, counts binary, tokens long, kinds long, hot long"
+_COUNT_FIELDS = [("shard", pa.int64()), ("chunk", pa.int64()), ("counts", pa.binary()), *((x, pa.int64()) for x in ("tokens", "kinds", "hot"))]
 
 
 def _counted(shards: int):
     def run(table: pa.Table) -> pa.Table:
-        """Occurrences and numbers of the words of each chunk, in its order; the first row also has those of the shard and its
-        distinct words.  Numbers go by occurrences and tell shards apart."""
+        """Occurrences and numbers of the words of each chunk, in its order; the first row also has those of the shard, its
+        distinct words and the occurrences of words to spread.  Numbers go by occurrences and tell shards apart."""
         parts = [unbundle(x.as_py()) for x in table.column("words")]
         words, at = np.unique(np.concatenate([p[0].astype(np.uint64) for p in parts]), return_inverse=True)
         counts = np.bincount(at, np.concatenate([p[1] for p in parts]), len(words)).astype(np.int64)
@@ -274,7 +292,7 @@ def _counted(shards: int):
         found = [bundle(counts[x], numbers[x]) for x in places]
         rest = [0] * (len(parts) - 1)
         columns = [table.column("shard"), table.column("chunk"), pa.array(found, pa.binary())]
-        columns += [pa.array([int(x), *rest], pa.int64()) for x in (counts.sum(), (counts > 0).sum())]
+        columns += [pa.array([int(x), *rest], pa.int64()) for x in (counts.sum(), (counts > 0).sum(), counts[counts >= HOT].sum())]
         return pa.Table.from_arrays(columns, schema=pa.schema(_COUNT_FIELDS))
 
     return run
@@ -335,7 +353,41 @@ _CHANGED = "the documents differ between two reads; write them to a table first"
 _ASKED = "shard long, chunk long, data binary"
 
 
-def _sent(shards: int, tokens: int, kinds: int):
+def _split(numbers: np.ndarray, classes: np.ndarray, salt: int) -> np.ndarray:
+    return mix(numbers, salt) % classes
+
+
+def _shard(numbers: np.ndarray, split: np.ndarray, shards: int, salt: int) -> np.ndarray:
+    """Shard of a part of a nearest word."""
+    return (mix(numbers + split * np.uint64(0x9E3779B97F4A7C15), salt) % np.uint64(shards)).astype(np.int64)
+
+
+def _pairs(to, key, n, words, classes, pair_shards: int):
+    """Messages on the bigrams of spread words: their counts, and the shards whose entries have them."""
+    numbers = words.astype(np.uint64)
+    first, sizes = _runs(to)
+    targets, to = to[first], np.repeat(np.arange(len(first)), sizes)
+    k, at = np.unique((key >> 42 << 42) | ((key & 0x1FFFFF) << 21) | to, return_inverse=True)
+    n = np.bincount(at, n, len(k)).astype(np.int64)
+    b, c = k >> 42, (k >> 21) & 0x1FFFFF
+    own = _shard(numbers[b], _split(numbers[c], classes[b], 504), pair_shards, 505)
+    order = np.argsort(own, kind="stable")
+    k, n, own = k[order], n[order], own[order]
+    for at, size in zip(*_runs(own)):
+        part = k[at : at + size]
+        pair, to_each = _runs(part >> 21)
+        one, pair_each = _runs(part[pair] >> 42)
+        b, c = part[pair][one] >> 42, (part[pair] >> 21) & 0x1FFFFF
+        used = np.unique(np.concatenate([b, c]))
+        data = bundle(
+            np.diff(words[used], prepend=0), np.searchsorted(used, b), classes[b], pair_each, np.searchsorted(used, c),
+            np.add.reduceat(n[at : at + size], pair), to_each, targets[part & 0x1FFFFF],
+        )
+        yield int(own[at]), data
+
+
+def _sent(shards: int, pair_shards: int, tokens: int, kinds: int):
+    """Messages of a chunk: a header, entries for shards, and bigrams of spread words, whose shards follow the others."""
     total = tokens + kinds + 1
 
     def run(chunk: pa.Table, counts: pa.Table) -> pa.Table:
@@ -369,10 +421,13 @@ def _sent(shards: int, tokens: int, kinds: int):
         t, words, base, classes, numbers = rank[t], words[order], base[order], classes[order], numbers[order]
 
         def shard(b, a):
-            split = np.where(a > 0, mix(numbers[np.maximum(a - 1, 0)], 502) % classes[b], np.uint64(0))
-            return (mix(numbers[b] + split * np.uint64(0x9E3779B97F4A7C15), 503) % np.uint64(shards)).astype(np.int64)
+            split = np.where(a > 0, _split(numbers[np.maximum(a - 1, 0)], classes[b], 502), np.uint64(0))
+            return _shard(numbers[b], split, shards, 503)
 
         to, key, doc, times = _entries(t, doc, place, shard, len(lengths))
+        hot = np.flatnonzero(classes[key >> 42] > 1)
+        counted = np.where(held.astype(bool)[doc[hot]], 0, times[hot])
+        out += [(shards + at, data) for at, data in _pairs(to[hot], key[hot], counted, words, classes, pair_shards)]
         bits = np.packbits(held.astype(bool)).astype(np.int64)
         first, sizes = _runs(to)
         for at, n in zip(first, sizes):
@@ -400,6 +455,61 @@ def _sent(shards: int, tokens: int, kinds: int):
     return run
 
 
+_ANSWERS = "shard long, data binary"
+
+
+def _answered(shards: int):
+    """Bigrams of spread words by the shard that asked: words, totals, successors, bigrams each; successors and counts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        made = []
+        if table.column("shard")[0].as_py() >= shards:
+            parts = [unbundle(x.as_py()) for x in table.column("data")]
+            words, at = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
+            ends = np.cumsum([len(p[0]) for p in parts])
+            own = [at[e - len(p[0]) : e] for p, e in zip(parts, ends)]
+            size, classes = len(words), np.zeros(len(words), np.uint64)
+            for p, w in zip(parts, own):
+                classes[w[p[1]]] = p[2].astype(np.uint64)
+            pair = np.concatenate([np.repeat(w[p[1]], p[3]) * size + w[p[4]] for p, w in zip(parts, own)])
+            pairs, at = np.unique(pair, return_inverse=True)
+            count = np.bincount(at, np.concatenate([p[5] for p in parts]), len(pairs)).astype(np.int64)
+            seen = np.flatnonzero(count)
+            total = np.bincount(pairs[seen] // size, count[seen], size).astype(np.int64)
+            kinds = np.bincount(pairs[seen] // size, minlength=size)
+            # All shards of a word get its figures, also those without any of these bigrams.
+            nearest = np.flatnonzero(kinds)
+            b = np.repeat(nearest, classes[nearest].astype(np.int64))
+            split = np.arange(len(b)) - np.repeat(*_runs(b))
+            heads = np.unique(_shard(words[b].astype(np.uint64), split.astype(np.uint64), shards, 503) * size + b)
+            asked = np.repeat(at, np.concatenate([p[6] for p in parts])), np.concatenate([p[7] for p in parts])
+            asked = np.unique((asked[1] * len(pairs) + asked[0])[count[asked[0]] > 0])
+            to, what = asked // len(pairs), asked % len(pairs)
+            each = np.bincount(np.searchsorted(heads, to * size + pairs[what] // size), minlength=len(heads))
+            first, lengths = _runs(heads // size)
+            rows = np.r_[0, np.cumsum(each)]
+            for i, n in zip(first, lengths):
+                b, own = heads[i : i + n] % size, what[rows[i] : rows[i + n]]
+                data = bundle(np.diff(words[b], prepend=0), total[b], kinds[b], each[i : i + n], words[pairs[own] % size], count[own])
+                made.append((int(heads[i] // size), data))
+        return pa.table({"shard": pa.array([m[0] for m in made], pa.int64()), "data": pa.array([m[1] for m in made], pa.binary())})
+
+    return run
+
+
+def _spread(parts: list[list[np.ndarray]], words: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The answers that a shard gets as `Trie.built` takes them."""
+    if not parts:
+        return (_NONE,) * 6
+    number, total, kinds, each, c, n = (np.concatenate([np.cumsum(p[0]) if i == 0 else p[i] for p in parts]) for i in range(6))
+    b = np.repeat(number, each)
+    far, at = np.unique(number, return_inverse=True)
+    total, kinds = (np.bincount(at, x, len(far)).astype(np.int64) for x in (total, kinds))
+    # Not every class of a word has entries.
+    have = np.isin(far, words)
+    return np.searchsorted(words, far[have]), total[have], kinds[have], np.searchsorted(words, b), np.searchsorted(words, c), n
+
+
 def _received(parts: list[list[np.ndarray]]):
     """Entries of all messages of a shard, with places in its words: words, base, b, a, c, document, times, train, message."""
     words, base, to = np.zeros(0, np.int64), np.zeros(0, np.int64), []
@@ -420,22 +530,32 @@ def _received(parts: list[list[np.ndarray]]):
     return words, base, [np.concatenate([np.zeros(0, np.int64), *x]) for x in columns]
 
 
-def _trie(words, base, entries) -> Trie:
+def _trie(words, base, entries, spread) -> Trie:
     b, a, c, _, times, train, _ = entries
     train = train.astype(bool)
-    return Trie.mapped(bytes(Trie.built(b[train], a[train], c[train], times[train], words, base)))
+    return Trie.mapped(bytes(Trie.built(b[train], a[train], c[train], times[train], words, base, spread)))
 
 
 _SUMS = "chunk long, header boolean, data binary"
 
 
-def _scored(table: pa.Table) -> pa.Table:
+def _scored(shards: int):
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        return _summed(table if table.num_rows and table.column("shard")[0].as_py() < shards else table.slice(0, 0), answers)
+
+    return run
+
+
+def _summed(table: pa.Table, answers: pa.Table) -> pa.Table:
     """Sums of codes by document for each message of a shard; headers pass."""
-    if table.column("shard")[0].as_py() < 0:
+    if not table.num_rows:
+        made = []
+    elif table.column("shard")[0].as_py() < 0:
         made = [(x.as_py(), True, d.as_py()) for x, d in zip(table.column("chunk"), table.column("data"))]
     else:
         words, base, entries = _received([unbundle(x.as_py()) for x in table.column("data")])
-        trie = _trie(words, base, entries)
+        found = [unbundle(x.as_py()) for x in answers.column("data")] if answers.num_rows else []
+        trie = _trie(words, base, entries, _spread(found, words))
         b, a, c, doc, times, _, message = entries
         ids, ranks = np.r_[trie.ids(words), -1], np.r_[trie.ranks(), -1]
         codes = np.empty(len(b), np.int64)
@@ -482,8 +602,8 @@ def _gathered(table: pa.Table) -> pa.Table:
 # ---- jobs -----------------------------------------------------------------------------------------------
 
 
-def _messages(docs: DataFrame) -> tuple[DataFrame, int] | None:
-    """Trigrams of all chunks by shard, and the training tokens; None for an empty table."""
+def _messages(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, int] | None:
+    """Trigrams of all chunks by shard, bigrams of spread words, the number of shards, and the training tokens; None for an empty table."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held"))
     size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     if not size[0]:
@@ -491,11 +611,18 @@ def _messages(docs: DataFrame) -> tuple[DataFrame, int] | None:
     word_shards = -(-(size[1] or 1) // WORD_BYTES)
     counts = docs.mapInArrow(_asked(word_shards), _WORDS).groupBy("shard").applyInArrow(_counted(word_shards), _COUNTS)
     counts = staged(counts, "word-counts")
-    tokens, kinds = counts.agg(F.sum("tokens"), F.sum("kinds")).first()
+    tokens, kinds, hot = counts.agg(F.sum("tokens"), F.sum("kinds"), F.sum("hot")).first()
     chunks = docs.mapInArrow(_written, _CHUNK).groupBy("chunk")
     # About six bytes of text to a token.
     shards = -(-(size[1] or 1) // (6 * SHARD))
-    return chunks.cogroup(counts.groupBy("chunk")).applyInArrow(_sent(shards, tokens, kinds), _ASKED), tokens
+    sent = _sent(shards, max(1, -(-hot // PAIRS)), tokens, kinds)
+    messages = chunks.cogroup(counts.groupBy("chunk")).applyInArrow(sent, _ASKED)
+    if hot:
+        # Grouped as for the scores, so that both read one shuffle.
+        answers = messages.groupBy("shard").applyInArrow(_answered(shards), _ANSWERS)
+    else:
+        answers = docs.sparkSession.createDataFrame([], _ANSWERS)
+    return messages, answers, shards, tokens
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -504,8 +631,9 @@ def scores(docs: DataFrame) -> DataFrame:
     if made is None:
         empty = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
         return docs.sparkSession.createDataFrame([], empty)
-    messages, tokens = made
-    parts = messages.groupBy("shard").applyInArrow(_scored, _SUMS).groupBy("chunk").applyInArrow(_gathered, _DOCS)
+    messages, answers, shards, tokens = made
+    sums = messages.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_scored(shards), _SUMS)
+    parts = sums.groupBy("chunk").applyInArrow(_gathered, _DOCS)
     total = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "codes")]
     rows = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *total)
     return rows.select(
