@@ -3,11 +3,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.tables import WORD, corpus, docs, prose
 from tidemark.llm import lm
-from tidemark.llm.succinct import EliasFano, Packed
+from tidemark.llm.succinct import EliasFano, Packed, distinct
 
 LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
 END = 0
@@ -145,6 +146,48 @@ def test_documents_that_change_between_reads_are_an_error(spark):
         lm.scores(table).collect()
 
 
+def test_equal_trigrams_of_a_shard_are_looked_up_once(monkeypatch):
+    asked, codes = [], lm.Trie.codes
+    monkeypatch.setattr(lm.Trie, "codes", lambda self, rank, *rest: asked.append(len(rank)) or codes(self, rank, *rest))
+    held = np.arange(30) % 7 == 2
+    # In two messages: word 1 alone before 2 in all of 30 documents, 0 and 1 before 0 in one (twice), and before 2 in all.
+    docs, times = np.r_[np.arange(30), 5, np.arange(30)], np.r_[np.ones(30, int), 2, np.ones(30, int)]
+    grams = [np.array(x) for x in ([1], [2], [0, 1], [1, 2], [2, 0, 2], [30, 1, 30])]
+    message = lm.bundle(np.array([1, 3, 5]), np.array([50, 60, 70]), *grams, docs, times, np.packbits(held).astype(int), np.array([30]))
+    none = pa.table({"shard": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
+    out = lm._summed(pa.table({"shard": [0, 0], "chunk": [7, 8], "data": [message, message]}), none).to_pylist()
+    assert sum(asked) == 3
+    n = 2 * (~held).sum()
+    b, a, c = np.array([1, 1, 1]), np.array([-1, 0, 0]), np.array([2, 0, 2])
+    base = np.array([50, 60, 70])
+    trie = lm.Trie.built(b, a, c, np.array([n, 4, n]), np.array([1, 4, 9]), base)
+    one, two, three = codes(trie, trie.ranks()[b], a, c, base[c])
+    want = np.full(30, one + three)
+    want[5] += 2 * two
+    assert [(x["chunk"], x["header"]) for x in out] == [(7, False), (8, False)]
+    for x in out:
+        got = np.zeros(30, int)
+        doc, sums = lm.unbundle(x["data"])
+        got[doc] += sums
+        assert got.tolist() == want.tolist()
+    for size in (30, 10**6):
+        doc, sums = lm._sums(np.array([4, 1, 4]), np.array([3, 5, 6]), size)
+        assert (doc.tolist(), sums.tolist()) == ([1, 4], [5, 9])
+
+
+def test_distinct_values():
+    r = np.random.default_rng(2)
+    for top in (1, 5, 1000, 1 << 40, (1 << 63) - 1):
+        for v in (r.integers(0, top, 3000), np.sort(r.integers(0, top, 3000)), r.integers(0, top, 1), np.zeros(0, np.int64)):
+            for got, want in zip(distinct(v), np.unique(v, return_inverse=True)):
+                assert got.tolist() == want.tolist()
+    # Hashes that differ in the low bits only, in all orders.
+    close = (np.uint64(77) << np.uint64(40)) + r.integers(0, 5, 3000).astype(np.uint64)
+    for v in (r.integers(0, 1 << 64, 3000, dtype=np.uint64), r.integers(0, 1 << 64, 40, dtype=np.uint64)[r.integers(0, 40, 3000)], close, np.sort(close), close[:1]):
+        for got, want in zip(lm._distinct_hashes(v), np.unique(v, return_inverse=True)):
+            assert got.tolist() == want.tolist()
+
+
 def test_sequences():
     r = np.random.default_rng(0)
     for n, top in ((0, 10), (1, 1), (1, 1 << 40), (1000, 1000), (1000, 10**9), (40_000, 50_000), (3000, 1 << 45)):

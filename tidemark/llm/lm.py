@@ -12,8 +12,8 @@ probabilities lie in one run of bytes and are read in place.
 
 Distinct words of chunks of documents meet by word and get their counts and
 numbers, small ones for frequent words, which return to the chunks; trigrams with the documents that have them meet by context, where a task builds the trie of its
-shard from the training documents and looks up all of them; sums by document return.  Equal trigrams of a document are
-one entry.  A nearest word with HOT occurrences or more is spread over shards by count / HOT + 1 classes of the word
+shard from the training documents and looks up all of them, equal ones once; sums by document return.  Equal trigrams of a
+document are one entry.  A nearest word with HOT occurrences or more is spread over shards by count / HOT + 1 classes of the word
 before it (entries of one pair of words stay together).  Its bigrams are counted over all classes: they meet by nearest
 word and successor, and each shard gets the counts of those that its entries have, and the word's total and number of
 successors.  So HOT and the numbers of shards have no influence on scores.  The model grows with
@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.succinct import EliasFano, Packed
+from tidemark.llm.succinct import EliasFano, Packed, distinct
 from tidemark.llm.words import Words, buffers, mix, slices
 from tidemark.sources.sinks import staged
 
@@ -73,8 +73,8 @@ def bundle(*arrays) -> bytes:
     for a in arrays:
         most = int(a.max()) if len(a) else 0
         kind = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
-        raw = np.ascontiguousarray(a).astype(f"u{kind}").view(np.uint8).reshape(-1, kind).T.tobytes()
-        out.append(struct.pack("<BQ", kind, len(a)) + raw)
+        a = np.ascontiguousarray(a).astype(f"u{kind}")
+        out += [struct.pack("<BQ", kind, len(a)), *((a >> a.dtype.type(8 * i)).astype(np.uint8).tobytes() for i in range(kind))]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
@@ -84,8 +84,10 @@ def unbundle(data: bytes) -> list[np.ndarray]:
     while at < len(data):
         kind, n = struct.unpack_from("<BQ", data, at)
         raw = np.frombuffer(data, np.uint8, kind * n, at + 9).reshape(kind, n)
-        a = np.ascontiguousarray(raw.T).reshape(-1).view(f"u{kind}")
-        out.append(a if kind == 8 else a.astype(np.int64))
+        a = raw[0].astype(np.uint64 if kind == 8 else np.int64)
+        for i in range(1, kind):
+            a |= raw[i].astype(a.dtype) << a.dtype.type(8 * i)
+        out.append(a)
         at += 9 + kind * n
     return out
 
@@ -129,9 +131,11 @@ class Trie:
         b, c, a = place[b], place[c], np.where(a >= 0, place[np.maximum(a, 0)], -1)
         size = max(len(words), 1)
 
-        nearest, rank = np.unique(np.r_[b, place[far]], return_inverse=True)
-        rank, far = rank[: len(b)], rank[len(b) :]
-        after, at = np.unique(np.r_[rank * size + c, np.searchsorted(nearest, place[far_b]) * size + place[far_c]], return_inverse=True)
+        used = np.zeros(len(words), bool)
+        used[b] = used[place[far]] = True
+        nearest, ranks = np.flatnonzero(used), np.cumsum(used) - 1
+        rank, far = ranks[b], ranks[place[far]]
+        after, at = distinct(np.r_[rank * size + c, ranks[place[far_b]] * size + place[far_c]])
         at, far_at = at[: len(b)], at[len(b) :]
         count = np.bincount(at, n, len(after))
         count[far_at] = far_n
@@ -145,9 +149,9 @@ class Trie:
         starts = np.cumsum(kinds) - kinds
 
         full = a >= 0
-        before, context = np.unique(rank[full] * size + a[full], return_inverse=True)
+        before, context = distinct(rank[full] * size + a[full])
         most = int(kinds.max()) if len(kinds) else 1
-        third, at3 = np.unique(context * most + at[full] - starts[rank[full]], return_inverse=True)
+        third, at3 = distinct(context * most + at[full] - starts[rank[full]])
         count = np.bincount(at3, n[full], len(third))
         owner = third // most
         total, kinds = np.bincount(owner, count, len(before)), np.bincount(owner, minlength=len(before))
@@ -195,18 +199,23 @@ class Trie:
         return self.nearest.find(np.arange(len(self.words)))
 
     def codes(self, rank: np.ndarray, a: np.ndarray, c: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """Code of each word c after the nearest word `rank` after a (-1: no or an unknown word); `base` is its code without a context."""
+        """Code of each word c after the nearest word `rank` after a (-1: no or an unknown word); `base` is its code without a context.
+
+        Neighbours that share a context look it up once.
+        """
         size = max(len(self.words), 1)
         seen = np.flatnonzero(rank >= 0)
         out = base.astype(np.int64).copy()
         rank, a, c = rank[seen], a[seen], c[seen]
         two = np.where(c >= 0, self.after.find(rank * size + c), -1)
         code = np.where(two >= 0, self.after_code[np.maximum(two, 0)], out[seen] + self.nearest_weight[rank])
-        context = np.where(a >= 0, self.before.find(rank * size + a), -1)
+        first, each = _runs(rank * (size + 1) + a)
+        context = np.repeat(np.where(a[first] >= 0, self.before.find(rank[first] * size + a[first]), -1), each)
         known = np.flatnonzero(context >= 0)
         code[known] += self.before_weight[context[known]]
         both = known[two[known] >= 0]
-        place = two[both] - self.starts.values(rank[both])
+        first, each = _runs(rank[both])
+        place = two[both] - np.repeat(self.starts.values(rank[both[first]]), each)
         three = self.third.find(context[both] * self.most + place)
         hit = both[three >= 0]
         code[hit] = self.third_code[three[three >= 0]]
@@ -252,6 +261,23 @@ def _word_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
 
+def _distinct_hashes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes and the place of each.
+
+    Their high bits are sorted with places in the low ones; hashes that differ in the low bits only, which are rare, need the slower way.
+    """
+    bits = np.uint64(len(hashes).bit_length())
+    both = np.sort(hashes >> bits << bits | np.arange(len(hashes), dtype=np.uint64))
+    at = (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    ordered = hashes[at]
+    if (ordered[1:] < ordered[:-1]).any():
+        return np.unique(hashes, return_inverse=True)
+    new = np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)]
+    out = np.empty(len(hashes), np.int64)
+    out[at] = np.cumsum(new) - 1
+    return ordered[new], out
+
+
 _WORDS = "shard long, chunk long, words binary"
 
 
@@ -261,7 +287,7 @@ def _asked(shards: int):
     def run(batches):
         for key, tokens, lead, doc, _, batch, rows, _ in _chunks(batches):
             train = ~batch.column("held").slice(rows.start, rows.stop - rows.start).to_numpy(zero_copy_only=False)
-            words, at = np.unique(tokens, return_inverse=True)
+            words, at = _distinct_hashes(tokens)
             counts = np.bincount(at[lead:], train[doc], len(words)).astype(np.int64)
             shard = _word_shard(words, shards)
             edges = np.searchsorted(shard, np.arange(shards + 1).astype(np.uint64))
@@ -305,7 +331,7 @@ def _written(batches):
     """Chunks as rows: places of the tokens among the chunk's distinct words, and what is known of the documents."""
     for key, tokens, lead, doc, begin, batch, rows, own in _chunks(batches):
         part = batch.slice(rows.start, rows.stop - rows.start)
-        words, at = np.unique(tokens, return_inverse=True)
+        words, at = _distinct_hashes(tokens)
         ids = part.column("doc_id")
         docs = bundle(
             np.array([own, lead, begin]),
@@ -323,6 +349,10 @@ def _written(batches):
 # ---- contexts -------------------------------------------------------------------------------------------
 
 
+#: Bits of a word of a chunk in a key.
+_LOW = (1 << 21) - 1
+
+
 def _entries(t, doc, place, shard, docs: int):
     """Sorted distinct (shard, b, a, c, document) of the tokens that have a word before them, with multiplicities.
 
@@ -333,13 +363,17 @@ def _entries(t, doc, place, shard, docs: int):
     b, a = full[1 : 1 + len(doc)], np.where(place >= 2, full[: len(doc)] + 1, 0)
     own = np.flatnonzero(place >= 1)
     b, a, c = b[own], a[own], t[lead:][own]
-    key = (b << 42) | (a << 21) | c
-    to = shard(b, a)
-    # Tokens come by document and stable sorts keep that; shards sort faster as short numbers.
-    order = np.argsort(key, kind="stable")
-    order = order[np.argsort(to[order].astype(np.uint16 if to.max(initial=0) < 1 << 16 else np.int64), kind="stable")]
-    key, to, doc = key[order], to[order], doc[own][order]
-    new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (to[1:] != to[:-1])][: len(key)])
+    pair, at = distinct((b << 21) | a)
+    to = shard(pair >> 21, pair & _LOW)
+    order = np.argsort(to.astype(np.uint16) if to.max(initial=0) < 1 << 16 else to, kind="stable")
+    rank = np.empty(len(pair), np.int64)
+    rank[order] = np.arange(len(pair))
+    pair, to = pair[order], to[order]
+    # Tokens come by document, so their places put equal trigrams in the order of documents.
+    key = np.sort((rank[at] << 42) | (c << 21) | np.arange(len(c)))
+    doc, at = doc[own][key & _LOW], key >> 42
+    to, key = to[at], (pair[at] << 21) | ((key >> 21) & _LOW)
+    new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])][: len(key)])
     return to[new], key[new], doc[new], np.diff(np.r_[new, len(key)])
 
 
@@ -367,9 +401,9 @@ def _pairs(to, key, n, words, classes, pair_shards: int):
     numbers = words.astype(np.uint64)
     first, sizes = _runs(to)
     targets, to = to[first], np.repeat(np.arange(len(first)), sizes)
-    k, at = np.unique((key >> 42 << 42) | ((key & 0x1FFFFF) << 21) | to, return_inverse=True)
+    k, at = np.unique((key >> 42 << 42) | ((key & _LOW) << 21) | to, return_inverse=True)
     n = np.bincount(at, n, len(k)).astype(np.int64)
-    b, c = k >> 42, (k >> 21) & 0x1FFFFF
+    b, c = k >> 42, (k >> 21) & _LOW
     own = _shard(numbers[b], _split(numbers[c], classes[b], 504), pair_shards, 505)
     order = np.argsort(own, kind="stable")
     k, n, own = k[order], n[order], own[order]
@@ -377,15 +411,24 @@ def _pairs(to, key, n, words, classes, pair_shards: int):
         part = k[at : at + size]
         pair, to_each = _runs(part >> 21)
         one, pair_each = _runs(part[pair] >> 42)
-        b, c = part[pair][one] >> 42, (part[pair] >> 21) & 0x1FFFFF
+        b, c = part[pair][one] >> 42, (part[pair] >> 21) & _LOW
         used = np.unique(np.concatenate([b, c]))
         data = bundle(
             np.diff(words[used], prepend=0), np.searchsorted(used, b), classes[b], pair_each, np.searchsorted(used, c),
-            np.add.reduceat(n[at : at + size], pair), to_each, targets[part & 0x1FFFFF],
+            np.add.reduceat(n[at : at + size], pair), to_each, targets[part & _LOW],
         )
         yield int(own[at]), data
 
 
+def _used(values: np.ndarray, scratch: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; `scratch`, which covers all values and may hold anything, gets the place of each."""
+    places = np.arange(len(values))
+    scratch[values] = places
+    used = np.sort(values[scratch[values] == places])
+    scratch[used] = np.arange(len(used))
+    return used
+
+
 def _sent(shards: int, pair_shards: int, tokens: int, kinds: int):
     """Messages of a chunk: a header, entries for shards, and bigrams of spread words, whose shards follow the others."""
     total = tokens + kinds + 1
@@ -406,10 +449,10 @@ def _sent(shards: int, pair_shards: int, tokens: int, kinds: int):
         place = np.arange(len(doc)) - starts[doc]
         place[doc == 0] += begin
         base = quantised((c + 1) / total)
-        mine = c[t[lead:]]
-        logs = np.bincount(doc, np.log10(mine + 1.0), len(lengths)) - lengths * np.log10(total)
-        known = np.bincount(doc, mine > 0, len(lengths)).astype(np.int64)
-        alone = np.bincount(doc, np.where(place == 0, base[t[lead:]], 0), len(lengths)).astype(np.int64)
+        mine, head = t[lead:], np.flatnonzero(place == 0)
+        logs = np.bincount(doc, np.log10(c + 1.0)[mine], len(lengths)) - lengths * np.log10(total)
+        known = np.bincount(doc, (c > 0)[mine], len(lengths)).astype(np.int64)
+        alone = np.bincount(doc[head], base[mine[head]], len(lengths)).astype(np.int64)
         header = bundle(np.array([own]), ids, null, held, lengths, known, logs.view(np.uint64), alone)
         out = [(-1 - (row["chunk"] & 0x7FFFFFFF), header)]
 
@@ -429,19 +472,20 @@ def _sent(shards: int, pair_shards: int, tokens: int, kinds: int):
         counted = np.where(held.astype(bool)[doc[hot]], 0, times[hot])
         out += [(shards + at, data) for at, data in _pairs(to[hot], key[hot], counted, words, classes, pair_shards)]
         bits = np.packbits(held.astype(bool)).astype(np.int64)
+        three, docs_each = _runs(key)
+        k = key[three]
+        two, three_each = _runs(k >> 21)
+        one, two_each = _runs((to[three[two]] << 21) | (k[two] >> 42))
+        b, a, w = k[two[one]] >> 42, ((k[two] >> 21) & _LOW) - 1, k & _LOW
         first, sizes = _runs(to)
-        for at, n in zip(first, sizes):
-            k = key[at : at + n]
-            three, docs_each = _runs(k)
-            k = k[three]
-            two, three_each = _runs(k >> 21)
-            one, two_each = _runs(k[two] >> 42)
-            b, a, w = k[two][one] >> 42, (k[two] >> 21) & 0x1FFFFF, k & 0x1FFFFF
-            used = np.unique(np.concatenate([b, a[a > 0] - 1, w]))
-            a = np.where(a > 0, np.searchsorted(used, a - 1) + 1, 0)
+        ends = [np.searchsorted(x, np.r_[first, len(to)]) for x in (three[two[one]], three[two], three)]
+        scratch = np.empty(len(words) + 1, np.int64)
+        for i, (at, n) in enumerate(zip(first, sizes)):
+            x, y, z = (slice(e[i], e[i + 1]) for e in ends)
+            used = _used(np.concatenate([b[x], a[y][a[y] >= 0], w[z]]), scratch)
             data = bundle(
-                np.diff(words[used], prepend=0), base[used], np.searchsorted(used, b), two_each, a, three_each, np.searchsorted(used, w), docs_each,
-                doc[at : at + n], times[at : at + n], bits, np.array([len(held)]),
+                np.diff(words[used], prepend=0), base[used], scratch[b[x]], two_each[x], np.where(a[y] >= 0, scratch[a[y]] + 1, 0), three_each[y],
+                scratch[w[z]], docs_each[z], doc[at : at + n], times[at : at + n], bits, np.array([len(held)]),
             )
             out.append((int(to[at]), data))
         return pa.table(
@@ -511,29 +555,25 @@ def _spread(parts: list[list[np.ndarray]], words: np.ndarray) -> tuple[np.ndarra
 
 
 def _received(parts: list[list[np.ndarray]]):
-    """Entries of all messages of a shard, with places in its words: words, base, b, a, c, document, times, train, message."""
+    """Words of all messages of a shard and their base; trigrams of each message with places in the words, and their entries;
+    document, times and train of the entries, and entries and documents of each message."""
     words, base, to = np.zeros(0, np.int64), np.zeros(0, np.int64), []
     if parts:
-        words, at = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
+        words, at = distinct(np.concatenate([np.cumsum(p[0]) for p in parts]))
         base = np.zeros(len(words), np.int64)
         base[at] = np.concatenate([p[1] for p in parts])
         ends = np.cumsum([len(p[0]) for p in parts])
         to = [at[e - len(p[0]) : e] for p, e in zip(parts, ends)]
     columns = [[] for _ in range(7)]
-    for i, (p, own) in enumerate(zip(parts, to)):
+    for p, own in zip(parts, to):
         b, two, a, three, c, docs, doc, times, bits, n = p[2:]
         held = np.unpackbits(bits.astype(np.uint8), count=int(n[0])).astype(bool)
         b = np.repeat(np.repeat(own[b], two), three)
         a = np.repeat(np.where(a > 0, own[np.maximum(a - 1, 0)], -1), three)
-        for column, x in zip(columns, (np.repeat(b, docs), np.repeat(a, docs), np.repeat(own[c], docs), doc, times, ~held[doc], np.full(len(doc), i))):
+        for column, x in zip(columns, (b, a, own[c], docs, doc, times, ~held[doc])):
             column.append(x)
-    return words, base, [np.concatenate([np.zeros(0, np.int64), *x]) for x in columns]
-
-
-def _trie(words, base, entries, spread) -> Trie:
-    b, a, c, _, times, train, _ = entries
-    train = train.astype(bool)
-    return Trie.mapped(bytes(Trie.built(b[train], a[train], c[train], times[train], words, base, spread)))
+    columns = [np.concatenate([np.zeros(0, np.int64), *x]) for x in columns]
+    return words, base, columns[:4], columns[4:], [(len(p[8]), int(p[11][0])) for p in parts]
 
 
 _SUMS = "chunk long, header boolean, data binary"
@@ -546,6 +586,16 @@ def _scored(shards: int):
     return run
 
 
+def _sums(doc: np.ndarray, weights: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents, of which there are `size`, and sums of their weights; those with a sum of 0 may be left out."""
+    if size > 8 * len(doc):
+        doc, at = distinct(doc)
+        return doc, np.bincount(at, weights, len(doc)).astype(np.int64)
+    sums = np.bincount(doc, weights, size)
+    doc = np.flatnonzero(sums)
+    return doc, sums[doc].astype(np.int64)
+
+
 def _summed(table: pa.Table, answers: pa.Table) -> pa.Table:
     """Sums of codes by document for each message of a shard; headers pass."""
     if not table.num_rows:
@@ -553,21 +603,27 @@ def _summed(table: pa.Table, answers: pa.Table) -> pa.Table:
     elif table.column("shard")[0].as_py() < 0:
         made = [(x.as_py(), True, d.as_py()) for x, d in zip(table.column("chunk"), table.column("data"))]
     else:
-        words, base, entries = _received([unbundle(x.as_py()) for x in table.column("data")])
+        words, base, (b, a, c, docs), (doc, times, train), sizes = _received([unbundle(x.as_py()) for x in table.column("data")])
         found = [unbundle(x.as_py()) for x in answers.column("data")] if answers.num_rows else []
-        trie = _trie(words, base, entries, _spread(found, words))
-        b, a, c, doc, times, _, message = entries
+        # Equal trigrams of all messages are one from here on, in the order of the trie.
+        _, at = distinct(b * (len(words) + 1) + a + 1)
+        grams, at = distinct(at * len(words) + c)
+        some = np.empty(len(grams), np.int64)
+        some[at] = np.arange(len(at))
+        b, a, c, at = b[some], a[some], c[some], np.repeat(at, docs)
+        n = np.bincount(at, times * train, len(grams)).astype(np.int64)
+        seen = np.flatnonzero(n)
+        trie = Trie.mapped(bytes(Trie.built(b[seen], a[seen], c[seen], n[seen], words, base, _spread(found, words))))
         ids, ranks = np.r_[trie.ids(words), -1], np.r_[trie.ranks(), -1]
         codes = np.empty(len(b), np.int64)
         for i in range(0, len(b), 1 << 17):
             own = slice(i, i + (1 << 17))
             codes[own] = trie.codes(ranks[ids[b[own]]], ids[a[own]], ids[c[own]], base[c[own]])
-        keys, at = np.unique((message << 32) | doc, return_inverse=True)
-        sums = np.bincount(at, codes * times, len(keys)).astype(np.int64)
-        edges = np.searchsorted(keys >> 32, np.arange(table.num_rows + 1))
-        made = [
-            (x.as_py(), False, bundle(keys[i:j] & 0xFFFFFFFF, sums[i:j])) for x, i, j in zip(table.column("chunk"), edges[:-1], edges[1:])
-        ]
+        weights, made, i = codes[at] * times, [], 0
+        for x, (entries, size) in zip(table.column("chunk"), sizes):
+            j = i + entries
+            made.append((x.as_py(), False, bundle(*_sums(doc[i:j], weights[i:j], size))))
+            i = j
     kinds = (pa.int64(), pa.bool_(), pa.binary())
     return pa.table({k: pa.array([m[i] for m in made], kinds[i]) for i, k in enumerate(("chunk", "header", "data"))})
 

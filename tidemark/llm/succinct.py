@@ -11,6 +11,27 @@ def _bits(x: int) -> int:
     return int(x).bit_length()
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct non-negative integers and the place of each among them.
+
+    Places are sorted along in the low bits where there is room, which is several times faster than sorting places by value.
+    """
+    if (values[1:] >= values[:-1]).all():
+        new = np.r_[True, values[1:] != values[:-1]][: len(values)]
+        return values[new], np.cumsum(new) - 1
+    bits = _bits(len(values))
+    if _bits(values.max()) + bits <= 63:
+        both = np.sort(values << bits | np.arange(len(values)))
+        at, ordered = both & ((1 << bits) - 1), both >> bits
+    else:
+        at = np.argsort(values, kind="stable")
+        ordered = values[at]
+    new = np.r_[True, ordered[1:] != ordered[:-1]]
+    out = np.empty(len(values), np.int64)
+    out[at] = np.cumsum(new) - 1
+    return ordered[new], out
+
+
 #: Place of the k-th set bit of a byte.
 _PLACE = np.zeros((256, 8), np.int64)
 for _byte in range(256):
@@ -111,15 +132,15 @@ class EliasFano:
         some = np.flatnonzero(left < end)
         open_, left, end = open_[some], left[some], end[some]
         want = values[open_] & ((1 << self.width) - 1)
-        right = end - 1
-        while True:
-            wide = np.flatnonzero(left < right)
-            if not len(wide):
-                break
-            middle = (left[wide] + right[wide]) >> 1
-            less = self.low[middle] < want[wide]
-            left[wide[less]] = middle[less] + 1
-            right[wide[~less]] = middle[~less]
+        wide = np.flatnonzero(end - left > 1)
+        low, high, searched = left[wide], end[wide] - 1, want[wide]
+        while len(wide):
+            middle = (low + high) >> 1
+            less = self.low[middle] < searched
+            low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+            left[wide] = low
+            more = np.flatnonzero(low < high)
+            wide, low, high, searched = wide[more], low[more], high[more], searched[more]
         hit = self.low[left] == want
         out[open_[hit]] = left[hit]
         return out
