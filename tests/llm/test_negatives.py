@@ -1,8 +1,11 @@
+import json
 import math
 import random
+import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +106,78 @@ def test_against_sql(spark):
     con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[], label INTEGER)")
     con.executemany("INSERT INTO embeddings VALUES (?, ?, ?)", rows)
     assert mined(vectors(spark, rows)) == sorted(con.execute(SQL["op11_hard_negatives"]).fetchall())
+
+
+def test_groups_panels_and_turns(spark, monkeypatch):
+    """Blocks that wait for the bounds of others, several groups of anchors, rows of one score."""
+    small = {"SAMPLE": 150, "FANOUT": 4, "CELL": 60, "BLOCK": 15, "CHUNK": 2, "GROUP": 4, "PANEL": 60, "PANELS": 4, "FIRST": 2}
+    for name, value in small.items():
+        monkeypatch.setattr(negatives, name, value)
+    rows = cloud(900, 4)
+    rows += [(1000 + i, rows[i % 40][1], i % 4) for i in range(300)] + [(1300 + i % 3, rows[5][1], 7) for i in range(9)]
+    assert mined(vectors(spark, rows)) == brute(rows)
+    made = negatives.index(negatives.usable(vectors(spark, rows)))
+    assert set(made.turn) == {0, 1} and made.panel[made.turn == 1].max() > 3
+    assert negatives._per_group(made, 7, 2) < 7
+
+
+def test_chunks_and_blocks_are_not_joined(spark):
+    """A join copies the vectors of both for each pair of them, anchors times rows."""
+    plan = json.loads(negatives.hard_negatives(vectors(spark, cloud(300)))._jdf.queryExecution().optimizedPlan().toJSON())
+    joins = [i for i, node in enumerate(plan) if node["class"].endswith(".Join")]
+
+    def below(i):
+        """Names of the columns under node i of a plan that lists nodes before their children."""
+        names, left = set(re.findall(r'"name": "(\w+)"', json.dumps(plan[i].get("output") or plan[i].get("projectList") or []))), i + 1
+        for _ in range(plan[i]["num-children"]):
+            more, left = below(left)
+            names |= more if plan[i]["class"].endswith((".Join", ".Filter")) else set()
+        return names, left
+
+    assert joins and not any("vectors" in below(i)[0] for i in joins)
+
+
+def of_group(rows, anchors, low, high, same, k, fanout, size):
+    """The lists of one group of anchors that meets blocks one by one: (anchor, window, vec_id, score)."""
+    x, ids, labels = rows
+    a = negatives._chunk_row(0, ids[anchors], labels[anchors], x[anchors], np.zeros((len(anchors), 1), np.int64), low, high).to_pylist()[0]
+    a["number"], a["reached"] = a.pop("chunk"), np.packbits(np.ones((len(anchors), 1), bool)).tobytes()
+    group = negatives._Group([a], 1, same, k)
+    for b in range(0, len(x), size):
+        part = slice(b, b + size)
+        table = {"block": [0] * len(ids[part]), "vec_id": ids[part], "label": labels[part], "vector": list(x[part].astype(np.int32))}
+        group.meet(negatives._built([0], [0])(pa.table(table)).to_pylist()[0], 0)
+    found = group.found()
+    owner, i, s = negatives._hits(found.to_pylist()[0])
+    return sorted(zip((owner // low.shape[1]).tolist(), (owner % low.shape[1]).tolist(), i.tolist(), s.tolist()))
+
+
+@pytest.mark.parametrize("top, width", [(1, 12), (1 << 13, 12), (1 << 24, 40)])
+@pytest.mark.parametrize("same", [True, False])
+def test_lists_of_a_group(monkeypatch, top, width, same):
+    """Products in every arithmetic, in small tiles, with leaves left out where clusters are far apart."""
+    monkeypatch.setattr(negatives, "TILE", (5, 16))
+    monkeypatch.setattr(negatives, "FANOUT", 4)
+    r = np.random.default_rng(6)
+    centres = r.integers(-60, 61, (4, width)) * top
+    x = (centres[np.arange(1200) % 4] + r.integers(-3, 4, (1200, width)) * top).clip(-top * 64, top * 64) // (64 if top == 1 << 24 else 1)
+    ids, labels = np.arange(1200) % 1150, np.arange(1200) // 4 % 3
+    anchors = np.arange(0, 1200, 31)
+    scores = x[anchors] @ x.T
+    ordered = np.sort(scores, axis=1)
+    low, high = ordered[:, [-900, -120, -40]], ordered[:, [-860, -30, -60]]
+    got = of_group((x, ids, labels), anchors, low, high, same, 6, 4, 400)
+    want = []
+    for a, at in enumerate(anchors):
+        for w in range(3):
+            fits = [(-int(s), int(i)) for s, i, y in zip(scores[a], ids, labels) if (y == labels[at]) == same and i != ids[at] and low[a, w] <= s <= high[a, w]]
+            want += [(a, w, i, -s) for s, i in sorted(fits)[:6]]
+    assert got == sorted(want) and len(got) > 100
+
+
+def test_packed_rows_are_whole():
+    r = np.random.default_rng(7)
+    for low, high in ((0, 1), (-3, 4), (-128, 128), (-300, 20), (-(1 << 24), 1 << 24)):
+        x = r.integers(low, high, (9, 5))
+        assert negatives._unpacked(negatives._packed(x), 9, 5).tolist() == x.tolist()
+    assert negatives._unpacked(negatives._packed(np.zeros((3, 0), np.int64)), 3, 0).shape == (3, 0)
