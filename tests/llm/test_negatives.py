@@ -118,7 +118,7 @@ def test_groups_panels_and_turns(spark, monkeypatch):
     assert mined(vectors(spark, rows)) == brute(rows)
     made = negatives.index(negatives.usable(vectors(spark, rows)))
     assert set(made.turn) == {0, 1} and made.panel[made.turn == 1].max() > 3
-    assert negatives._per_group(made, 7, 2) < 7
+    assert negatives._groups(made, 7, 2, False) == 4 and negatives._groups(made, 7, 2, True) == 2
 
 
 def test_chunks_and_blocks_are_not_joined(spark):

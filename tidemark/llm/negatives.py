@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.sinks import staged
+from tidemark.sources.sinks import released, staged
 
 SCALE = 256
 LARGEST = 1 << 24
@@ -41,7 +41,7 @@ FANOUT = 16
 #: Rows that a cell of the upper tree holds, about, before it splits; rows of a block; anchors of a chunk.
 CELL, BLOCK, CHUNK = 8192, 2048, 256
 #: Anchors and rows of one task of a search, and components of either, at most; anchors and rows of one product.
-GROUP, PANEL, GROUP_SIZE, PANEL_SIZE, TILE = 1 << 15, 1 << 18, 1 << 22, 1 << 24, (2048, 256)
+GROUP, PANEL, GROUP_SIZE, PANEL_SIZE, TILE = 1 << 16, 1 << 18, 1 << 22, 1 << 24, (2048, 256)
 #: Panels that blocks are cut into, if there are as many.  With more blocks than that, one in FIRST goes first, in as
 #: few panels as there can be, since lists begin anew in each; GROUPS of anchors at most make up for that.
 PANELS, FIRST, GROUPS = 64, 8, 16
@@ -485,14 +485,13 @@ def _raised(k: int):
     return run
 
 
-def _directed(made: Index, turn: int, count: int):
+def _directed(made: Index, turn: int, count: int, same: bool):
     """Chunks, once for each panel that one of their anchors may find rows in, with the cells that each may."""
     own = np.flatnonzero(made.turn == turn)
     cell = np.repeat(np.arange(len(made.blocks)), made.blocks)[own]
     starts = np.flatnonzero(np.diff(made.panel[own], prepend=-1))
     tree, ranges, first, last = made.tree, made.ranges, cell[starts], cell[np.r_[starts[1:], len(own)] - 1]
-    per = _per_group(made, count, len(first))
-    groups = -(-count // per)
+    groups = _groups(made, count, len(first), same)
 
     def run(batches):
         for batch in batches:
@@ -504,7 +503,7 @@ def _directed(made: Index, turn: int, count: int):
                 for i in range(0, len(wanted), 16):
                     part = wanted[i : i + 16]
                     bits = [np.packbits(reached[:, first[p] : last[p] + 1]).tobytes() for p in part]
-                    task = part * groups + row["number"] // per
+                    task = part * groups + row["number"] % groups
                     columns = [pa.repeat(c[at], len(part)) for c in batch.columns]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(task.astype(np.int32)), pa.array(bits, pa.binary()), *columns], ["task", "reached", *batch.schema.names]
@@ -513,10 +512,10 @@ def _directed(made: Index, turn: int, count: int):
     return run, groups, first, last
 
 
-def _per_group(made: Index, count: int, panels: int) -> int:
-    """Chunks of a group, of `count` chunks that meet so many panels."""
-    most = max(1, min(GROUP, GROUP_SIZE // max(made.sample[0].shape[1], 1)) // CHUNK)
-    return min(most, -(-count // min(GROUPS, -(-PANELS // panels))))
+def _groups(made: Index, count: int, panels: int, same: bool) -> int:
+    """Groups of `count` chunks that meet so many panels; lists of positives are an eighth of the others' size."""
+    most = min(GROUP, GROUP_SIZE // max(made.sample[0].shape[1], 1)) * (2 if same else 1) // CHUNK
+    return max(-(-count // max(1, most)), min(count, GROUPS, -(-PANELS // panels)))
 
 
 def _kind(a: np.ndarray, b: np.ndarray):
@@ -729,7 +728,7 @@ def _search(chunks: DataFrame, made: Index, same: bool, k: int, places: int, cou
     base = np.cumsum(made.blocks) - made.blocks
     lists = None
     for turn in range(int(made.turn.max()) + 1):
-        directed, groups, first, last = _directed(made, turn, count)
+        directed, groups, first, last = _directed(made, turn, count, same)
         asked = chunks.drop("scores").withColumnRenamed("chunk", "number")
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema)
         asked = asked.mapInArrow(directed, f"task int, reached binary, {kinds}").withColumn("kind", F.lit(0))
@@ -757,11 +756,13 @@ def hard_negatives(vectors: DataFrame) -> DataFrame:
     anchors = rows.where("vec_id % 100 = 0").distinct()
     count = anchors.count() if made else 0
     if not count:
+        released(rows)
         return vectors.sparkSession.createDataFrame([], empty)
     count = -(-count // CHUNK)
     chunk = F.pmod(F.xxhash64("vec_id", "label", "vector"), F.lit(count))
     chunks = anchors.withColumn("chunk", chunk).repartition(min(count, TASKS), "chunk").groupBy("chunk").applyInArrow(_chunked(made.sample), _CHUNK)
     chunks = staged(chunks, "anchors")
+    released(rows)
     positives = _search(chunks, made, True, POSITIVES, 1, count).drop("place").withColumnRenamed("rank", "place")
     positives = staged(positives, "positives")
     windows = chunks.repartition(min(count, TASKS), "chunk").groupBy("chunk").cogroup(positives.groupBy("chunk")).applyInArrow(_windowed(made.sample), _CHUNK)
